@@ -25,7 +25,7 @@ from framewright.llm.common import bounded_batches, table
 #: The bounds of the classifier: rows a language that centroids are fitted to, vector length, centroids a language.
 SAMPLE_PER_LANGUAGE, DIMENSIONS, CLUSTERS = 256, 4096, 4
 #: A text is rejected below this share of the similarity that all but REJECT_QUANTILE of the sample reach.
-REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
+REJECT_SHARE, REJECT_QUANTILE = 0.3, 0.01
 UNKNOWN = "und"
 
 _PIECE = 1 << 20

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import table
 
-DIMENSIONS, NGRAMS, STEPS, RATE, DECAY = 512, (3, 4), 150, 4.0, 1e-3
+DIMENSIONS, NGRAMS, STEPS, RATE, DECAY = 8192, (3, 4, 5), 300, 8.0, 1e-4
 
 # Rules as (host, path, verdict).
 RULES = (
@@ -36,6 +36,7 @@ BLOCKED = (
     "ads-tracker.test/click", "www.ads-server.test/banner", "track-ads.test/pixel", "m.ads-tracking.test/en/2", "popup-ads.test/",
     "spam-factory.test/en/6", "www.link-farm.test/", "spam-links.test/fr/1", "m.spam-blog.test/post", "content-farm-spam.test/es/2",
     "poker-win.test/table", "www.lottery-winner.test/claim", "free-cash-loans.test/", "payday-loans.test/apply", "replica-watches.test/sale",
+    "adult.test/de/41", "blog.adult-dating.test/en/2", "adults-only.test/fr/4", "www.adult-movies.test/es/19", "m.adult-pics.test/en/70",
 )
 ALLOWED = (
     "www.library.test/en/12", "blog.gardening.test/posts/7", "news.city.test/fr/4", "university.test/courses", "m.weather.test/de/3",
@@ -45,6 +46,7 @@ ALLOWED = (
     "northern.test/en/20", "than-thy.test/en/938", "www.stationable.test/en/25", "thirst.test/de/833", "m.gathering.test/es/735",
     "photos.family.test/2020", "www.cooking.test/soup.html", "forum.cycling.test/en/3", "maps.region.test/", "www.bakery.test/en/66",
     "theatre.test/en/97.html", "blog.exertion.test/fr/414", "blog.thea.test/en/126", "farmers-market.test/", "track-and-field.test/en/4",
+    "aqueduct.test/de/41", "blog.adalbert.test/en/2", "museum-only.test/fr/4", "www.quiet-movies.test/es/19", "m.garden-pics.test/en/70",
 )
 
 
@@ -76,29 +78,36 @@ def features(host: Column, path: Column) -> Column:
     return F.concat(*map(gram, NGRAMS))
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-
 def train(spark: SparkSession, blocked=BLOCKED, allowed=ALLOWED) -> list[float]:
-    """Weights by full-batch gradient descent, as one expression over the labelled table; the last one is the bias."""
-    rows = [(u, 1.0) for u in blocked] + [(u, 0.0) for u in allowed]
-    host, path = F.substring_index("u", "/", 1), F.regexp_extract("u", "(/.*)", 1)
-    labelled = spark.createDataFrame(rows, "u string, y double").select("y", features(host, path).alias("g"))
-    scale = 1 / F.sqrt(F.size("g").cast("double"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda j: F.size(F.filter("g", lambda i: i == j)) * scale)
-    data = labelled.select(F.struct(F.concat(dense, F.array(F.lit(1.0))).alias("x"), "y").alias("r")).agg(F.sort_array(F.collect_list("r")).alias("d"))
+    """Weights by full-batch gradient descent over the labelled table; the last one is the bias.
 
-    def step(w: Column, _: Column) -> Column:
-        def error(r: Column) -> Column:
-            z = _sum(F.zip_with(w, r["x"], lambda a, b: a * b))
-            return F.struct(r["x"].alias("x"), (1 / (1 + F.exp(-z)) - r["y"]).alias("e"))
-
-        slope = F.aggregate(F.transform("d", error), F.array_repeat(F.lit(0.0), DIMENSIONS + 1), lambda a, r: F.zip_with(a, r["x"], lambda s, v: s + r["e"] * v))
-        return F.zip_with(w, slope, lambda a, g: a * (1 - RATE * DECAY) - RATE * g / len(rows))
-
-    start = F.array_repeat(F.lit(0.0), DIMENSIONS + 1)
-    return data.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("w")).head()["w"]
+    The weights stay in the span of the labelled rows, so the descent runs on one coefficient a row, inside one array
+    expression over the rows' products with each other.
+    """
+    n = len(blocked) + len(allowed)
+    rows = [(i, u, float(i < len(blocked))) for i, u in enumerate((*blocked, *allowed))]
+    host, path = F.substring_index("u", "/", 1), F.regexp_extract("u", "(/.*)", 1)
+    labelled = spark.createDataFrame(rows, "r int, u string, y double").coalesce(1).select("r", "y", features(host, path).alias("g"))
+    grams = labelled.select("r", "y", F.explode("g").alias("i"), F.sqrt(F.size("g").cast("double")).alias("s")).groupBy("r", "y", "i", "s").agg((F.count(F.lit(1)) / F.first("s")).alias("x"))
+    other = grams.select(F.col("r").alias("q"), "i", F.col("x").alias("z"))
+    products = grams.join(other, "i").groupBy("r", "y", "q").agg((F.round(F.sum(F.col("x") * F.col("z")), 9) + 1).alias("k"))  # 1 for the bias
+    row = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda q: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda j, _: j == q)), F.lit(0)), F.lit(1.0)))
+    data = products.groupBy("r", "y").agg(F.map_from_entries(F.collect_list(F.struct("q", "k"))).alias("m"))
+    data = data.select(F.struct("r", "y", row.alias("k")).alias("d")).agg(F.sort_array(F.collect_list("d")).alias("d"))  # one row, n arrays of n
+
+    def step(alpha: Column, _: Column) -> Column:
+        def descend(a: Column, d: Column) -> Column:
+            z = F.aggregate(F.zip_with(alpha, d["k"], lambda p, k: p * k), F.lit(0.0), lambda t, v: t + v)
+            return a * (1 - RATE * DECAY) - RATE / n * (1 / (1 + F.exp(-z)) - d["y"])
+
+        return F.zip_with(alpha, "d", descend)
+
+    alpha = data.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.array_repeat(F.lit(0.0), n), step).alias("a")).head()["a"]
+    weight = F.round(F.sum(F.get(F.lit(alpha), F.col("r")) * F.col("x")), 9)
+    weights = [0.0] * DIMENSIONS + [sum(alpha)]
+    for i, w in grams.groupBy("i").agg(weight.alias("w")).collect():  # DIMENSIONS rows at most
+        weights[i] = w
+    return weights
 
 
 def score(host: Column, path: Column, weights: list[float]) -> Column:
