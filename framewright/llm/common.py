@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; very long texts make smaller batches.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Bits of an id filter at most; beyond some millions of ids it lets more rows through, and never fewer than it must.
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,16 +27,45 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the cluster's shared checkpoint folder and returns what was written.
-
-    The folder is spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine is used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir; only where that is unset, as in tests, one of this machine."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewright-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewright-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns what was written."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for all of ``ids`` (one bigint column) and for few other numbers; its size is bounded."""
+    (name,) = ids.columns
+    words = min(FILTER_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length())) // 64
+
+    def bits(c: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(words * 64)) for k in range(2)]
+
+    bit = F.col("__framewright_bit")
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
+    found = ids.select(F.explode(F.array(*bits(F.col(name)))).alias("__framewright_bit")).groupBy((bit / 64).cast("long").alias("w")).agg(mask.alias("m")).toArrow()  # FILTER_BITS / 64 rows at most
+    table_ = np.zeros(words, np.int64)
+    table_[found.column("w").to_numpy()] = found.column("m").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(table_.view(np.uint64))
+
+    @F.arrow_udf("boolean")
+    def maybe(p: pa.Array, q: pa.Array) -> pa.Array:
+        out = np.ones(len(p), bool)
+        for x in (p, q):
+            at = x.to_numpy(zero_copy_only=False)
+            out &= ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        return pa.array(out, pa.bool_())
+
+    return lambda c: maybe(*bits(c))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bounded_batches, cut, shuffle_partitions, table
+from framewright.llm.common import bounded_batches, cut, id_filter, shuffle_partitions, table
 from framewright.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -33,8 +33,6 @@ WORDS, PERCENT = 5, 75
 MINHASHES, ROUNDS = 4, 2
 #: Tokens the heavy-hitter summary holds at most, and how often the corpus must have one for it to count as frequent.
 HEAVY, HEAVY_LEAST = 1 << 16, 16
-#: Bits of the filter that keeps most unneeded texts from being shuffled, at most.
-FILTER_BITS = 1 << 26
 
 _PIECE = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -128,32 +126,11 @@ def _scan(documents: DataFrame, words: int) -> DataFrame:
     return documents.mapInArrow(run, "kind int, id long, n long, key binary, mins array<long>")
 
 
-def _some_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids, and few others; the filter's size is bounded whatever the number of ids."""
-    n = ids.count()
-    words = min(FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length())) // 64
-    bit = F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(words * 64)) for k in range(2))))
-    packed = ids.select(bit.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("m"))
-    table_ = np.zeros(words, np.int64)
-    found = packed.toArrow()  # at most FILTER_BITS / 64 rows
-    table_[found.column("w").to_numpy()] = found.column("m").to_numpy()
-    shared = documents.sparkSession.sparkContext.broadcast(table_.view(np.uint64))
-
-    @F.arrow_udf("boolean")
-    def maybe(p: pa.Array, q: pa.Array) -> pa.Array:
-        out = True
-        for x in (p, q):
-            at = x.to_numpy(zero_copy_only=False)
-            out = out & ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-        return pa.array(out, pa.bool_())
-
-    return documents.where(maybe(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(words * 64)) for k in range(2))))
-
-
 def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts link."""
     pairs = cut(pairs)
-    texts = _some_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = documents.where(needed(F.col("id")))  # so that most other texts aren't shuffled
 
     @F.arrow_udf("boolean")
     def link(left: pa.Array, right: pa.Array) -> pa.Array:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("langid", "quality", "chat", "html", "packing", "sentencepiece_bpe", "vectors", "jaccard", "url")
+MODULES = ("langid", "quality", "chat", "html", "packing", "sentencepiece_bpe", "vectors", "jaccard", "suffix", "url")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
