@@ -7,7 +7,7 @@ that only one document has (found by a first pass over anchor hashes) are left o
 pieces by external induced sorting (see induced.py), which yields the common-prefix values along with the order; windows
 between which they reach LENGTH are equal, and those not from the smallest id of their run are removed. A piece that
 several documents have is sorted once, under its smallest id; the other documents' copies go whole. No group of copies
-is ever held together: a task sends a piece once however often it has it, and a shard holds different pieces only.
+is ever held together: a task sends a piece once for its smallest id, and a shard sorts different pieces only.
 
 Null texts count as empty; texts shorter than LENGTH stay as they are; an empty table gives an empty result. Rows that
 repeat a doc_id must repeat its text, and get the same result; a document's own repetitions stay. Extra columns stay
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,13 @@ from framewright.llm.common import bounded_batches, cut, id_filter, shuffle_part
 from framewright.llm.induced import Sorter
 
 LENGTH, GRAM = 50, 12
-#: Windows handled in one step; pieces that a task remembers having sent.
-STEP, SEEN = 1 << 19, 200_000
+#: Windows handled in one step; pieces that a task remembers having sent; the filter of shared anchors has two to the
+#: power FILTER_LOG bits: with many more anchors than that it lets pieces through that nobody shares, and never too few.
+STEP, SENT, FILTER_LOG = 1 << 19, 2_000_000, 27
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
+_MIXED = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
 
 
 def pieces(buffer: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +69,14 @@ def _steps(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray
             yield i, raw[at : at + STEP + length - 1], at
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, rows) for each shard that has any."""
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        yield i, order[bounds[i] : bounds[i + 1]]
+
+
 def _shared_anchors(documents: DataFrame, length: int, shards: int) -> DataFrame:
     """anchor: hashes of the anchors that more than one document, or parts of several tasks, have."""
 
@@ -73,25 +84,19 @@ def _shared_anchors(documents: DataFrame, length: int, shards: int) -> DataFrame
         for batch in batches:
             all_hashes, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, raw, _ in _steps(batch, length):
-                h = np.unique(pieces(raw, length)[2])
-                all_hashes.append(h)
-                whose.append(np.full(len(h), i))
+                all_hashes.append(pieces(raw, length)[2])
+                whose.append(np.full(len(all_hashes[-1]), i))
             h, d = np.concatenate(all_hashes), np.concatenate(whose)
-            order = np.lexsort((d, h))
+            order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            several = np.maximum.reduceat(d, first) != d[first] if len(h) else np.zeros(0, bool)
+            several = np.maximum.reduceat(d, first) != np.minimum.reduceat(d, first) if len(h) else np.zeros(0, bool)
             h = h[first]
-            shard = (h % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
             rows = []
-            for s in range(shards):
-                at = order[bounds[s] : bounds[s + 1]]
-                if len(at):
-                    at = at[np.argsort(several[at], kind="stable")]
-                    # the lowest bytes are dropped: a chance match only sends a piece for nothing
-                    rows.append({"shard": s, "single": int((~several[at]).sum()), "packed": h[at].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()})
+            for s, at in _by_shard((h % np.uint64(shards)).astype(np.int64), shards):
+                at = at[np.argsort(several[at], kind="stable")]
+                # the lowest bytes are dropped: a chance match only sends a piece for nothing
+                rows.append({"shard": s, "single": int((~several[at]).sum()), "packed": h[at].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("single", pa.int32()), ("packed", pa.binary())]))
 
     def meet(t: pa.Table) -> pa.Table:
@@ -109,174 +114,221 @@ def _shared_anchors(documents: DataFrame, length: int, shards: int) -> DataFrame
     return documents.mapInArrow(send, "shard int, single int, packed binary").groupBy("shard").applyInArrow(meet, "anchor long")
 
 
+def _spread(anchors: np.ndarray) -> np.ndarray:
+    """The bit of each anchor (without its lowest bytes)."""
+    x = (anchors.view(np.uint64) & ~np.uint64(0xFFFF)) * _C
+    return ((x ^ (x >> np.uint64(32))) * _A >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
+
+
 def _filter_bits(anchors: DataFrame) -> np.ndarray:
-    """A bit array of bounded size that has the bit of every shared anchor."""
-    n = anchors.count()
-    words = min(1 << 21, max(1 << 10, 1 << (12 * n).bit_length() >> 6))  # 16 MB at most
-    bit = F.pmod(F.xxhash64("anchor"), F.lit(words * 64))
+    """A bit array of fixed size that has the bit of every shared anchor."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.unique(_spread(batch.column(0).to_numpy()))
+            part = bit >> 16
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(bit) else np.zeros(0, np.int64)
+            low = (bit & 0xFFFF).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"part": part[first], "bits": [x.tobytes() for x in np.split(low, first[1:])] if len(bit) else []}, schema=pa.schema([("part", pa.int64()), ("bits", pa.binary())]))
 
     def pack(t: pa.Table) -> pa.Table:
-        at = np.unique(t.column("bit").to_numpy())
-        word, first = np.unique(at >> 6, return_index=True)
-        return pa.table({"w": word, "m": np.bitwise_or.reduceat(np.left_shift(np.int64(1), at & 63), first)})
+        on = np.zeros(1 << 16, bool)
+        for raw in t.column("bits"):
+            on[np.frombuffer(raw.as_py(), np.uint16)] = True
+        return pa.table({"part": t.column("part")[:1], "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
-    parts = anchors.select(bit.alias("bit"), (bit / (64 * 1024)).cast("long").alias("part")).groupBy("part").applyInArrow(pack, "w long, m long")
-    out = np.zeros(words, np.int64)
-    found = parts.toArrow()
-    out[found.column("w").to_numpy()] = found.column("m").to_numpy()
-    return out.view(np.uint64)
+    found = anchors.mapInArrow(deal, "part long, bits binary").groupBy("part").applyInArrow(pack, "part long, bits binary").toArrow()  # as large as the filter at most
+    out = np.zeros((1 << (FILTER_LOG - 16), 1 << 13), np.uint8)
+    for part, raw in zip(found.column("part").to_pylist(), found.column("bits"), strict=True):
+        out[part] = np.frombuffer(raw.as_py(), np.uint8)
+    return out.ravel()
 
 
-def removed_windows(texts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each of some different pieces, which of its windows start a string that a piece of a smaller id has."""
+def removed_windows(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, as piece, first window and last window + 1, of some different pieces that start a string which a
+    piece of a smaller id has."""
     size = np.array([len(t) for t in texts], np.int64)
     start = np.cumsum(size + 1) - size - 1
     symbols = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # no UTF-8 text has the byte 255; it becomes 0
-    owner = np.repeat(np.arange(len(texts)), size + 1)
-    window = np.arange(len(symbols)) - start[owner] <= size[owner] - length
-    gone = np.zeros(len(symbols), bool)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)
+    window = np.ones(len(symbols), bool)
+    for k in range(length):  # no window starts in the last bytes of a piece or between two
+        window[start + size - k] = False
+    gone = np.zeros(len(symbols) + 1, bool)
     rest_p, rest_new = np.zeros(0, np.int64), np.zeros(0, bool)
     runs = iter(Sorter(symbols, length).suffixes())
     while True:
-        piece = next(runs, None)
-        if piece is not None:
-            use = window[piece[0]]
-            # a run of equal windows has no other suffix inside, so the common prefix within it is never lost
-            new = piece[1] < length
-            rest_p = np.concatenate([rest_p, piece[0][use]])
-            rest_new = np.concatenate([rest_new, new[use]])
-            if len(rest_p) < 1 << 20:
-                continue
+        got, held = [(rest_p, rest_new)], len(rest_p)
+        last = True
+        for p, common in runs:
+            # a run of equal windows has no other suffix inside, so no common prefix within it is lost
+            use = window[p]
+            got.append((p[use], (common < length)[use]))
+            held += len(got[-1][0])
+            if held > 1 << 20:
+                last = False
+                break
+        rest_p, rest_new = (np.concatenate(x) for x in zip(*got, strict=True))
         if len(rest_p):
             rest_new[0] = True
             heads = np.flatnonzero(rest_new)
-            whole = len(rest_p) if piece is None else int(heads[-1])  # the last run may go on
+            whole = len(rest_p) if last else int(heads[-1])  # the last run may go on
             if whole:
-                p, d = rest_p[:whole], ids[owner[rest_p[:whole]]]
-                heads = heads[heads < whole]
+                p, heads = rest_p[:whole], heads[heads < whole]
+                d = ids[owner[p]]
                 least = np.minimum.reduceat(d, heads)
                 gone[p] = np.repeat(least, np.diff(np.append(heads, whole))) < d
             rest_p, rest_new = rest_p[whole:], rest_new[whole:]
-        if piece is None:
-            return [gone[s : s + k - length + 1] for s, k in zip(start.tolist(), size.tolist(), strict=True)]
+        if last:
+            break
+    edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1
+    if gone[0]:
+        edge = np.concatenate([[0], edge])
+    first, end = edge[::2], edge[1::2]
+    of = owner[first].astype(np.int64)
+    return of, first - start[of], end - start[of]
+
+
+def _zip(*arrays: np.ndarray) -> bytes:
+    """Integer arrays of one length, as differences, compressed."""
+    return zstandard.compress(b"".join(np.diff(x.astype(np.int64), prepend=0).tobytes() for x in arrays))
+
+
+def _unzip(raw: bytes, n: int) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.decompress(raw), np.int64)
+    return [np.cumsum(x) for x in flat.reshape(n, -1)]
+
+
+class _Sent:
+    """The smallest id that this task has sent a piece for, by 64-bit hash; what doesn't fit in is just sent again."""
+
+    def __init__(self):
+        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def owner(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The smallest id with each piece, here or before."""
+        every, at = np.unique(h, return_inverse=True)
+        least = np.full(len(every), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, d)
+        if len(self.hashes):
+            i = np.minimum(np.searchsorted(self.hashes, every), len(self.hashes) - 1)
+            least = np.where(self.hashes[i] == every, np.minimum(least, self.ids[i]), least)
+        room = np.isin(every, self.hashes, assume_unique=True) if len(self.hashes) + len(every) > SENT else np.ones(len(every), bool)
+        old = ~np.isin(self.hashes, every, assume_unique=True)
+        hashes, ids = np.concatenate([self.hashes[old], every[room]]), np.concatenate([self.ids[old], least[room]])
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], ids[order]
+        return least[at]
+
+
+def _piece_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, by prefix sums of a polynomial over mixed bytes."""
+    n = len(buffer) + 1
+    base = np.uint64(0xD6E8FEB86659FD93)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]).astype(np.uint64), dtype=np.uint64)
+    prefix = np.zeros(n, np.uint64)
+    np.cumsum(_MIXED[buffer] * power[:-1], out=prefix[1:], dtype=np.uint64)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)]).astype(np.uint64), dtype=np.uint64)
+    h = (prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64) * _C
+    h = (h ^ (h >> np.uint64(31))) * _A
+    return h ^ (h >> np.uint64(29))
 
 
 def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """id, first, last: byte ranges [first, last) of windows of ``documents`` (id, text) to be removed; they may overlap."""
+    """id, ranges: of each document (id, text) that has any, the maximal byte ranges that go: first, end, first, end ..."""
     spark = documents.sparkSession
-    shards = max(8, shuffle_partitions(spark))
-    wanted = spark.sparkContext.broadcast(_filter_bits(cut(_shared_anchors(documents, length, shards))))
-    probe = _anchor_probe(spark, len(wanted.value))
+    shards = 4 * max(8, shuffle_partitions(spark))
+    buckets = max(8, shuffle_partitions(spark))
+    wanted = spark.sparkContext.broadcast(_filter_bits(_shared_anchors(documents, length, buckets)))  # of fixed size
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}  # smallest id so far; a piece that no longer fits in is just sent again
+        sent, turn = _Sent(), 0
         for batch in batches:
-            kept: dict[bytes, list[tuple[int, int, int]]] = {}
-            done: list[tuple[int, int, int]] = []
-            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-            for i, raw, offset in _steps(batch.take(pa.array(order)), length):  # by id, so the first to have a piece is the smallest
+            found, buffers, base = [], [np.zeros(0, np.uint8)], 0
+            for i, raw, offset in _steps(batch, length):
                 first, last, anchor = pieces(raw, length)
-                use = np.flatnonzero(probe(anchor, wanted.value))
-                data = raw.tobytes()
-                for a, b, h in zip(first[use].tolist(), last[use].tolist(), anchor[use].tolist(), strict=True):
-                    piece = data[a : b + length - 1]
-                    owner = seen.get(piece, i)
-                    if owner >= i:
-                        if owner > i or len(seen) < SEEN:
-                            seen[piece] = i
-                        kept.setdefault(piece, []).append((i, offset + a, h))
-                    elif done and done[-1][0] == i and done[-1][2] == offset + a + length - 1:
-                        done[-1] = (i, done[-1][1], offset + b + length - 1)
-                    else:
-                        done.append((i, offset + a, offset + b + length - 1))
-            shard_rows: dict[int, list] = {}
-            for piece, places in kept.items():
-                for i, at, h in places:
-                    shard_rows.setdefault(h // 65536 % shards, []).append((piece, i, at))
+                bit = _spread(anchor)
+                use = np.flatnonzero(wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                if len(use):
+                    found.append((first[use] + base, last[use] + base + length - 1, anchor[use], np.full(len(use), i), np.full(len(use), offset - base)))
+                    buffers.append(raw)
+                    base += len(raw)
+            if not found:
+                continue
+            start, end, anchor, doc, shift = (np.concatenate(x) for x in zip(*found, strict=True))
+            buffer = np.concatenate(buffers)
+            own = doc == sent.owner(_piece_hashes(buffer, start, end), doc)
             rows = []
-            if done:
-                rows.append({"shard": -1, "packed": np.array(done, np.int64).tobytes(), "texts": None})
-            for s, found in shard_rows.items():
-                numbers = np.array([(len(p), i, at) for p, i, at in found], np.int64)
-                rows.append({"shard": s, "packed": numbers.tobytes(), "texts": b"".join(p for p, _, _ in found)})
+            # another document with a smaller id has the whole piece
+            done = _join(doc[~own], (start + shift)[~own], (end + shift)[~own])
+            if len(done[0]):
+                turn += 1
+                rows.append({"shard": turn % shards, "packed": _zip(*done), "texts": None})
+            mine = np.flatnonzero(own)
+            for s, at in _by_shard(((anchor[mine] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64), shards):
+                at = mine[at]
+                n = end[at] - start[at]
+                where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                rows.append({"shard": s, "packed": _zip(n, doc[at], (start + shift)[at]), "texts": zstandard.compress(buffer[where].tobytes())})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("packed", pa.binary()), ("texts", pa.binary())]))
 
     def sort(t: pa.Table) -> pa.Table:
         own: dict[bytes, int] = {}
-        at_id: list[np.ndarray] = []
-        of_text: list[int] = []
-        for numbers, raw in zip(t.column("packed"), t.column("texts"), strict=True):
-            numbers, raw, at = np.frombuffer(numbers.as_py(), np.int64).reshape(-1, 3), raw.as_py(), 0
-            at_id.append(numbers)
-            for k in numbers[:, 0].tolist():
-                of_text.append(own.setdefault(raw[at : at + k], len(own)))
-                at += k
-        numbers, of_text_ = np.concatenate(at_id), np.array(of_text)
-        least = np.full(len(own), np.iinfo(np.int64).max)
-        np.minimum.at(least, of_text_, numbers[:, 1])
-        gone = removed_windows(list(own), least, length)
-        ids, first, last = [], [], []
-        for text, (k, i, at) in zip(of_text, numbers.tolist(), strict=True):
-            if i != least[text]:
-                spans = [(0, k - length + 1)]
-            else:
-                g = np.concatenate([[0], gone[text].astype(np.int8), [0]])
-                edge = np.flatnonzero(g[1:] != g[:-1])
-                spans = edge.reshape(-1, 2).tolist()
-            for a, b in spans:
-                ids.append(i)
-                first.append(at + a)
-                last.append(at + b + length - 1)
-        return pa.table({"id": pa.array(ids, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                n = np.frombuffer(raw.as_py(), np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(n[:, k]) for k in range(3)], names=["id", "first", "last"])
-
-    sent = cut(documents.mapInArrow(send, "shard int, packed binary, texts binary"))
-    schema = "id long, first long, last long"
-    met = sent.where("shard >= 0").groupBy("shard").applyInArrow(sort, schema)
-    return met.union(sent.where("shard < 0").select("packed").mapInArrow(unpack, schema))
-
-
-def _anchor_probe(spark: SparkSession, words: int):
-    """Looks anchors up in the bit array, with Spark's own hash of a long (xxHash64, seed 42)."""
-    modulus = words * 64
-
-    def probe(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        eight = (anchors & ~np.uint64(0xFFFF)).view(np.uint64)
-        h = _spark_xxhash64(eight)
-        at = (h.view(np.int64) % np.int64(modulus)).astype(np.int64)
-        return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-
-    return probe
-
-
-def _spark_xxhash64(x: np.ndarray, seed: int = 42) -> np.ndarray:
-    """xxHash64 of 8-byte numbers."""
-    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-    def turn(v: np.ndarray, by: int) -> np.ndarray:
-        return (v << np.uint64(by)) | (v >> np.uint64(64 - by))
-
-    h = np.uint64(seed + 8) + p5 ^ (turn(x * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
-def _merge(ranges: list[int] | None) -> np.ndarray:
-    """Maximal runs [first, last) that packed ranges (first, last, first, last ...) cover."""
-    r = np.array(ranges or [], np.int64).reshape(-1, 2)
-    if not len(r):
-        return r
-    r = r[np.argsort(r[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(r[:, 1])
-    new = np.flatnonzero(np.concatenate([[True], r[1:, 0] > reach[:-1]]))
-    return np.stack([r[new, 0], np.append(reach[new[1:] - 1], reach[-1])], 1)
+        places, of_text, out = [], [], []
+        for numbers, texts in zip(t.column("packed"), t.column("texts"), strict=True):
+            n, i, at = _unzip(numbers.as_py(), 3)
+            if texts.as_py() is None:
+                out.append((n, i, at))  # id, first, end
+                continue
+            raw = zstandard.decompress(texts.as_py())
+            ends = np.cumsum(n)
+            of_text.extend(own.setdefault(raw[a:b], len(own)) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True))
+            places.append((n, i, at))
+        if places:
+            n, i, at = (np.concatenate(x) for x in zip(*places, strict=True))
+            text = np.array(of_text)
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, text, i)
+            piece, first, end = removed_windows(list(own), least, length)
+            whole = i > least[text]
+            out.append((i[whole], at[whole], (at + n)[whole]))
+            a = np.searchsorted(piece, text[~whole])  # runs are in order of pieces
+            many = np.searchsorted(piece, text[~whole], side="right") - a
+            run = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            doc, at = np.repeat(i[~whole], many), np.repeat(at[~whole], many)
+            out.append((doc, at + first[run], at + end[run] + length - 1))
+        doc, first, end = _join(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        rows = [{"bucket": b, "packed": _zip(doc[x], first[x], end[x])} for b, x in _by_shard((doc % buckets).astype(np.int64), buckets)]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
+
+    def merge(t: pa.Table) -> pa.Table:
+        doc, first, end = _join(*(np.concatenate(x) for x in zip(*(_unzip(r.as_py(), 3) for r in t.column("packed")), strict=True)))
+        edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        both = np.stack([first, end], 1).ravel()
+        offsets = pa.array(2 * np.append(edge, len(doc)), pa.int32())
+        return pa.table({"id": pa.array(doc[edge], pa.int64()), "ranges": pa.ListArray.from_arrays(offsets, pa.array(both, pa.int64()))})
+
+    met = documents.mapInArrow(send, "shard int, packed binary, texts binary").groupBy("shard").applyInArrow(sort, "bucket int, packed binary")
+    return met.groupBy("bucket").applyInArrow(merge, "id long, ranges array<long>")
+
+
+def _join(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that touch or overlap made one, sorted by document and place."""
+    if not len(doc):
+        return doc, first, end
+    order = np.lexsort((first, doc))
+    doc, first, end = doc[order], first[order], end[order]
+    # the furthest end so far within a document: documents are put behind one another for that
+    _, number = np.unique(doc, return_inverse=True)
+    wide = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + number * wide) - number * wide
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] > reach[:-1])]))
+    return doc[new], first[new], reach[np.append(new[1:] - 1, len(doc) - 1)]
+
+
+def _spans(ranges: list[int] | None) -> np.ndarray:
+    return np.array(ranges or [], np.int64).reshape(-1, 2)
 
 
 def _kept(raw: bytes, spans: np.ndarray) -> bytes:
@@ -287,9 +339,8 @@ def _kept(raw: bytes, spans: np.ndarray) -> bytes:
 def _with_ranges(documents: DataFrame, length: int) -> tuple[DataFrame, str]:
     """``documents`` with the packed ranges of each row, null where there are none, and that column's name."""
     id_, ranges = "__framewright_id", "__framewright_ranges"
-    found = cut(repeated_ranges(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), length))
-    each = found.groupBy(F.col("id").alias(id_)).agg(F.flatten(F.collect_list(F.array("first", "last"))).alias(ranges))  # of one document
-    touched = id_filter(found.select("id").distinct())
+    each = cut(repeated_ranges(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), length)).toDF(id_, ranges)
+    touched = id_filter(each.select(id_))
     mark = "__framewright_touched"
     marked = documents.withColumn(mark, touched(F.col("doc_id").cast("long")))
     some = marked.where(mark).drop(mark).join(each, F.col("doc_id").cast("long") == F.col(id_), "left").drop(id_)
@@ -306,7 +357,7 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def digest(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for text, r in zip(texts, found, strict=True):
-            raw, spans = (text.as_py() or "").encode(), _merge(r.as_py())
+            raw, spans = (text.as_py() or "").encode(), _spans(r.as_py())
             out.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -324,7 +375,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, found: pa.Array) -> pa.Array:
-        return pa.array([t.as_py() if not r.as_py() else _kept(t.as_py().encode(), _merge(r.as_py())).decode("utf-8", "ignore") for t, r in zip(texts, found, strict=True)], pa.string())
+        return pa.array([t.as_py() if not r.as_py() else _kept(t.as_py().encode(), _spans(r.as_py())).decode("utf-8", "ignore") for t, r in zip(texts, found, strict=True)], pa.string())
 
     rows = rows.withColumn("text", kept.asNondeterministic()("text", ranges)).drop(ranges)
     if "n_chars" in documents.columns:
