@@ -5,8 +5,9 @@ min-hash are compared with a few centres of their bucket, and those that link wi
 token union is kept as rows (token, group), the columns of the token-group matrix that are not zero; of each text only
 those tokens are needed without which no partner can reach the threshold. Which these are follows from one order of all
 tokens: rare before frequent (by a bounded heavy-hitter summary of the whole corpus), then by hash. A text can link into
-another group only if their unions share such a token at positions and sizes that leave enough for the threshold; only
-those group pairs are opened, and the texts that caused it are compared exactly. No link between different texts is lost:
+another group only if their unions share such a token at positions and sizes that leave enough for the threshold, and
+if the counts of their shingles by first byte bound what they share from above by enough; only those group pairs are
+opened, and the texts that caused it are compared exactly. No link between different texts is lost:
 what is not compared lies in one group already or fails a bound.
 
 Shingles are 64-bit hashes of ``words`` lower-cased words (A-Z only) between ASCII white space. A text with fewer words
@@ -102,33 +103,51 @@ class Summary:
 
 
 def _scan(documents: DataFrame, words: int) -> DataFrame:
-    """kind 0: id, n, key and min-hashes of each document; kind 1: token (as id) and count (as n) of the summaries."""
+    """kind 0: id, n, key, min-hashes and sketch (how many shingles begin with each byte) of each document; kind 1: token (as id) and count (as n) of the summaries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = Summary(HEAVY)
 
-        def rows(kind, ids, n, keys, mins):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], names=["kind", "id", "n", "key", "mins"])
+        def rows(kind, ids, n, keys, mins, sketches):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["kind", "id", "n", "key", "mins", "sketch"])
 
         for batch in batches:
-            n, keys, mins = [], [], []
+            n, keys, mins, sketches = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 mins.append([int(mix(s ^ seed).min()) - (1 << 63) for seed in _SEEDS[:MINHASHES]] if len(s) else None)
+                sketches.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() if len(s) else None)
                 heavy.add(s)
-            yield rows(0, batch.column(0), n, keys, mins)
+            yield rows(0, batch.column(0), n, keys, mins, sketches)
         heavy.fold()
         some = heavy.counts > 1
-        yield rows(1, heavy.tokens[some].view(np.int64), heavy.counts[some], [None] * int(some.sum()), [None] * int(some.sum()))
+        yield rows(1, heavy.tokens[some].view(np.int64), heavy.counts[some], *([None] * int(some.sum()),) * 3)
 
-    return documents.mapInArrow(run, "kind int, id long, n long, key binary, mins array<long>")
+    return documents.mapInArrow(run, "kind int, id long, n long, key binary, mins array<long>, sketch binary")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches leave room for enough common shingles."""
+    needed = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    some = sets.where(needed(F.col("rep"))).select("rep", "n", "sketch")
+
+    @F.arrow_udf("boolean")
+    def room(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 256) for c in (sa, sb))
+        n, m = (c.to_numpy(zero_copy_only=False) for c in (na, nb))
+        least = -(-percent * (n + m) // (100 + percent))
+        full = ((x == 255) & (y == 255)).any(axis=1)  # counts stop at 255
+        return pa.array(full | (np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least), pa.bool_())
+
+    a, b = (some.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(room("sa", "sb", "na", "nb")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts link."""
-    pairs = cut(pairs)
+    pairs = cut(_possible(cut(pairs), sets, percent))
     needed = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = documents.where(needed(F.col("id")))  # so that most other texts aren't shuffled
 
@@ -274,22 +293,22 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
     bounded_batches(spark)
     docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     scan = cut(_scan(docs, words))
-    each = scan.where("kind = 0").select("id", "n", "key", "mins")
+    each = scan.where("kind = 0").select("id", "n", "key", "mins", "sketch")
     heavy = scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST).orderBy(F.desc("n"), "id").limit(HEAVY)
     frequent = np.sort(np.array([r["id"] for r in heavy.collect()], np.int64).view(np.uint64))  # HEAVY rows at most
-    sets = cut(each.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins")))
+    sets = cut(each.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")))
 
     links = spark.createDataFrame([], "a long, b long")
     group = spark.createDataFrame([], "id long, component long")
     for turn in range(ROUNDS):
-        found = _verified(_centres(sets, group, turn, percent), docs, words, percent)
+        found = _verified(_centres(sets, group, turn, percent), docs, sets, words, percent)
         links = links.union(found)
         group = components(links)
     shards = shuffle_partitions(spark)
     columns = _matrix(docs, frequent, words, percent, max(8, shards // 2))
     names = sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep")
     names = names.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("g"))
-    found = _verified(_open(columns.join(names, "key"), percent, shards), docs, words, percent)
+    found = _verified(_open(columns.join(names, "key"), percent, shards), docs, sets, words, percent)
     group = components(links.union(found))
 
     whole = sets.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
