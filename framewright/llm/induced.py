@@ -81,15 +81,30 @@ class Queues:
             yield self._load(part)
 
 
+def _starts(fresh: np.ndarray) -> np.ndarray:
+    """For each element the place of the last one marked fresh, itself included."""
+    at = np.flatnonzero(fresh)
+    return np.repeat(at, np.diff(np.append(at, len(fresh))))
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def _refine(rank: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
     """Ranks (the number of smaller elements) of the elements ``at`` after comparing ``key`` within equal ranks."""
-    order = np.lexsort((key, rank[at]))
-    r, k = rank[at][order], key[order]
-    group = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    fresh = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])]))
-    of_group = group[np.searchsorted(group, np.arange(len(r)), side="right") - 1]
-    first = fresh[np.searchsorted(fresh, np.arange(len(r)), side="right") - 1]
-    rank[at[order]] = r + first - of_group
+    if key.dtype == np.int64 and len(rank) < 1 << 31:  # both fit one number; equal ones may come in any order
+        both = rank[at] << 32 | key + 1
+        order = np.argsort(both)
+        both = both[order]
+        r, fresh = both >> 32, _changes(both)
+    else:
+        order = np.lexsort((key, rank[at]))
+        r = rank[at][order]
+        fresh = _changes(r) | _changes(key[order])
+    rank[at[order]] = r + _starts(fresh) - _starts(_changes(r))
 
 
 def _tied(rank: np.ndarray) -> np.ndarray:
@@ -97,10 +112,9 @@ def _tied(rank: np.ndarray) -> np.ndarray:
 
 
 def _dense_start(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
-    fresh = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    order = np.argsort(key)
     rank = np.empty(len(key), np.int64)
-    rank[order] = fresh[np.searchsorted(fresh, np.arange(len(key)), side="right") - 1]
+    rank[order] = _starts(_changes(key[order]))
     return rank
 
 
@@ -124,7 +138,7 @@ class Sorter:
         x, n = text, self.n
         change = np.flatnonzero(x[1:] != x[:-1]) if n else np.zeros(0, np.int64)
         ends = np.concatenate([change, [n - 1]])
-        where = np.searchsorted(ends, np.arange(n)) if n else np.zeros(0, np.int64)
+        where = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1)) if n else np.zeros(0, np.int32)
         self.run = np.minimum(ends[where] - np.arange(n) + 1, cap).astype(np.uint8)
         up = np.zeros(len(ends), bool)  # whether the run is followed by a larger symbol
         up[:-1] = x[ends[:-1] + 1] > x[ends[:-1]] if n else False
@@ -153,7 +167,7 @@ class Sorter:
             _refine(rank, at, key(at, offset))
             offset += 8
         rank = rank_names(rank, 2, self.cap)
-        return p[np.argsort(rank, kind="stable")]
+        return p[np.argsort(rank)]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Capped common prefixes of pairs of suffixes."""

@@ -1,7 +1,7 @@
 """Removal of byte strings that an earlier document has, with suffix arrays by external induced sorting.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Equal strings
-must meet to be found. Each window of LENGTH bytes has an anchor, its smallest 12-gram by hash, and neighbouring windows
+must meet to be found. Each window of LENGTH bytes has an anchor, its smallest 16-gram by hash, and neighbouring windows
 with one anchor form a piece; equal windows have equal anchors, so pieces are dealt to shards by anchor, and anchors
 that only one document has (found by a first pass over anchor hashes) are left out. A shard sorts the suffixes of its
 pieces by external induced sorting (see induced.py), which yields the common-prefix values along with the order; windows
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from framewright.llm.common import bounded_batches, cut, id_filter, shuffle_partitions, table
 from framewright.llm.induced import Sorter
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 16
 #: Windows handled in one step; pieces that a task remembers having sent; the filter of shared anchors has two to the
 #: power FILTER_LOG bits: with many more anchors than that it lets pieces through that nobody shares, and never too few.
-STEP, SENT, FILTER_LOG = 1 << 19, 2_000_000, 27
+STEP, SENT, FILTER_LOG = 1 << 19, 1_000_000, 27
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -47,7 +47,7 @@ def pieces(buffer: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
     two = b[:-1] * _A + b[1:] + _B
     four = two[:-2] * _B + (two[2:] ^ (two[2:] >> np.uint64(29)))
     eight = four[:-4] * _C + (four[4:] ^ (four[4:] >> np.uint64(31)))
-    gram = eight[: len(b) - GRAM + 1] * _A + (four[8:] ^ (four[8:] >> np.uint64(30)))
+    gram = eight[:-8] * _A + (eight[8:] ^ (eight[8:] >> np.uint64(30)))
     gram = (gram ^ (gram >> np.uint64(32))) * _B
     gram ^= gram >> np.uint64(29)
     best = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)  # the leftmost of equal hashes
@@ -210,27 +210,32 @@ class _Sent:
         every, at = np.unique(h, return_inverse=True)
         least = np.full(len(every), np.iinfo(np.int64).max)
         np.minimum.at(least, at, d)
+        fresh = np.ones(len(every), bool)
         if len(self.hashes):
             i = np.minimum(np.searchsorted(self.hashes, every), len(self.hashes) - 1)
-            least = np.where(self.hashes[i] == every, np.minimum(least, self.ids[i]), least)
-        room = np.isin(every, self.hashes, assume_unique=True) if len(self.hashes) + len(every) > SENT else np.ones(len(every), bool)
-        old = ~np.isin(self.hashes, every, assume_unique=True)
-        hashes, ids = np.concatenate([self.hashes[old], every[room]]), np.concatenate([self.ids[old], least[room]])
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], ids[order]
+            fresh = self.hashes[i] != every
+            i = i[~fresh]
+            least[~fresh] = self.ids[i] = np.minimum(least[~fresh], self.ids[i])
+        add = np.flatnonzero(fresh)[: max(0, SENT - len(self.hashes))]
+        if len(add):
+            hashes, ids = np.concatenate([self.hashes, every[add]]), np.concatenate([self.ids, least[add]])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.ids = hashes[order], ids[order]
         return least[at]
 
 
-def _piece_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, by prefix sums of a polynomial over mixed bytes."""
-    n = len(buffer) + 1
-    base = np.uint64(0xD6E8FEB86659FD93)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]).astype(np.uint64), dtype=np.uint64)
-    prefix = np.zeros(n, np.uint64)
-    np.cumsum(_MIXED[buffer] * power[:-1], out=prefix[1:], dtype=np.uint64)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)]).astype(np.uint64), dtype=np.uint64)
-    h = (prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64) * _C
+_POWERS: list[np.ndarray] = []
+
+
+def _piece_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of one step, by prefix sums of a polynomial over mixed bytes."""
+    if not _POWERS:  # made once a process, for the longest step
+        base = 0xD6E8FEB86659FD93
+        for x in (base, pow(base, -1, 1 << 64)):
+            _POWERS.append(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(STEP + 4096, x, np.uint64)]), dtype=np.uint64))
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_MIXED[raw] * _POWERS[0][: len(raw)], out=prefix[1:], dtype=np.uint64)
+    h = (prefix[end] - prefix[start]) * _POWERS[1][start] + (end - start).astype(np.uint64) * _C
     h = (h ^ (h >> np.uint64(31))) * _A
     return h ^ (h >> np.uint64(29))
 
@@ -251,14 +256,15 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 bit = _spread(anchor)
                 use = np.flatnonzero(wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 if len(use):
-                    found.append((first[use] + base, last[use] + base + length - 1, anchor[use], np.full(len(use), i), np.full(len(use), offset - base)))
+                    a, b = first[use], last[use] + length - 1
+                    found.append((a + base, b + base, anchor[use], np.full(len(use), i), np.full(len(use), offset - base), _piece_hashes(raw, a, b)))
                     buffers.append(raw)
                     base += len(raw)
             if not found:
                 continue
-            start, end, anchor, doc, shift = (np.concatenate(x) for x in zip(*found, strict=True))
+            start, end, anchor, doc, shift, h = (np.concatenate(x) for x in zip(*found, strict=True))
             buffer = np.concatenate(buffers)
-            own = doc == sent.owner(_piece_hashes(buffer, start, end), doc)
+            own = doc == sent.owner(h, doc)
             rows = []
             # another document with a smaller id has the whole piece
             done = _join(doc[~own], (start + shift)[~own], (end + shift)[~own])
