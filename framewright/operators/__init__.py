@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Relational operators on ordered streams and container tables."""
