@@ -251,11 +251,10 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::bigint as siz
     "future_min_pts": "select user_id, event_id, event_id * 7919 % 1000 as pts, min(event_id * 7919 % 1000) over (partition by user_id order by event_id rows between current row and unbounded following) as future_min from events",
     "reorder_by_pts": "select user_id, event_id, event_id * 7919 % 1000 as pts, row_number() over (partition by user_id order by event_id * 7919 % 1000, event_id) as rank from events",
     "bounded_reorder": """
-with e as (select user_id, row_number() over (partition by user_id order by event_id) as dts from events),
-p as (select user_id, dts, dts + dts * 5 % 4 as pts from e)
-select a.user_id, a.dts, a.pts, (select greatest(min(b.dts), a.dts) from p b where b.user_id = a.user_id
-   and (select count(*) from p c where c.user_id = a.user_id and c.dts <= b.dts and (c.pts > a.pts or c.pts = a.pts and c.dts > a.dts)) >= 4
-   and b.dts >= a.dts) as released_at from p a""",
+with e as (select user_id, row_number() over (partition by user_id order by event_id) as dts, count(*) over (partition by user_id) as n from events),
+p as (select *, dts + dts * 5 % 4 as pts from e),
+r as (select *, row_number() over (partition by user_id order by pts, dts) + 4 as r from p)
+select user_id, dts, pts, case when r <= n then r end as released_at from r""",
     "seek_keyframe": "select user_id, coalesce(max(event_id) filter (event_type = 'purchase' and event_id <= 5000), 0) as start from events group by 1",
     "audio_seek": """
 with e as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as n from events)
