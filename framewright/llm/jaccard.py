@@ -4,9 +4,9 @@ Texts with the same set of shingles are folded into one. Similar texts are then
 min-hash are compared with a few centres of their bucket, and those that link with a centre join its group. Each group's
 token union is kept as rows (token, group), the columns of the token-group matrix that are not zero; of each text only
 those tokens are needed without which no partner can reach the threshold. Which these are follows from one order of all
-tokens: rare before frequent (by a bounded heavy-hitter summary of the whole corpus), then by hash. A text can link into
+tokens: those that few sets have before frequent ones (counted over the whole corpus), then by hash. A text can link into
 another group only if their unions share such a token at positions and sizes that leave enough for the threshold, and
-if the counts of their shingles by first byte bound what they share from above by enough; only those group pairs are
+if the counts of their shingles by leading bits bound what they share from above by enough; only those group pairs are
 opened, and the texts that caused it are compared exactly. No link between different texts is lost:
 what is not compared lies in one group already or fails a bound.
 
@@ -32,11 +32,12 @@ from framewright.llm.components import components
 WORDS, PERCENT = 5, 75
 #: Min-hashes a text is grouped by; rounds of comparing with centres.
 MINHASHES, ROUNDS = 4, 2
-#: Tokens the heavy-hitter summary holds at most, and how often the corpus must have one for it to count as frequent.
-HEAVY, HEAVY_LEAST = 1 << 16, 16
+#: Tokens that come last in the order of all tokens, at most, and how many sets must have one of them.
+FREQUENT, FREQUENT_LEAST = 1 << 18, 6
 
 _PIECE = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
+_HIGH = np.uint64(0xFFFFFFFFFFFF0000)
 _SEEDS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -78,39 +79,26 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Summary:
-    """Misra-Gries: the most frequent tokens, with counts too low by at most what was taken off."""
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles begin with each of a power of two of leading bit patterns, up to 255; finer for larger sets."""
+    bits = max(6, int(len(s) * 2 // 5).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
-    def __init__(self, size: int):
-        self.size, self.tokens, self.counts, self.waiting, self.held = size, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-    def add(self, tokens: np.ndarray) -> None:
-        self.waiting.append(tokens)
-        self.held += len(tokens)
-        if self.held > 1 << 21:
-            self.fold()
-
-    def fold(self) -> None:
-        if not self.waiting:
-            return
-        fresh, n = np.unique(np.concatenate(self.waiting), return_counts=True)
-        self.waiting, self.held = [], 0
-        tokens, at = np.unique(np.concatenate([self.tokens, fresh]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([self.counts, n]), len(tokens)).astype(np.int64)
-        if len(tokens) > self.size:
-            counts -= np.partition(counts, -self.size - 1)[-self.size - 1]
-        self.tokens, self.counts = tokens[counts > 0], counts[counts > 0]
+def room(a: bytes, b: bytes) -> int:
+    """How many shingles two sets can share at most, by their sketches."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 62  # counts stop there
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
 
 
 def _scan(documents: DataFrame, words: int) -> DataFrame:
-    """kind 0: id, n, key, min-hashes and sketch (how many shingles begin with each byte) of each document; kind 1: token (as id) and count (as n) of the summaries."""
+    """id, n, key, min-hashes and sketch of each document; the last three are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = Summary(HEAVY)
-
-        def rows(kind, ids, n, keys, mins, sketches):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["kind", "id", "n", "key", "mins", "sketch"])
-
         for batch in batches:
             n, keys, mins, sketches = [], [], [], []
             for text in batch.column(1):
@@ -118,14 +106,57 @@ def _scan(documents: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 mins.append([int(mix(s ^ seed).min()) - (1 << 63) for seed in _SEEDS[:MINHASHES]] if len(s) else None)
-                sketches.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() if len(s) else None)
-                heavy.add(s)
-            yield rows(0, batch.column(0), n, keys, mins, sketches)
-        heavy.fold()
-        some = heavy.counts > 1
-        yield rows(1, heavy.tokens[some].view(np.int64), heavy.counts[some], *([None] * int(some.sum()),) * 3)
+                sketches.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n", "key", "mins", "sketch"])
+
+    return documents.mapInArrow(run, "id long, n long, key binary, mins array<long>, sketch binary")
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, rows) for each shard that has any."""
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        yield i, order[bounds[i] : bounds[i + 1]]
+
+
+def _six(tokens: np.ndarray) -> bytes:
+    """Tokens without their low bytes: where these meet, a match only suggests."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _of_six(raw: bytes) -> np.ndarray:
+    eight = np.zeros((len(raw) // 6, 8), np.uint8)
+    eight[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return eight.view(np.uint64)[:, 0]
+
+
+def _frequent(documents: DataFrame, words: int, percent: int, shards: int) -> np.ndarray:
+    """Tokens (without their low bytes) that many different sets have among those they'd need in order of hash, and a
+    bit more; sorted, the FREQUENT most frequent ones at most. Equal sets count once a task."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            some = [np.zeros(0, np.uint64)]
+            for text in batch.column(1):
+                s = shingles(text.as_py(), words)
+                key = xxhash.xxh3_64_digest(s.tobytes())
+                if key not in seen:
+                    seen.add(key)
+                    some.append(s[: _needed(len(s), percent) * 7 // 5] if len(s) else s)
+            token = np.concatenate(some)
+            rows = [{"shard": i, "packed": _six(token[at])} for i, at in _by_shard((token >> np.uint64(16)).astype(np.int64) % shards, shards)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("packed", pa.binary())]))
+
+    def count(t: pa.Table) -> pa.Table:
+        token, n = np.unique(np.concatenate([_of_six(raw.as_py()) for raw in t.column("packed")]), return_counts=True)
+        often = n >= FREQUENT_LEAST
+        return pa.table({"token": token[often].view(np.int64), "n": n[often]})
 
-    return documents.mapInArrow(run, "kind int, id long, n long, key binary, mins array<long>, sketch binary")
+    counts = documents.mapInArrow(pack, "shard int, packed binary").groupBy("shard").applyInArrow(count, "token long, n long")
+    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()  # FREQUENT rows at most
+    return np.sort(rows.column("token").to_numpy().view(np.uint64))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,15 +165,12 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     some = sets.where(needed(F.col("rep"))).select("rep", "n", "sketch")
 
     @F.arrow_udf("boolean")
-    def room(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 256) for c in (sa, sb))
-        n, m = (c.to_numpy(zero_copy_only=False) for c in (na, nb))
-        least = -(-percent * (n + m) // (100 + percent))
-        full = ((x == 255) & (y == 255)).any(axis=1)  # counts stop at 255
-        return pa.array(full | (np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least), pa.bool_())
+    def fits(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (sa, sb, na, nb)), strict=True)
+        return pa.array([room(x, y) >= -(-percent * (n + m) // (100 + percent)) for x, y, n, m in rows], pa.bool_())
 
     a, b = (some.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").where(room("sa", "sb", "na", "nb")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(fits("sa", "sb", "na", "nb")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
@@ -185,7 +213,7 @@ def _needed(n: np.ndarray | int, percent: int):
 
 def _matrix(documents: DataFrame, frequent: np.ndarray, words: int, percent: int, shards: int) -> DataFrame:
     """(token, key, n, pos) of needed tokens that two or more different sets have. Sent as packed arrays by shard."""
-    shared = documents.sparkSession.sparkContext.broadcast(frequent)  # HEAVY tokens at most
+    shared = documents.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT tokens at most
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -199,7 +227,8 @@ def _matrix(documents: DataFrame, frequent: np.ndarray, words: int, percent: int
                 if key in seen:
                     continue
                 seen.add(key)
-                late = np.isin(s, shared.value, assume_unique=True)
+                at = np.minimum(np.searchsorted(shared.value, s & _HIGH), max(0, len(shared.value) - 1))
+                late = shared.value[at] == s & _HIGH if len(shared.value) else np.zeros(len(s), bool)
                 p = _needed(len(s), percent)
                 early = s[~late]
                 use = early[:p] if len(early) >= p else np.concatenate([early, s[late][: p - len(early)]])
@@ -212,28 +241,20 @@ def _matrix(documents: DataFrame, frequent: np.ndarray, words: int, percent: int
                 continue
             token, doc, position = np.concatenate(tokens), np.concatenate(docs), np.concatenate(positions)
             key, size = np.array(keys, np.int64), np.array(sizes, np.int64)
-            shard = (token % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
             out = []
-            for i in range(shards):
-                at = order[bounds[i] : bounds[i + 1]]
-                if len(at):
-                    used, local = np.unique(doc[at], return_inverse=True)
-                    six = token[at].view(np.uint8).reshape(-1, 8)[:, 2:]  # the low bytes are dropped: a match only suggests
-                    out.append((i, len(at), len(used), six.tobytes() + local.astype(np.uint16).tobytes() + position[at].tobytes() + key[used].tobytes() + size[used].tobytes()))
+            for i, at in _by_shard((token >> np.uint64(16)).astype(np.int64) % shards, shards):
+                used, local = np.unique(doc[at], return_inverse=True)
+                out.append((i, len(at), len(used), _six(token[at]) + local.astype(np.uint16).tobytes() + position[at].tobytes() + key[used].tobytes() + size[used].tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "tokens", "sets", "packed"), x, strict=True)) for x in out], schema=pa.schema([("shard", pa.int32()), ("tokens", pa.int32()), ("sets", pa.int32()), ("packed", pa.binary())]))
 
     def meet(t: pa.Table) -> pa.Table:
         token, key, size, position = [], [], [], []
         for m, d, raw in zip(t.column("tokens").to_pylist(), t.column("sets").to_pylist(), t.column("packed"), strict=True):
-            raw = np.frombuffer(raw.as_py(), np.uint8)
-            eight = np.zeros((m, 8), np.uint8)
-            eight[:, 2:] = raw[: 6 * m].reshape(m, 6)
-            token.append(eight.view(np.int64)[:, 0])
-            local = np.frombuffer(raw[6 * m : 8 * m].tobytes(), np.uint16)
-            position.append(raw[8 * m : 9 * m])
-            rest = np.frombuffer(raw[9 * m :].tobytes(), np.int64)
+            raw = raw.as_py()
+            token.append(_of_six(raw[: 6 * m]).view(np.int64))
+            local = np.frombuffer(raw[6 * m : 8 * m], np.uint16)
+            position.append(np.frombuffer(raw[8 * m : 9 * m], np.uint8))
+            rest = np.frombuffer(raw[9 * m :], np.int64)
             key.append(rest[:d][local])
             size.append(rest[d:][local])
         token, key, size, position = map(np.concatenate, (token, key, size, position))
@@ -292,10 +313,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    scan = cut(_scan(docs, words))
-    each = scan.where("kind = 0").select("id", "n", "key", "mins", "sketch")
-    heavy = scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST).orderBy(F.desc("n"), "id").limit(HEAVY)
-    frequent = np.sort(np.array([r["id"] for r in heavy.collect()], np.int64).view(np.uint64))  # HEAVY rows at most
+    each = cut(_scan(docs, words))
     sets = cut(each.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")))
 
     links = spark.createDataFrame([], "a long, b long")
@@ -305,6 +323,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
         links = links.union(found)
         group = components(links)
     shards = shuffle_partitions(spark)
+    frequent = _frequent(docs, words, percent, max(8, shards // 2))
     columns = _matrix(docs, frequent, words, percent, max(8, shards // 2))
     names = sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep")
     names = names.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("g"))
