@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Media containers and bitstream headers as tables."""

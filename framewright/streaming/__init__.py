@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Stateful processing of ordered packets."""
