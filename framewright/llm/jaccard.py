@@ -31,7 +31,7 @@ from framewright.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Min-hashes a text is grouped by; rounds of comparing with centres.
-MINHASHES, ROUNDS = 4, 2
+MINHASHES, ROUNDS = 4, 3
 #: Tokens that come last in the order of all tokens, at most, and how many sets must have one of them.
 FREQUENT, FREQUENT_LEAST = 1 << 18, 6
 
@@ -131,9 +131,10 @@ def _of_six(raw: bytes) -> np.ndarray:
     return eight.view(np.uint64)[:, 0]
 
 
-def _frequent(documents: DataFrame, words: int, percent: int, shards: int) -> np.ndarray:
+def _frequent(documents: DataFrame, words: int, percent: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens (without their low bytes) that many different sets have among those they'd need in order of hash, and a
-    bit more; sorted, the FREQUENT most frequent ones at most. Equal sets count once a task."""
+    bit more, sorted, with the logarithm of how many; the FREQUENT most frequent ones at most. Equal sets count once a
+    task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -155,8 +156,10 @@ def _frequent(documents: DataFrame, words: int, percent: int, shards: int) -> np
         return pa.table({"token": token[often].view(np.int64), "n": n[often]})
 
     counts = documents.mapInArrow(pack, "shard int, packed binary").groupBy("shard").applyInArrow(count, "token long, n long")
-    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()  # FREQUENT rows at most
-    return np.sort(rows.column("token").to_numpy().view(np.uint64))
+    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    token, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], np.log2(n[order].astype(np.float64)).astype(np.int8)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +214,7 @@ def _needed(n: np.ndarray | int, percent: int):
     return n + (-percent * n) // 100 + 1
 
 
-def _matrix(documents: DataFrame, frequent: np.ndarray, words: int, percent: int, shards: int) -> DataFrame:
+def _matrix(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int, shards: int) -> DataFrame:
     """(token, key, n, pos) of needed tokens that two or more different sets have. Sent as packed arrays by shard."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT tokens at most
 
@@ -227,11 +230,13 @@ def _matrix(documents: DataFrame, frequent: np.ndarray, words: int, percent: int
                 if key in seen:
                     continue
                 seen.add(key)
-                at = np.minimum(np.searchsorted(shared.value, s & _HIGH), max(0, len(shared.value) - 1))
-                late = shared.value[at] == s & _HIGH if len(shared.value) else np.zeros(len(s), bool)
+                known, levels = shared.value
+                at = np.minimum(np.searchsorted(known, s & _HIGH), max(0, len(known) - 1))
+                late = known[at] == s & _HIGH if len(known) else np.zeros(len(s), bool)
                 p = _needed(len(s), percent)
-                early = s[~late]
-                use = early[:p] if len(early) >= p else np.concatenate([early, s[late][: p - len(early)]])
+                use = s[~late][:p]
+                if len(use) < p:  # then the frequent ones, rarer ones first
+                    use = np.concatenate([use, s[late][np.argsort(levels[at[late]], kind="stable")][: p - len(use)]])
                 tokens.append(use)
                 docs.append(np.full(len(use), len(keys), np.uint16))
                 positions.append((np.arange(len(use)) * 255 // max(1, len(s))).astype(np.uint8))
@@ -272,13 +277,19 @@ def _matrix(documents: DataFrame, frequent: np.ndarray, words: int, percent: int
     return documents.mapInArrow(pack, "shard int, tokens int, sets int, packed binary").groupBy("shard").applyInArrow(meet, "token long, key long, n long, pos long")
 
 
-def _open(matrix: DataFrame, percent: int, shards: int) -> DataFrame:
-    """Pairs (a, b) of texts in different groups that share a needed token where sizes and positions leave enough."""
+def _open(matrix: DataFrame, percent: int, shards: int, one: bool) -> DataFrame:
+    """Pairs (a, b) of texts in different groups that share a needed token where sizes and positions leave enough.
+
+    With ``one`` a group is stood for by one of its texts with that token, another one for another token.
+    """
 
     def pairs(t: pa.Table) -> pa.Table:
         token, rep, group, n, pos = (t.column(c).to_numpy() for c in ("token", "rep", "g", "n", "pos"))
-        order = np.lexsort((n, group, token))
+        order = np.lexsort((mix(rep.view(np.uint64) ^ token.view(np.uint64)), group, token))
         token, rep, group, n, pos = (x[order] for x in (token, rep, group, n, pos))
+        if one:
+            head = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
+            token, rep, group, n, pos = (x[head] for x in (token, rep, group, n, pos))
         begin = np.searchsorted(token, token, side="left")
         # of a token's rows, each meets those of earlier groups: from the token's first row to its own group's first
         own = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]))
@@ -324,11 +335,14 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
         group = components(links)
     shards = shuffle_partitions(spark)
     frequent = _frequent(docs, words, percent, max(8, shards // 2))
-    columns = _matrix(docs, frequent, words, percent, max(8, shards // 2))
-    names = sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep")
-    names = names.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("g"))
-    found = _verified(_open(columns.join(names, "key"), percent, shards), docs, sets, words, percent)
-    group = components(links.union(found))
+    columns = cut(_matrix(docs, frequent, words, percent, max(8, shards // 2)))
+    names = cut(sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep"))
+    columns = columns.join(names, "key").drop("key")
+    for one in (True, False):  # most groups that belong together do so by texts that stand for them; then the rest, all
+        grouped = columns.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
+        found = _verified(_open(grouped, percent, shards, one), docs, sets, words, percent)
+        links = links.union(found)
+        group = components(links)
 
     whole = sets.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = each.join(whole, "key", "left")
