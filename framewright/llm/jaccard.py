@@ -1,14 +1,14 @@
 """Exact Jaccard join on word n-grams by a token-group matrix.
 
-Texts with the same set of shingles are folded into one. Similar texts are then put into groups: texts that share a
-min-hash are compared with a few centres of their bucket, and those that link with a centre join its group. Each group's
-token union is kept as rows (token, group), the columns of the token-group matrix that are not zero; of each text only
-those tokens are needed without which no partner can reach the threshold. Which these are follows from one order of all
-tokens: those that few sets have before frequent ones (counted over the whole corpus), then by hash. A text can link into
-another group only if their unions share such a token at positions and sizes that leave enough for the threshold, and
-if the counts of their shingles by leading bits bound what they share from above by enough; only those group pairs are
-opened, and the texts that caused it are compared exactly. No link between different texts is lost:
-what is not compared lies in one group already or fails a bound.
+Texts with the same set of shingles are folded into one. Similar texts, those with the same min-hash, are partitioned
+into groups of bounded size. The matrix holds each group's token union as rows (token, group); of each text only those
+tokens are needed without which no partner can reach the threshold. Which these are follows from one order of all
+tokens: those that few sets have before frequent ones (counted over the whole corpus), then by hash. A text opens a
+group only if they share such a token at positions and sizes that bound what they can share from above by enough; inside
+an opened group it is compared exactly with every member at once. Lone texts, which have no similar ones, are compared in
+pairs, after counts of their shingles by leading bits have bounded the overlap once more. Before all that, texts are
+compared with a few centres of their min-hash buckets, since what lies in one component by these links needn't be opened
+for each other. No link between different texts is lost but between those that are connected anyway.
 
 Shingles are 64-bit hashes of ``words`` lower-cased words (A-Z only) between ASCII white space. A text with fewer words
 is one shingle; null, empty or blank texts have none and link with nothing. Long texts are read in pieces. Documents are
@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import bounded_batches, cut, id_filter, shuffle_partitions, table
-from framewright.llm.components import components
+from framewright.llm.components import components, forest
 
 WORDS, PERCENT = 5, 75
 #: Min-hashes a text is grouped by; rounds of comparing with centres.
-MINHASHES, ROUNDS = 4, 3
+MINHASHES, ROUNDS = 4, 2
 #: Tokens that come last in the order of all tokens, at most, and how many sets must have one of them.
 FREQUENT, FREQUENT_LEAST = 1 << 18, 6
+#: Sets and shingles of a group of the matrix, and queries of a task that opens one.
+GROUP_SETS, GROUP_TOKENS, GROUP_QUERIES = 128, 1 << 18, 256
 
 _PIECE = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -277,37 +279,93 @@ def _matrix(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words
     return documents.mapInArrow(pack, "shard int, tokens int, sets int, packed binary").groupBy("shard").applyInArrow(meet, "token long, key long, n long, pos long")
 
 
-def _open(matrix: DataFrame, percent: int, shards: int, one: bool) -> DataFrame:
-    """Pairs (a, b) of texts in different groups that share a needed token where sizes and positions leave enough.
+def _groups(sets: DataFrame) -> DataFrame:
+    """rep, tg, members: the matrix group of each set. Sets with one first min-hash are similar; they are dealt into
+    groups of about GROUP_TOKENS shingles, and of GROUP_SETS sets at most on average."""
+    size = sets.groupBy(F.col("mins")[0].alias("m")).agg(F.count(F.lit(1)).alias("sets_"), F.sum("n").alias("tokens_"))
+    parts = F.greatest(F.ceil(F.col("sets_") / GROUP_SETS), F.ceil(F.col("tokens_") / GROUP_TOKENS))
+    dealt = sets.select("rep", F.col("mins")[0].alias("m")).join(size, "m").withColumn("tg", F.xxhash64("m", F.pmod(F.xxhash64("rep"), parts)))
+    return dealt.select("rep", "tg", (F.col("sets_") == 1).alias("alone"))
 
-    With ``one`` a group is stood for by one of its texts with that token, another one for another token.
-    """
+
+def _open(matrix: DataFrame, percent: int, shards: int) -> DataFrame:
+    """(q, tg) of texts and matrix groups with a text of another component, where they share a needed token and sizes
+    and positions leave enough; ``alone`` and ``only`` if the group is one text."""
 
     def pairs(t: pa.Table) -> pa.Table:
-        token, rep, group, n, pos = (t.column(c).to_numpy() for c in ("token", "rep", "g", "n", "pos"))
-        order = np.lexsort((mix(rep.view(np.uint64) ^ token.view(np.uint64)), group, token))
-        token, rep, group, n, pos = (x[order] for x in (token, rep, group, n, pos))
-        if one:
-            head = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-            token, rep, group, n, pos = (x[head] for x in (token, rep, group, n, pos))
-        begin = np.searchsorted(token, token, side="left")
-        # of a token's rows, each meets those of earlier groups: from the token's first row to its own group's first
-        own = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]))
-        first = own[np.searchsorted(own, np.arange(len(token)), side="right") - 1]
-        many = first - begin
-        out = [np.zeros((0, 2), np.int64)]
+        token, rep, comp, tg, n, pos = (t.column(c).to_numpy() for c in ("token", "rep", "g", "tg", "n", "pos"))
+        alone = t.column("alone").to_numpy(zero_copy_only=False)
+        order = np.lexsort((tg, token))
+        token, rep, comp, tg, n, pos, alone = (x[order] for x in (token, rep, comp, tg, n, pos, alone))
+        head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (tg[1:] != tg[:-1])]))
+        count = np.diff(np.append(head, len(token)))
+        # of each group here: sizes from least to most, most that can follow, and its component if it is one
+        small, large = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
+        rest = np.maximum.reduceat(n - pos, head)
+        low, high = np.minimum.reduceat(comp, head), np.maximum.reduceat(comp, head)
+        of = token[head]
+        first, last = np.searchsorted(of, token, side="left"), np.searchsorted(of, token, side="right")
+        many = last - first
+        found = [np.zeros((0, 2), np.int64)]
+        only = [np.zeros((0, 2), np.int64)]
         for at in _slices(many, 1 << 20):
             i = np.repeat(np.arange(at.start, at.stop), many[at])
-            j = np.arange(len(i)) - np.repeat(np.cumsum(many[at]) - many[at], many[at]) + begin[i]
-            least = -(-percent * (n[i] + n[j]) // (100 + percent))  # what two texts of these sizes must share
-            fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
-            p, q = rep[i[fits]], rep[j[fits]]
-            out.append(np.unique(np.stack([np.maximum(p, q), np.minimum(p, q)], 1), axis=0))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+            k = np.arange(len(i)) - np.repeat(np.cumsum(many[at]) - many[at], many[at]) + first[i]
+            other = np.clip(n[i], small[k], large[k])  # the nearest size in the group's range
+            least = -(-percent * (n[i] + small[k]) // (100 + percent))
+            fits = (100 * np.minimum(n[i], other) >= percent * np.maximum(n[i], other)) & (np.minimum(n[i] - pos[i], rest[k]) >= least)
+            fits &= (low[k] != high[k]) | (low[k] != comp[i])
+            i, k = i[fits], k[fits]
+            one = alone[head[k]]
+            # two lone texts meet once; a lone text doesn't open a group that would open it as well
+            keep = one & alone[i] & (rep[i] > rep[head[k]])
+            only.append(np.unique(np.stack([rep[i[keep]], rep[head[k[keep]]]], 1), axis=0))
+            keep = ~one & (alone[i] | (tg[i] >= tg[head[k]]))
+            found.append(np.unique(np.stack([rep[i[keep]], tg[head[k[keep]]]], 1), axis=0))
+        a, b = np.unique(np.concatenate(only), axis=0), np.unique(np.concatenate(found), axis=0)
+        return pa.table({"q": np.concatenate([a[:, 0], b[:, 0]]), "tg": np.concatenate([a[:, 1], b[:, 1]]), "only": np.concatenate([np.ones(len(a), bool), np.zeros(len(b), bool)])})
 
     shard = F.pmod(F.xxhash64("token"), F.lit(4 * shards)).cast("int")
-    return matrix.withColumn("shard", shard).groupBy("shard").applyInArrow(pairs, "a long, b long").distinct()
+    return matrix.withColumn("shard", shard).groupBy("shard").applyInArrow(pairs, "q long, tg long, only boolean").distinct()
+
+
+def _opened(queries: DataFrame, groups: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts and the members of the groups (q, tg) that they open, by exact comparison.
+
+    A group's members meet its queries in tasks of about GROUP_QUERIES queries each, so no group is too large for one.
+    """
+    queries = cut(queries)
+    salts = queries.groupBy("tg").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("salts"))
+    asked = queries.join(salts, "tg").select("tg", F.pmod(F.xxhash64("q"), "salts").cast("int").alias("salt"), F.col("q").alias("id"), F.lit(True).alias("asks"))
+    members = groups.where("not alone").join(salts, "tg").select("tg", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rep").alias("id"), F.lit(False).alias("asks"))
+    rows = cut(asked.union(members))
+    needed = id_filter(rows.select("id").distinct())
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
+        texts = t.column("text")
+        inside = np.flatnonzero(~asks)
+        sets = [shingles(texts[int(i)].as_py(), words) for i in inside]
+        token = np.concatenate([np.zeros(0, np.uint64), *sets])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        size = np.array([len(s) for s in sets], np.int64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(asks).tolist():
+            s = shingles(texts[i].as_py(), words)
+            low, high = np.searchsorted(token, s, side="left"), np.searchsorted(token, s, side="right")
+            many = high - low
+            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            both = np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero((100 * both >= percent * (len(s) + size - both)) & (size > 0) & (ids[inside] != ids[i]))
+            a.append(np.full(len(hit), ids[i]))
+            b.append(ids[inside[hit]])
+        a, b = forest(np.concatenate(a), np.concatenate(b))
+        return pa.table({"a": a, "b": b})
+
+    texts = documents.where(needed(F.col("id")))
+    return cut(rows.join(texts, "id").groupBy("tg", "salt").applyInArrow(compare, "a long, b long"))
 
 
 def _slices(many: np.ndarray, most: int) -> Iterator[slice]:
@@ -335,14 +393,15 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
         group = components(links)
     shards = shuffle_partitions(spark)
     frequent = _frequent(docs, words, percent, max(8, shards // 2))
-    columns = cut(_matrix(docs, frequent, words, percent, max(8, shards // 2)))
-    names = cut(sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep"))
+    names = sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep")
+    columns = _matrix(docs, frequent, words, percent, max(8, shards // 2))
     columns = columns.join(names, "key").drop("key")
-    for one in (True, False):  # most groups that belong together do so by texts that stand for them; then the rest, all
-        grouped = columns.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
-        found = _verified(_open(grouped, percent, shards, one), docs, sets, words, percent)
-        links = links.union(found)
-        group = components(links)
+    groups = cut(_groups(sets))
+    columns = columns.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component").join(groups, "rep")
+    opened = cut(_open(columns, percent, shards))
+    links = links.union(_opened(opened.where("not only").select("q", "tg"), groups, docs, words, percent))
+    links = links.union(_verified(opened.where("only").select(F.col("q").alias("a"), F.col("tg").alias("b")), docs, sets, words, percent))
+    group = components(links)
 
     whole = sets.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = each.join(whole, "key", "left")
