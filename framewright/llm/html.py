@@ -3,8 +3,8 @@
 A page is cut into blocks at block-level tags. Pass one decides blocks on their own: those inside boilerplate containers
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) and those made of links are out, long ones with
 enough stop words are in. Short blocks and those between stay ambiguous; pass two gives each the label of its nearest
-decided neighbours within the same part of the page, where the page's article element, if it has one, counts as decided
-good at its edges.
+decided neighbours within the same part of the page: its article element, or all of it if it has none. Boilerplate
+containers are no neighbours, and the edge of the part counts as main text.
 
 A null html counts as empty and an empty page has empty text. Unclosed tags, comments and entities at the end of a cut
 page are read as browsers do. The work is linear in the page's length; nothing is capped. Repeated rows get equal
@@ -174,23 +174,20 @@ def main_text(html: str | None) -> str:
         j = i
         while j < len(blocks) and blocks[j][3] == blocks[i][3]:
             j += 1
-        inside = blocks[i][3] > 0
-        if inside or not has_article:
+        if blocks[i][3] > 0 or not has_article:
             labels = [decide(b) for b in blocks[i:j]]
-            edge = (inside, -1), (inside, len(labels))
+            edge = True  # with no decided block on a side, the part itself speaks for main text
             before: list[tuple[bool, int]] = []
-            last = edge[0]
+            last = (edge, -1)
             for k, x in enumerate(labels):
                 before.append(last)
                 if x is not None and not blocks[i + k][2]:
                     last = (x, k)
-            following = edge[1]
+            following = (edge, len(labels))
             for k in range(len(labels) - 1, -1, -1):
                 if labels[k] is None:
-                    (a, p), (b, n) = before[k], following
-                    good = a if a == b else a if k - p < n - k else b if n - k < k - p else True
-                    if good:
-                        labels[k] = True
+                    (one, p), (two, n) = before[k], following
+                    labels[k] = one if one == two or k - p < n - k else two if n - k < k - p else True
                 elif not blocks[i + k][2]:
                     following = (labels[k], k)
             out += [b[0] for b, x in zip(blocks[i:j], labels, strict=True) if x]
