@@ -74,9 +74,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", _quoted(END)), lambda b: b != "")
 
     def turns(block: Column) -> Column:
-        pieces = F.split(block, _quoted(TEXT))
-        role = F.substring(F.get(pieces, F.lit(0)), F.lit(len(TURN) + 1), F.length(F.get(pieces, F.lit(0))))
-        return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda t: F.struct(role.alias("role"), t.alias("text")))
+        def of(pieces: Column) -> Column:
+            head = F.get(pieces, F.lit(0))
+            role = F.substring(head, F.lit(len(TURN) + 1), F.length(head))
+            return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda t: F.struct(role.alias("role"), t.alias("text")))
+
+        return F.transform(F.array(F.split(block, _quoted(TEXT))), of)[0]  # as a variable the block is split once
 
     df = formatted.select("conv_id", "formatted", "loss_runs", F.flatten(F.transform(blocks, turns)).alias("raw"))
     body = F.filter("loss_runs", lambda r, i: i % 3 == 1)

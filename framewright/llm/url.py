@@ -70,12 +70,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def features(host: Column, path: Column) -> Column:
     """The hashed n-grams of ``^host$path$``, one integer from 0 for each, repeats kept."""
-    chars = F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "")
+    text = F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "")
 
-    def gram(n: int):
-        return F.transform(chars, lambda c, i: F.pmod(F.xxhash64(F.lit(n), c, *(F.get(chars, i + k) for k in range(1, n))), F.lit(DIMENSIONS)).cast("int"))
+    def grams(chars: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.transform(chars, lambda c, i: F.pmod(F.xxhash64(F.lit(n), c, *(F.get(chars, i + k) for k in range(1, n))), F.lit(DIMENSIONS)).cast("int"))
 
-    return F.concat(*map(gram, NGRAMS))
+        return F.concat(*map(of, NGRAMS))
+
+    return F.transform(F.array(text), grams)[0]  # as a variable the characters are split once, not once for each gram
 
 
 def train(spark: SparkSession, blocked=BLOCKED, allowed=ALLOWED) -> list[float]:
@@ -113,9 +116,11 @@ def train(spark: SparkSession, blocked=BLOCKED, allowed=ALLOWED) -> list[float]:
 def score(host: Column, path: Column, weights: list[float]) -> Column:
     """Probability that the URL is to be blocked."""
     w = F.lit(weights[:-1])
-    x = features(host, path)
-    z = F.aggregate(x, F.lit(0.0), lambda s, i: s + F.get(w, i)) / F.sqrt(F.size(x).cast("double")) + F.lit(weights[-1])
-    return 1 / (1 + F.exp(-z))
+
+    def logit(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, i: s + F.get(w, i)) / F.sqrt(F.size(x).cast("double")) + F.lit(weights[-1])
+
+    return 1 / (1 + F.exp(-F.transform(F.array(features(host, path)), logit)[0]))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, weights: list[float] | None = None) -> DataFrame:
