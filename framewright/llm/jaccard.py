@@ -35,7 +35,7 @@ MINHASHES, ROUNDS = 4, 2
 #: Tokens that come last in the order of all tokens, at most, and how many sets must have one of them.
 FREQUENT, FREQUENT_LEAST = 1 << 18, 6
 #: Sets and shingles of a group of the matrix, and queries of a task that opens one.
-GROUP_SETS, GROUP_TOKENS, GROUP_QUERIES = 128, 1 << 18, 256
+GROUP_SETS, GROUP_TOKENS, GROUP_QUERIES = 256, 1 << 18, 1024
 
 _PIECE = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
