@@ -24,6 +24,8 @@ from framewright.llm.common import bounded_batches, table
 
 #: The bounds of the classifier: rows a language that centroids are fitted to, vector length, centroids a language.
 SAMPLE_PER_LANGUAGE, DIMENSIONS, CLUSTERS = 256, 4096, 4
+#: Rows that a centroid must have; the rows of smaller ones go to the others.
+CLUSTER_ROWS = 8
 #: A text is rejected below this share of the similarity that all but REJECT_QUANTILE of the sample reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.3, 0.01
 UNKNOWN = "und"
@@ -62,17 +64,26 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """At most ``k`` unit centroids; the first is the row nearest the mean, each next the row farthest from those before."""
-    seeds = [int(np.argmax(x @ x.mean(0)))]
-    near = x @ x[seeds[0]]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[seeds[-1]])
-    c = x[seeds]
+    """At most ``k`` unit centroids, none of them with fewer than CLUSTER_ROWS rows where ``x`` has enough.
+
+    The first seed is the row nearest the mean, each next a k-means++ draw from the nine tenths of the rows nearest it.
+    """
+    rng, similar = np.random.default_rng(0), x @ x.mean(0)
+    bulk = np.flatnonzero(similar >= np.quantile(similar, 0.1))
+    seeds = [int(np.argmax(similar))]
+    near = x[bulk] @ x[seeds[0]]
+    while len(seeds) < min(k, len(x)) and (w := np.maximum(1 - near, 0)).sum() > 1e-6:
+        seeds.append(int(bulk[rng.choice(len(bulk), p=w / w.sum())]))
+        near = np.maximum(near, x[bulk] @ x[seeds[-1]])
+    c, least = x[seeds], max(1, min(CLUSTER_ROWS, len(x) // (2 * k)))
     for _ in range(rounds):
         of = np.argmax(x @ c.T, axis=1)
-        c = np.stack([x[of == j].sum(0) if (of == j).any() else c[j] for j in range(len(c))])
+        sizes = np.bincount(of, minlength=len(c))
+        kept = np.flatnonzero(sizes >= min(least, sizes.max()))
+        c = np.stack([x[of == j].sum(0) for j in kept])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    while len(c) > 1 and (sizes := np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))).min() < least:
+        c = np.delete(c, np.argmin(sizes), axis=0)
     return c
 
 

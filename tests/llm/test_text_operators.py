@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,17 @@ def test_language_held_out_accuracy(spark):
     assert r[0] > 0.98 and r[1] < 0.02
 
 
+def test_centroids_have_rows():
+    rng = np.random.default_rng(5)
+    centres = np.eye(40)[:3]
+    x = np.concatenate([np.repeat(centres, 80, axis=0) + rng.normal(size=(240, 40)) * 0.05, np.eye(40)[20:24]])  # four rows like no other
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = langid.spherical_kmeans(x, 4)
+    sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    assert len(c) > 1 and sizes.min() >= langid.CLUSTER_ROWS
+    assert langid.spherical_kmeans(x[:1], 4).shape == langid.spherical_kmeans(np.repeat(x[:1], 9, axis=0), 4).shape == (1, 40)
+
+
 def test_trigrams_do_not_depend_on_pieces(monkeypatch):
     text = "some words of a text, and more of them. " * 50
     whole = langid.trigram_counts(text)
