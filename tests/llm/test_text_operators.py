@@ -41,6 +41,19 @@ def test_language_held_out_accuracy(spark):
     assert r[0] > 0.98 and r[1] < 0.02
 
 
+@pytest.mark.parametrize("unseen", ["es", "fr", "de", "en"])
+def test_unseen_language_and_noise_are_rejected(spark, unseen):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id")) & (F.col("lang") != unseen)))
+    rows = langid.identify(docs, model).where(langid.held_out(F.col("doc_id"))).collect()
+    rejected = lambda rs: sum(r["language"]["rejected"] for r in rs) / len(rs)
+    assert rejected([r for r in rows if r["lang"] == unseen and len(r["text"]) >= 200]) > 0.9
+    assert rejected([r for r in rows if r["lang"] != unseen]) < 0.02
+    rng = random.Random(11)
+    noise = [(" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(n)),) for n in (30, 300, 2000)]
+    assert all(r["language"]["rejected"] for r in langid.identify(spark.createDataFrame(noise, "text string"), model).collect())
+
+
 def test_centroids_have_rows():
     rng = np.random.default_rng(5)
     centres = np.eye(40)[:3]
