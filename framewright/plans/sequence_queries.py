@@ -45,7 +45,16 @@ def decode_time_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rle_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-length entries written out; the quantity is the run's length."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    return _expanded(table(spark, sf_dir, "lineitem").where("l_orderkey < 200"))
+
+
+def rle_expand_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all orders."""
+    return _expanded(table(spark, sf_dir, "lineitem"))
+
+
+def _expanded(lines: DataFrame) -> DataFrame:
+    li = lines.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
     return S.expand_runs(li, "q").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
 
 
@@ -227,6 +236,7 @@ QUERIES = {f.__name__: f for f in (
     interleave_seek, decode_time_prefix, rle_expand, chunk_asof, chunk_offsets, future_min_pts, reorder_by_pts, bounded_reorder, seek_keyframe, audio_seek, interleave_merge,
     continuity_gaps, adjacent_repeats, pes_islands, pts_forward_fill, anchored_clock, media_sequence, implicit_byte_ranges, poc_unwrap, block_durations, spread_trim,
     target_duration_violations, repeated_keys, not_appended, sync_semi, packet_loss_anti, media_end, packet_program_map, first_tracks, reference_lists, symbol_histogram, fragment_samples,
+    rle_expand_whole,
 )}
 
 SQL = {
