@@ -178,6 +178,12 @@ def not_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.not_appended(o.where("o_orderkey < 500"), o.where("o_orderkey % 50 <> 3"))
 
 
+def not_appended_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all orders as the earlier snapshot."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return S.not_appended(o, o.where("o_orderkey % 50 <> 3"))
+
+
 def sync_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that have samples."""
     return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
@@ -236,7 +242,7 @@ QUERIES = {f.__name__: f for f in (
     interleave_seek, decode_time_prefix, rle_expand, chunk_asof, chunk_offsets, future_min_pts, reorder_by_pts, bounded_reorder, seek_keyframe, audio_seek, interleave_merge,
     continuity_gaps, adjacent_repeats, pes_islands, pts_forward_fill, anchored_clock, media_sequence, implicit_byte_ranges, poc_unwrap, block_durations, spread_trim,
     target_duration_violations, repeated_keys, not_appended, sync_semi, packet_loss_anti, media_end, packet_program_map, first_tracks, reference_lists, symbol_histogram, fragment_samples,
-    rle_expand_whole,
+    rle_expand_whole, not_appended_whole,
 )}
 
 SQL = {

@@ -24,3 +24,9 @@ def test_rle_expand_whole(spark):
         sums[order] += sum(range(int(quantity)))
     assert max(n) >= 200
     assert sorted(run(spark, "rle_expand_whole", "l_orderkey", "n", "sum_i")) == sorted((o, n[o], sums[o]) for o in n if n[o])
+
+
+def test_not_appended_whole(spark):
+    expected = sorted(r for r in rows_of("orders", "o_orderkey", "o_orderstatus") if r[0] % 50 == 3)
+    assert max(expected)[0] >= 500
+    assert sorted(run(spark, "not_appended_whole", "o_orderkey", "o_orderstatus")) == expected
