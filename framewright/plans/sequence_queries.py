@@ -66,6 +66,13 @@ def chunk_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.as_of_run(rows, runs, ["bucket"], "at", "first", ["p_size"])
 
 
+def chunk_asof_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each line's part key the last run of all parts that starts at or before it, by the supplier's bucket."""
+    runs = table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("bucket"), F.col("p_partkey").alias("first"), "p_size")
+    rows = table(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(10)).cast("int").alias("bucket"), F.col("l_partkey").alias("at"), "l_orderkey", "l_linenumber")
+    return S.as_of_run(rows, runs, ["bucket"], "at", "first", ["p_size"])
+
+
 def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte offset of each sample inside its chunk."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE, F.col("l_quantity").cast("long").alias("size"))
@@ -213,7 +220,16 @@ def first_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest earlier and later picture orders around 5000, as text lists."""
-    e = units(spark, sf_dir).where("event_id % 10 = 0").select("user_id", F.col("event_id").alias("poc"), F.lit(5000).cast("long").alias("current"))
+    return _reference_lists(units(spark, sf_dir).where("event_id % 10 = 0"))
+
+
+def reference_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all events."""
+    return _reference_lists(units(spark, sf_dir))
+
+
+def _reference_lists(pictures: DataFrame) -> DataFrame:
+    e = pictures.select("user_id", F.col("event_id").alias("poc"), F.lit(5000).cast("long").alias("current"))
     out = C.nearest_references(e, STREAM, "poc", "current")
     return out.select("user_id", F.array_join(F.transform("list0", lambda x: x.cast("string")), ",").alias("list0"), F.array_join(F.transform("list1", lambda x: x.cast("string")), ",").alias("list1"))
 
@@ -242,7 +258,7 @@ QUERIES = {f.__name__: f for f in (
     interleave_seek, decode_time_prefix, rle_expand, chunk_asof, chunk_offsets, future_min_pts, reorder_by_pts, bounded_reorder, seek_keyframe, audio_seek, interleave_merge,
     continuity_gaps, adjacent_repeats, pes_islands, pts_forward_fill, anchored_clock, media_sequence, implicit_byte_ranges, poc_unwrap, block_durations, spread_trim,
     target_duration_violations, repeated_keys, not_appended, sync_semi, packet_loss_anti, media_end, packet_program_map, first_tracks, reference_lists, symbol_histogram, fragment_samples,
-    rle_expand_whole, not_appended_whole,
+    rle_expand_whole, chunk_asof_whole, not_appended_whole, reference_lists_whole,
 )}
 
 SQL = {

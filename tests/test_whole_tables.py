@@ -1,5 +1,6 @@
 """Queries over whole tables that have no SQL, against brute force."""
 
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -30,3 +31,27 @@ def test_not_appended_whole(spark):
     expected = sorted(r for r in rows_of("orders", "o_orderkey", "o_orderstatus") if r[0] % 50 == 3)
     assert max(expected)[0] >= 500
     assert sorted(run(spark, "not_appended_whole", "o_orderkey", "o_orderstatus")) == expected
+
+
+def test_chunk_asof_whole(spark):
+    runs = {}
+    for first, size in sorted(rows_of("part", "p_partkey", "p_size")):
+        runs.setdefault(size % 10, []).append((first, size))
+    expected = Counter()
+    for part, supplier, order, line in rows_of("lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"):
+        of = runs.get(supplier % 10, [])
+        at = bisect_right(of, (part, float("inf")))
+        expected[supplier % 10, part, order, line, of[at - 1][1] if at else None] += 1
+    assert Counter(run(spark, "chunk_asof_whole", "bucket", "at", "l_orderkey", "l_linenumber", "p_size")) == expected
+
+
+def test_reference_lists_whole(spark):
+    of = {}
+    for user, event in rows_of("events", "user_id", "event_id"):
+        of.setdefault(user, []).append(event)
+    expected = []
+    for user, events in of.items():
+        past, future = sorted((e for e in events if e < 5000), reverse=True), sorted(e for e in events if e > 5000)
+        expected.append((user, ",".join(map(str, past + future)), ",".join(map(str, future + past))))
+    assert any(e % 10 for events in of.values() for e in events)
+    assert sorted(run(spark, "reference_lists_whole", "user_id", "list0", "list1")) == sorted(expected)
