@@ -146,14 +146,17 @@ def checksum32(data: Column) -> Column:
 def crc32_mpeg(data: Column) -> Column:
     """CRC-32/MPEG-2: polynomial 04C11DB7, not reflected, all ones at first."""
     pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
-    mask = (1 << 32) - 1
-
-    def bit(c: Column, _: Column) -> Column:
-        moved = shl(c, 1).bitwiseAND(F.lit(mask))
-        return F.when(c.bitwiseAND(F.lit(1 << 31)) != 0, moved.bitwiseXOR(F.lit(0x04C11DB7).cast("long"))).otherwise(moved)
+    mask, table = (1 << 32) - 1, []
+    for c in range(256):
+        c <<= 24
+        for _ in range(8):
+            c = (c << 1 & mask) ^ (0x04C11DB7 if c >> 31 else 0)
+        table.append(c)
+    by_byte = F.expr("array(" + ", ".join(f"{c}L" for c in table) + ")")
 
     def byte(c: Column, x: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), c.bitwiseXOR(shl(F.conv(x, 16, 10).cast("long"), 24)), bit)
+        at = F.shiftright(c, 24).bitwiseXOR(F.conv(x, 16, 10).cast("long")).cast("int")
+        return shl(c, 8).bitwiseAND(F.lit(mask)).bitwiseXOR(F.get(by_byte, at))
 
     return F.aggregate(pairs, F.lit(mask).cast("long"), byte)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts(spark: SparkSession, sf_dir: str, size: int, whole: bool) -> DataFrame:
+    """Runs of ``size`` components: the first of each vector, or with its place ``block`` every one."""
+    v = vectors(spark, sf_dir)
+    if not whole:
+        return v.select("vec_id", F.slice("v", 1, size).alias("v"))
+    v = v.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / size).cast("int") - 1)).alias("block"))
+    return v.select("vec_id", "block", F.slice("v", F.col("block") * size + 1, size).alias("v"))
+
+
+def blocks(spark: SparkSession, sf_dir: str, whole: bool = False, size: int = 16) -> DataFrame:
     """4x4 blocks of whole numbers."""
-    return vectors(spark, sf_dir).select("vec_id", F.transform(F.slice("v", 1, 16), lambda x: F.floor(x * 100).cast("long")).alias("b"))
+    return parts(spark, sf_dir, size, whole).select(*key(whole), F.transform("v", lambda x: F.floor(x * 100).cast("long")).alias("b"))
+
+
+def key(whole: bool) -> list[str]:
+    return ["vec_id", "block"] if whole else ["vec_id"]
+
+
+def texts(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    """URLs of pages, or whole texts of documents, as bytes."""
+    if whole:
+        return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("t"))
+    return table(spark, sf_dir, "pages").select("page_id", F.encode("url", "utf-8").alias("t"))
 
 
 def yuv_clamped(spark, sf_dir):
@@ -101,18 +123,20 @@ def display_sizes(spark, sf_dir):
     return ids(spark, sf_dir).select("event_id", w.cast("long").alias("w"), h.cast("long").alias("h"))
 
 
-def byte_sums(spark, sf_dir):
+def byte_sums(spark, sf_dir, whole=False):
     """Checksum of each page's URL bytes, as root strings are signed."""
-    return table(spark, sf_dir, "pages").select("page_id", I.byte_sum(F.encode("url", "utf-8")).bitwiseXOR(F.lit(0x50475342)).alias("signed"))
+    t = texts(spark, sf_dir, whole)
+    return t.select(t.columns[0], I.byte_sum(F.col("t")).bitwiseXOR(F.lit(0x50475342)).alias("signed"))
 
 
-def table_checksums(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", I.checksum32(F.encode("url", "utf-8")).alias("checksum"))
+def table_checksums(spark, sf_dir, whole=False):
+    t = texts(spark, sf_dir, whole)
+    return t.select(t.columns[0], I.checksum32(F.col("t")).alias("checksum"))
 
 
 def crc_mpeg(spark, sf_dir):
-    """CRC-32/MPEG-2 of each nation's name."""
-    return table(spark, sf_dir, "nation").select("n_nationkey", I.crc32_mpeg(F.encode("n_name", "utf-8")).alias("crc"))
+    """CRC-32/MPEG-2 of each document's text."""
+    return texts(spark, sf_dir, True).select("doc_id", I.crc32_mpeg(F.col("t")).alias("crc"))
 
 
 def page_root_match(spark, sf_dir):
@@ -141,52 +165,53 @@ def intensity_stereo(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(F.array_max(A.intensity(F.col("v"), F.col("vec_id") % 13, F.col("vec_id") % 2 == 1)), 6).alias("r"))
 
 
-def inverse_quantize(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", F.round(F.array_max(A.inverse_quantize(F.col("b"), F.lit(96))), 4).alias("top"))
+def inverse_quantize(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), F.round(F.array_max(A.inverse_quantize(F.col("b"), F.lit(96))), 4).alias("top"))
 
 
 def deemphasis(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(F.element_at(A.deemphasis(F.col("v")), -1), 6).alias("last"))
 
 
-def wrapped_deltas(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", F.element_at(A.wrapped_sum16(F.transform("b", lambda x: x * 997)), -1).alias("last"))
+def wrapped_deltas(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), F.element_at(A.wrapped_sum16(F.transform("b", lambda x: x * 997)), -1).alias("last"))
 
 
-def zigzag_blocks(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", F.array_join(A.unzigzag(F.col("b")).cast("array<string>"), ",").alias("b"))
+def zigzag_blocks(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), F.array_join(A.unzigzag(F.col("b")).cast("array<string>"), ",").alias("b"))
 
 
 def _text(c):
     return F.array_join(c.cast("array<string>"), ",")
 
 
-def residual_4x4(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", _text(A.inverse_residual4(F.col("b"))).alias("b"))
+def residual_4x4(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.inverse_residual4(F.col("b"))).alias("b"))
 
 
-def walsh_4x4(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", _text(A.inverse_walsh4(F.col("b"))).alias("b"))
+def walsh_4x4(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.inverse_walsh4(F.col("b"))).alias("b"))
 
 
-def dct_4x4(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", _text(A.inverse_dct4(F.col("b"))).alias("b"))
+def dct_4x4(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.inverse_dct4(F.col("b"))).alias("b"))
 
 
-def chroma_dc(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", _text(A.chroma_dc2(F.slice("b", 1, 4))).alias("b"))
+def chroma_dc(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole, 4).select(*key(whole), _text(A.chroma_dc2(F.col("b"))).alias("b"))
 
 
-def hadamard_blocks(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.round(A.energy(A.hadamard(F.slice("v", 1, 16), 4, 4)) - A.energy(F.slice("v", 1, 16)), 6).alias("gain"), F.round(F.get(A.hadamard(F.slice("v", 1, 16), 4, 4), 0), 6).alias("first"))
+def hadamard_blocks(spark, sf_dir, whole=False):
+    h = A.hadamard(F.col("v"), 4, 4)
+    return parts(spark, sf_dir, 16, whole).select(*key(whole), F.round(A.energy(h) - A.energy(F.col("v")), 6).alias("gain"), F.round(F.get(h, 0), 6).alias("first"))
 
 
-def residual_added(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", _text(A.add_residual(F.transform("b", lambda x: F.abs(x) % 256), F.col("b"), 8)).alias("b"))
+def residual_added(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.add_residual(F.transform("b", lambda x: F.abs(x) % 256), F.col("b"), 8)).alias("b"))
 
 
-def subpel_row(spark, sf_dir):
-    return blocks(spark, sf_dir).select("vec_id", _text(A.convolve(F.transform("b", lambda x: F.abs(x) % 256), [-1, 6, -19, 78, 78, -19, 6, -1])).alias("b"))
+def subpel_row(spark, sf_dir, whole=False):
+    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.convolve(F.transform("b", lambda x: F.abs(x) % 256), [-1, 6, -19, 78, 78, -19, 6, -1])).alias("b"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -195,6 +220,11 @@ QUERIES = {f.__name__: f for f in (
     zigzag_blocks, residual_4x4, walsh_4x4, dct_4x4, chroma_dc, hadamard_blocks, residual_added, subpel_row,
 )}
 
+#: The same over every block of each vector, and over whole texts of documents.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (
+    byte_sums, table_checksums, inverse_quantize, wrapped_deltas, zigzag_blocks, residual_4x4, walsh_4x4, dct_4x4, chroma_dc, hadamard_blocks, residual_added, subpel_row,
+)}
+
 _IDS = "with e as (select event_id, event_id * 7919 % 256 as a, event_id * 104729 % 256 as b, event_id * 1299709 % 256 as c from events) "
 _V = "with v as (select vec_id, embedding::double[] as v from embeddings) "
 _B = "with b as (select vec_id, list_transform(embedding[1:16], lambda x: floor(x::double * 100)::bigint) as b from embeddings) "
