@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -28,11 +30,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; only where that is unset, as in tests, one of this machine."""
+    """The cluster's shared folder, spark.checkpoint.dir, or the checkpoint folder the session has been given otherwise.
+
+    Where neither is set, a session in one process, as in tests, gets a folder of its machine; a cluster gets an error.
+    """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewright-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="framewright-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,6 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh_columns(df: DataFrame, *names: str) -> None:
+    """Raises an error if ``df`` already has one of the columns that an operator is about to add."""
+    taken = {c.lower() for c in df.columns}
+    if clash := [n for n in names if n.lower() in taken]:
+        raise ValueError(f"the input already has the columns {clash}: rename them or choose other names for the result")
+
+
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back to the machine, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,60 +1,114 @@
 """External induced sorting of suffixes with common-prefix values, in bulk steps over disk-backed queues.
 
 A suffix is of type S if it is smaller than the one behind it, else of type L; an S suffix behind an L suffix is a seed.
-Seeds are ordered by naming the strings between them and then ranking the shorter string of names by recursion on pairs.
-All other suffixes follow by induction: suffixes leave the queues in order, by first character and then by arrival, and
-each puts the one in front of it into the queue of that one's first character, first the L suffixes from the smallest
-up, then the S suffixes from the largest down. Every queue entry is a tuple of position and common-prefix length with the
-entry before it in its queue, taken from the running minimum between the two entries that induced them. Queues keep
-arrival order, so no entry is ever compared again; beyond a memory budget they lie in an unnamed file of the running task.
-
-Common prefixes are capped, and suffixes that agree for ``cap`` symbols may come in any order among themselves.
+Seeds are ordered by their first ``cap`` symbols: they are dealt by leading symbols into disk-backed queues, each of which
+is dealt again by itself until it fits the memory budget. All other suffixes follow by induction: suffixes leave the
+queues in order, by first symbol and then by arrival, and each puts the one in front of it into the queue of that one's
+first symbol, first the L suffixes from the smallest up, then the S suffixes from the largest down. Every queue entry is
+a tuple of position and common-prefix length with the entry before it in its queue, taken from the running minimum between
+the two entries that induced them. Queues keep arrival order, so no entry is ever compared again.
+
+What grows with the text, queues and arrays over its symbols alike, is held in memory up to a budget and lies in unnamed
+files of the running task beyond it, so a text may be far larger than memory. Common prefixes are capped, and suffixes that
+agree for ``cap`` symbols may come in any order among themselves.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Bytes that queues of one sort keep in memory, and entries handled in one step.
-MEMORY, STEP = 64 << 20, 1 << 18
+#: Bytes that one sort keeps in memory besides the steps it works on, and entries handled in one step.
+MEMORY, STEP = 48 << 20, 1 << 17
+#: Bytes of memory a seed takes while it is ordered.
+_SEED_BYTES = 64
 _KINDS = 256
 
 
 def scratch_file():
-    """A file without a name among the executor's own spill folders; it is gone when the task is."""
-    folders = (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",")
-    return tempfile.TemporaryFile(dir=next((f for f in folders if f and os.path.isdir(f) and os.access(f, os.W_OK)), None))
+    """A file without a name in the executor's own spill folder; it is gone when the task is."""
+    folders = [f for f in (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",") if f]
+    if not folders:  # outside of an executor, as in tests
+        folders = [tempfile.gettempdir()]
+    for f in folders:
+        if os.path.isdir(f) and os.access(f, os.W_OK):
+            return tempfile.TemporaryFile(dir=f)
+    raise OSError(f"none of the spill folders can be written: {folders}")
 
 
-class Queues:
-    """Queues of (position, common prefix), one for each first symbol, in memory up to a budget and then on disk."""
+class Scratch:
+    """Arrays in memory up to a budget, beyond it in unnamed files."""
 
     def __init__(self, memory: int = MEMORY):
-        self.memory, self.held, self.file = memory, 0, None
-        self.parts: list[list] = [[] for _ in range(_KINDS)]
+        self.left = memory
+
+    def empty(self, n: int, dtype) -> np.ndarray:
+        size = n * np.dtype(dtype).itemsize
+        if size <= self.left:
+            self.left -= size
+            return np.empty(n, dtype)
+        return np.memmap(scratch_file(), dtype, "w+", shape=(n,))
+
+
+class Column:
+    """An array that is appended to, in memory up to a budget, beyond it in an unnamed file."""
+
+    def __init__(self, dtype, memory: int):
+        self.dtype, self.memory, self.held, self.file, self.parts = np.dtype(dtype), memory, 0, None, []
+
+    def append(self, x: np.ndarray) -> None:
+        self.parts.append(np.ascontiguousarray(x, self.dtype))
+        self.held += self.parts[-1].nbytes
+        if self.held > self.memory:
+            self._spill()
+
+    def _spill(self) -> None:
+        self.file = self.file or scratch_file()
+        for part in self.parts:
+            self.file.write(memoryview(part).cast("B") if len(part) else b"")
+        self.parts, self.held = [], 0
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate([np.zeros(0, self.dtype), *self.parts])
+        self._spill()
+        self.file.flush()
+        return np.memmap(self.file, self.dtype, "r+")
+
+
+class Queues:
+    """Queues of (position, common prefix), in memory up to a budget and then on disk."""
+
+    def __init__(self, memory: int, kinds: int = _KINDS):
+        self.memory, self.held, self.file, self.end = memory, 0, None, 0
+        self.parts: list[list] = [[] for _ in range(kinds)]
+        self.taken = [0] * kinds
+        self.entries = [0] * kinds
+        self.fresh: list[tuple[int, int]] = []  # parts in memory, by queue and place
 
     def push(self, kind: int, positions: np.ndarray, common: np.ndarray) -> None:
+        self.fresh.append((kind, len(self.parts[kind])))
         self.parts[kind].append((positions, common))
-        self.held += positions.nbytes + common.nbytes
+        self.entries[kind] += len(positions)
+        self.held += 9 * len(positions)
         if self.held > self.memory:
             self._spill()
 
     def _spill(self) -> None:
         self.file = self.file or scratch_file()
-        for parts in self.parts:
-            for i, part in enumerate(parts):
-                if isinstance(part[0], np.ndarray):
-                    at = self.file.seek(0, os.SEEK_END)
-                    self.file.write(part[0].tobytes())
-                    self.file.write(part[1].tobytes())
-                    parts[i] = (at, len(part[0]))
-        self.held = 0
-
-    def _load(self, part) -> tuple[np.ndarray, np.ndarray]:
+        self.file.seek(self.end)
+        for kind, i in self.fresh:
+            part = self.parts[kind][i]
+            if part is not None:
+                self.file.write(np.asarray(part[0], np.int64).tobytes() + np.asarray(part[1], np.uint8).tobytes())
+                self.parts[kind][i] = (self.end, len(part[0]))
+                self.end += 9 * len(part[0])
+        self.fresh, self.held = [], 0
+
+    def load(self, part) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(part[0], np.ndarray):
             return part
         self.file.seek(part[0])
@@ -62,23 +116,23 @@ class Queues:
         return np.frombuffer(raw, np.int64, part[1]), np.frombuffer(raw, np.uint8, part[1], 8 * part[1])
 
     def pop(self, kind: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """What has arrived so far for the symbol and is not taken yet, in pieces of order; None at the end."""
-        waiting = self.parts[kind]
-        if not waiting:
-            return None
-        taken, n = [], 0
-        while n < STEP and len(taken) < len(waiting):
-            part = waiting[len(taken)]
-            taken.append(self._load(part))
-            n += len(taken[-1][0])
+        """What has arrived so far for the symbol and is not taken yet, about STEP entries of it; None at the end."""
+        waiting, got, n = self.parts[kind], [], 0
+        while n < STEP and self.taken[kind] < len(waiting):
+            part = waiting[self.taken[kind]]
+            got.append(self.load(part))
+            n += len(got[-1][0])
             if isinstance(part[0], np.ndarray):
-                self.held -= part[0].nbytes + part[1].nbytes
-        del waiting[: len(taken)]
-        return taken[0] if len(taken) == 1 else tuple(map(np.concatenate, zip(*taken, strict=True)))
+                self.held -= 9 * len(part[0])
+            waiting[self.taken[kind]] = None
+            self.taken[kind] += 1
+        if not got:
+            return None
+        return got[0] if len(got) == 1 else tuple(map(np.concatenate, zip(*got, strict=True)))
 
     def read(self, kind: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in reversed(self.parts[kind]) if backwards else self.parts[kind]:
-            yield self._load(part)
+            yield self.load(part)
 
 
 def _starts(fresh: np.ndarray) -> np.ndarray:
@@ -93,81 +147,98 @@ def _changes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _refine(rank: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
-    """Ranks (the number of smaller elements) of the elements ``at`` after comparing ``key`` within equal ranks."""
-    if key.dtype == np.int64 and len(rank) < 1 << 31:  # both fit one number; equal ones may come in any order
-        both = rank[at] << 32 | key + 1
-        order = np.argsort(both)
-        both = both[order]
-        r, fresh = both >> 32, _changes(both)
-    else:
-        order = np.lexsort((key, rank[at]))
-        r = rank[at][order]
-        fresh = _changes(r) | _changes(key[order])
-    rank[at[order]] = r + _starts(fresh) - _starts(_changes(r))
-
-
-def _tied(rank: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
-
-
-def _dense_start(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    rank = np.empty(len(key), np.int64)
-    rank[order] = _starts(_changes(key[order]))
-    return rank
-
-
-def rank_names(rank: np.ndarray, span: int, depth: int, step: int = 1) -> np.ndarray:
-    """Ranks of the suffixes of a string of names, to ``depth`` symbols; a name stands for ``span`` symbols at least."""
-    at = _tied(rank)
-    if not len(at) or span * step >= depth:
-        return rank
-    behind = np.full(len(at), -1, np.int64)
-    inside = at + step < len(rank)
-    behind[inside] = rank[at[inside] + step]
-    _refine(rank, at, behind)
-    return rank_names(rank, span, depth, 2 * step)
-
-
 class Sorter:
-    """Suffixes of ``text``, symbols from 0 to 254 in bytes. What ends a text counts as smaller than any symbol."""
-
-    def __init__(self, text: np.ndarray, cap: int, memory: int = MEMORY):
-        self.x, self.n, self.cap, self.memory = text, len(text), cap, memory
-        x, n = text, self.n
-        change = np.flatnonzero(x[1:] != x[:-1]) if n else np.zeros(0, np.int64)
-        ends = np.concatenate([change, [n - 1]])
-        where = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1)) if n else np.zeros(0, np.int32)
-        self.run = np.minimum(ends[where] - np.arange(n) + 1, cap).astype(np.uint8)
-        up = np.zeros(len(ends), bool)  # whether the run is followed by a larger symbol
-        up[:-1] = x[ends[:-1] + 1] > x[ends[:-1]] if n else False
-        self.small = up[where]
-        padded = np.concatenate([x, np.zeros(cap + 16, np.uint8)]).astype(np.uint64)
-        for shift in (1, 2, 4):
-            padded = (padded[:-shift] << np.uint64(8 * shift)) | padded[shift:]
-        self.word = padded  # eight symbols from each position on
+    """Suffixes of ``text``, symbols from 0 to 254 in bytes. What ends a text counts as smaller than any symbol.
+
+    ``text`` must have ``cap`` + 16 zeros behind its ``n`` symbols; it may be an array in a file.
+    """
+
+    def __init__(self, text: np.ndarray, n: int, cap: int, memory: int = MEMORY):
+        self.x, self.n, self.cap, self.memory = text, n, cap, memory
+        self.scratch = Scratch(memory // 3)
+        self.word = np.ndarray((n + cap + 8,), ">u8", text, 0, (1,))  # eight symbols from each position on
+        self.run, self.small = self.scratch.empty(n, np.uint8), self.scratch.empty(n, bool)
+        self._types()
+
+    def _types(self) -> None:
+        """The capped length of the run of one symbol at each position, and whether its suffix is of type S."""
+        after, ahead, up = -1, 0, False  # symbol, run and type right behind the chunk
+        for at in range((self.n - 1) // STEP * STEP, -1, -STEP) if self.n else ():
+            x = np.asarray(self.x[at : min(at + STEP, self.n)])
+            ends = np.append(np.flatnonzero(x[1:] != x[:-1]), len(x) - 1)
+            where = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+            run = ends[where] - np.arange(len(x)) + 1
+            rises = np.zeros(len(ends), bool)
+            rises[:-1] = x[ends[:-1] + 1] > x[ends[:-1]]
+            if int(x[-1]) == after:
+                run[where == len(ends) - 1] += ahead
+                rises[-1] = up
+            else:
+                rises[-1] = after > int(x[-1])
+            self.run[at : at + len(x)] = np.minimum(run, self.cap)
+            self.small[at : at + len(x)] = rises[where]
+            after, ahead, up = int(x[0]), int(min(run[0], self.cap)), bool(rises[0])
+
+    def _words(self, at: np.ndarray) -> np.ndarray:
+        return self.word[at].astype(np.uint64)
+
+    def _seed_chunks(self) -> Iterator[np.ndarray]:
+        for at in range(1, self.n, STEP):
+            s = np.asarray(self.small[at - 1 : min(at + STEP, self.n)])
+            found = np.flatnonzero(s[1:] & ~s[:-1]) + at
+            if len(found):
+                yield found
+
+    def _order(self, chunks: Callable[[], Iterator[np.ndarray]], n: int, offset: int, out: np.ndarray, at: int) -> None:
+        """Puts the ``n`` positions of the chunks, equal in all symbols before ``offset``, into out[at:] in order."""
+        if offset >= self.cap:
+            for p in chunks():  # equal as far as it counts
+                out[at : at + len(p)] = p
+                at += len(p)
+        elif n * _SEED_BYTES <= self.memory:
+            out[at : at + n] = self._ordered(np.concatenate([*chunks()]), offset)
+        else:
+            every = max(1, n // 4096)
+            some = np.sort(np.concatenate([self._words(p[::every] + offset) for p in chunks()]))
+            between = np.unique(some[:: max(1, len(some) * self.memory // (2 * n * _SEED_BYTES))])
+            queues = Queues(self.memory // 4, 2 * len(between) + 1)
+            for p in chunks():
+                w = self._words(p + offset)
+                kind = np.searchsorted(between, w, side="left") + np.searchsorted(between, w, side="right")  # odd where equal
+                order = np.argsort(kind, kind="stable")
+                kind, p = kind[order], p[order]
+                head = np.flatnonzero(_changes(kind))
+                for k, part in zip(kind[head].tolist(), np.split(p, head[1:]), strict=True):
+                    queues.push(k, part, np.zeros(len(part), np.uint8))
+            for k, count in enumerate(queues.entries):
+                if count:
+                    self._order(lambda k=k: (p for p, _ in queues.read(k)), count, offset + 8 * (k % 2), out, at)
+                    at += count
+
+    def _ordered(self, p: np.ndarray, offset: int) -> np.ndarray:
+        key = self._words(p + offset)
+        order = np.argsort(key)
+        p, key = p[order], key[order]
+        fresh = _changes(key)
+        for offset in range(offset + 8, self.cap, 8):
+            tied = ~fresh
+            tied[:-1] |= ~fresh[1:]
+            at = np.flatnonzero(tied)
+            if not len(at):
+                break
+            group, key = _starts(fresh)[at], self._words(p[at] + offset)
+            order = np.lexsort((key, group))
+            p[at], key = p[at[order]], key[order]
+            fresh[at] |= _changes(key)  # the first of a group is fresh already
+        return p
 
     def seeds(self) -> np.ndarray:
         """The seeds in order."""
-        s = self.small
-        p = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-        if len(p) < 2:
-            return p
-        length = np.append(p[1:] - p[:-1] + 1, self.n + self.cap)  # the last one goes on into the zeros behind the text
-
-        def key(at: np.ndarray, offset: int) -> np.ndarray:
-            left = np.clip(length[at] - offset, 0, 8)
-            mask = np.where(left == 8, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.minimum(left, 7).astype(np.uint64)))
-            return self.word[np.minimum(p[at] + offset, len(self.word) - 1)] | mask
-
-        rank = _dense_start(key(np.arange(len(p)), 0))
-        offset = 8
-        while offset < self.cap and len(at := _tied(rank)) and (length[at] > offset).any():
-            _refine(rank, at, key(at, offset))
-            offset += 8
-        rank = rank_names(rank, 2, self.cap)
-        return p[np.argsort(rank)]
+        n = sum(map(len, self._seed_chunks()))
+        out = self.scratch.empty(n, np.int64)
+        if n:
+            self._order(self._seed_chunks, n, 0, out, 0)
+        return out
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Capped common prefixes of pairs of suffixes."""
@@ -175,7 +246,7 @@ class Sorter:
         at = np.arange(len(a))
         limit = len(self.word) - 1
         for offset in range(0, self.cap, 8):
-            d = self.word[np.minimum(a[at] + offset, limit)] ^ self.word[np.minimum(b[at] + offset, limit)]
+            d = self._words(np.minimum(a[at] + offset, limit)) ^ self._words(np.minimum(b[at] + offset, limit))
             same = d == 0
             rest = d[~same]
             lead = np.zeros(len(rest), np.int64)
@@ -228,13 +299,17 @@ class Sorter:
         if not self.n:
             return
         seeds = self.seeds()
-        bounds = np.searchsorted(self.x[seeds], np.arange(_KINDS + 1)) if len(seeds) else np.zeros(_KINDS + 1, np.int64)
-        between = np.zeros(len(seeds), np.uint8)
-        if len(seeds) > 1:
-            between[1:] = self.common(seeds[:-1], seeds[1:])
-        large, queue, carry = Queues(self.memory), Queues(self.memory), np.full(_KINDS, -1, np.int16)
-        queue.push(int(self.x[-1]), np.array([self.n - 1]), np.zeros(1, np.uint8))
-        carry[self.x[-1]] = 0
+        between = self.scratch.empty(len(seeds), np.uint8)
+        many = np.zeros(_KINDS, np.int64)
+        for at in range(0, len(seeds), STEP):
+            own = np.asarray(seeds[at : at + STEP])
+            many += np.bincount(self.x[own], minlength=_KINDS)
+            before = np.concatenate([seeds[max(0, at - 1) : at], own])
+            between[at + len(own) - len(before) + 1 : at + len(own)] = self.common(before[:-1], before[1:])
+        bounds = np.concatenate([[0], np.cumsum(many)])
+        large, queue, carry = Queues(self.memory // 4), Queues(self.memory // 4), np.full(_KINDS, -1, np.int16)
+        queue.push(int(self.x[self.n - 1]), np.array([self.n - 1]), np.zeros(1, np.uint8))
+        carry[self.x[self.n - 1]] = 0
         top: list[int | None] = [None] * _KINDS  # the largest L suffix of each first symbol
         for c in range(_KINDS):
             while (entry := queue.pop(c)) is not None:
@@ -243,12 +318,13 @@ class Sorter:
                     large.push(c, p, v)
                     self._induce(queue, p, v, carry, False)
                 top[c] = int(entry[0][-1])
-            own, v = seeds[bounds[c] : bounds[c + 1]], between[bounds[c] : bounds[c + 1]].copy()
-            if len(own):
-                v[0] = self._meet(top[c], int(own[0]))
-                for a in range(0, len(own), STEP):
-                    self._induce(queue, own[a : a + STEP], v[a : a + STEP], carry, False)
-        small, queue, carry = Queues(self.memory), Queues(self.memory), np.full(_KINDS, -1, np.int16)
+            for a in range(bounds[c], bounds[c + 1], STEP):
+                end = min(a + STEP, bounds[c + 1])
+                own, v = np.asarray(seeds[a:end]), np.array(between[a:end])
+                if a == bounds[c]:
+                    v[0] = self._meet(top[c], int(own[0]))
+                self._induce(queue, own, v, carry, False)
+        small, queue, carry = Queues(self.memory // 4), Queues(self.memory // 4), np.full(_KINDS, -1, np.int16)
         bottom: list[int | None] = [None] * _KINDS  # the smallest S suffix of each first symbol
         for c in range(_KINDS - 1, -1, -1):
             while (entry := queue.pop(c)) is not None:
@@ -265,9 +341,7 @@ class Sorter:
         for c in range(_KINDS):
             yield from large.read(c)
             ahead = self._meet(top[c], bottom[c])
-            parts = small.parts[c]
-            for i in range(len(parts) - 1, -1, -1):
-                p, v = small._load(parts[i])
+            for p, v in small.read(c, backwards=True):
                 # turned round, an entry's common prefix with the one before it is that of the entry generated next
                 yield p[::-1], np.concatenate([[ahead], v[::-1][:-1]]).astype(np.uint8)
                 ahead = int(v[0])

@@ -3,15 +3,20 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Equal strings
 must meet to be found. Each window of LENGTH bytes has an anchor, its smallest 16-gram by hash, and neighbouring windows
 with one anchor form a piece; equal windows have equal anchors, so pieces are dealt to shards by anchor, and anchors
-that only one document has (found by a first pass over anchor hashes) are left out. A shard sorts the suffixes of its
-pieces by external induced sorting (see induced.py), which yields the common-prefix values along with the order; windows
-between which they reach LENGTH are equal, and those not from the smallest id of their run are removed. A piece that
-several documents have is sorted once, under its smallest id; the other documents' copies go whole. No group of copies
-is ever held together: a task sends a piece once for its smallest id, and a shard sorts different pieces only.
-
-Null texts count as empty; texts shorter than LENGTH stay as they are; an empty table gives an empty result. Rows that
-repeat a doc_id must repeat its text, and get the same result; a document's own repetitions stay. Extra columns stay
-out. Texts of any length are read in steps of bounded size.
+that only one document has (found by a first pass over anchor hashes) are left out. Pieces around a very frequent anchor
+are cut by where in a window the anchor lies and dealt by the longer string that all windows of a cut share. The number of
+shards follows from the bytes that the first pass counts.
+
+A shard sorts the suffixes of its pieces by external induced sorting (see induced.py), which yields the common-prefix
+values along with the order; windows between which they reach LENGTH are equal, and those not from the smallest id of
+their run are removed. Texts, queues and all arrays over symbols of a shard lie in files of the task beyond a memory budget.
+A piece that several documents have is sorted once, under its smallest id; the other documents' copies go whole. No group
+of copies is ever held together: a task sends a piece once for its smallest id, and a shard sorts different pieces only.
+
+Null texts count as empty; texts shorter than LENGTH stay as they are; an empty table gives an empty result. A null doc_id
+is neither smaller nor larger than another: such rows lose nothing and take nothing from others. Rows that repeat a doc_id
+must repeat its text, and get the same result; a document's own repetitions stay. Extra columns stay out. Texts of any
+length are read in steps of bounded size.
 """
 
 from __future__ import annotations
@@ -25,24 +30,31 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bounded_batches, cut, id_filter, shuffle_partitions, table
-from framewright.llm.induced import Sorter
+from framewright.llm.common import bounded_batches, cut, id_filter, release_memory, shuffle_partitions, table
+from framewright.llm.induced import MEMORY, Column, Scratch, Sorter
 
 LENGTH, GRAM = 50, 16
 #: Windows handled in one step; pieces that a task remembers having sent; the filter of shared anchors has two to the
 #: power FILTER_LOG bits: with many more anchors than that it lets pieces through that nobody shares, and never too few.
 STEP, SENT, FILTER_LOG = 1 << 19, 1_000_000, 27
+#: Bytes of pieces that a shard should get, shards at most, and bytes of a piece on average. Beyond so many shards they grow.
+SHARD_BYTES, SHARDS, PIECE_BYTES = 4 << 20, 1 << 16, 66
+#: Anchors whose pieces are dealt by longer strings, at most, and how many pieces one must have. One that isn't among
+#: so many has less than one HOT-th of all pieces.
+HOT, HOT_LEAST = 1 << 16, SHARD_BYTES // PIECE_BYTES // 4
+#: Where in a window the anchor lies, in so many ranges, for pieces that are cut.
+RANGES = 4
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
-_MIXED = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
+_MIXED = np.random.default_rng(50).integers(1, 1 << 63, (2, 256), np.uint64)
 
 
-def pieces(buffer: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window + 1 and anchor hash of the pieces of a text."""
+def pieces(buffer: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window + 1, anchor's place and anchor hash of the pieces of a text."""
     n = len(buffer) - length + 1
     if n < 1:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     b = buffer.astype(np.uint64)
     two = b[:-1] * _A + b[1:] + _B
     four = two[:-2] * _B + (two[2:] ^ (two[2:] >> np.uint64(29)))
@@ -58,7 +70,23 @@ def pieces(buffer: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
     best = np.minimum(best[:n], best[over - width : over - width + n])
     anchor = (best & _LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    return first, np.append(first[1:], n), gram[anchor[first]]
+    return first, np.append(first[1:], n), anchor[first], gram[anchor[first]]
+
+
+def split_hot(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window + 1 and hash of the parts of some pieces, cut by the anchor's place in a window.
+
+    All windows of a part cover one longer string around the anchor; the hash is that string's.
+    """
+    out = []
+    over = length - GRAM + 1
+    for r in range(RANGES):
+        low, high = over * r // RANGES, over * (r + 1) // RANGES - 1  # the anchor's place in a window, from .. to
+        a, b = np.maximum(first, place - high), np.minimum(last, place - low + 1)
+        some = a < b
+        p = place[some]
+        out.append((a[some], b[some], _hashes(raw, p - low, p - high + length)[0]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def _steps(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -78,40 +106,52 @@ def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def _shared_anchors(documents: DataFrame, length: int, shards: int) -> DataFrame:
-    """anchor: hashes of the anchors that more than one document, or parts of several tasks, have."""
+    """anchor, n: hashes of the anchors that more than one document, or parts of several tasks, have, and how many pieces
+    they have, where a batch counts 65,535 of them at most: that only places pieces, and loses none."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_hashes, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, raw, _ in _steps(batch, length):
-                all_hashes.append(pieces(raw, length)[2])
+                all_hashes.append(pieces(raw, length)[3])
                 whose.append(np.full(len(all_hashes[-1]), i))
             h, d = np.concatenate(all_hashes), np.concatenate(whose)
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             several = np.maximum.reduceat(d, first) != np.minimum.reduceat(d, first) if len(h) else np.zeros(0, bool)
+            many = np.minimum(np.diff(np.append(first, len(h))), 65535).astype(np.uint16)
             h = h[first]
             rows = []
             for s, at in _by_shard((h % np.uint64(shards)).astype(np.int64), shards):
                 at = at[np.argsort(several[at], kind="stable")]
+                single = int((~several[at]).sum())
                 # the lowest bytes are dropped: a chance match only sends a piece for nothing
-                rows.append({"shard": s, "single": int((~several[at]).sum()), "packed": h[at].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("single", pa.int32()), ("packed", pa.binary())]))
+                rows.append({"shard": s, "single": single, "packed": h[at].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes(), "many": many[at[single:]].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("single", pa.int32()), ("packed", pa.binary()), ("many", pa.binary())]))
+        release_memory()
 
     def meet(t: pa.Table) -> pa.Table:
-        once, more = [], []
-        for single, raw in zip(t.column("single").to_pylist(), t.column("packed"), strict=True):
+        anchors, counts, more = [], [], []
+        for single, raw, many in zip(t.column("single").to_pylist(), t.column("packed"), t.column("many"), strict=True):
             six = np.frombuffer(raw.as_py(), np.uint8).reshape(-1, 6)
             eight = np.zeros((len(six), 8), np.uint8)
             eight[:, 2:] = six
-            h = eight.view(np.int64)[:, 0]
-            once.append(h)
-            more.append(h[single:])
-        h, n = np.unique(np.concatenate(once), return_counts=True)
-        return pa.table({"anchor": np.union1d(h[n > 1], np.concatenate(more))})
-
-    return documents.mapInArrow(send, "shard int, single int, packed binary").groupBy("shard").applyInArrow(meet, "anchor long")
+            anchors.append(eight.view(np.int64)[:, 0])
+            counts.append(np.concatenate([np.ones(single, np.int32), np.frombuffer(many.as_py(), np.uint16).astype(np.int32)]))
+            more.append(np.arange(len(six)) >= single)
+        h, n, m = (np.concatenate(x) for x in (anchors, counts, more))
+        del anchors, counts, more
+        order = np.argsort(h)
+        h, n, m = h[order], n[order], m[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        total = np.add.reduceat(n, head, dtype=np.int64)
+        shared = (np.diff(np.append(head, len(h))) > 1) | np.logical_or.reduceat(m, head)
+        out = pa.table({"anchor": h[head[shared]], "n": total[shared]})
+        release_memory()
+        return out
+
+    return documents.mapInArrow(send, "shard int, single int, packed binary, many binary").groupBy("shard").applyInArrow(meet, "anchor long, n long")
 
 
 def _spread(anchors: np.ndarray) -> np.ndarray:
@@ -144,48 +184,58 @@ def _filter_bits(anchors: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def removed_windows(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def removed_windows(symbols: np.ndarray, start: np.ndarray, ids: np.ndarray, length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows, as piece, first window and last window + 1, of some different pieces that start a string which a
-    piece of a smaller id has."""
-    size = np.array([len(t) for t in texts], np.int64)
-    start = np.cumsum(size + 1) - size - 1
-    symbols = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8) + np.uint8(1)  # no UTF-8 text has the byte 255; it becomes 0
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)
-    window = np.ones(len(symbols), bool)
-    for k in range(length):  # no window starts in the last bytes of a piece or between two
-        window[start + size - k] = False
-    gone = np.zeros(len(symbols) + 1, bool)
-    rest_p, rest_new = np.zeros(0, np.int64), np.zeros(0, bool)
-    runs = iter(Sorter(symbols, length).suffixes())
-    while True:
-        got, held = [(rest_p, rest_new)], len(rest_p)
-        last = True
-        for p, common in runs:
-            # a run of equal windows has no other suffix inside, so no common prefix within it is lost
-            use = window[p]
-            got.append((p[use], (common < length)[use]))
-            held += len(got[-1][0])
-            if held > 1 << 20:
-                last = False
-                break
-        rest_p, rest_new = (np.concatenate(x) for x in zip(*got, strict=True))
-        if len(rest_p):
-            rest_new[0] = True
-            heads = np.flatnonzero(rest_new)
-            whole = len(rest_p) if last else int(heads[-1])  # the last run may go on
-            if whole:
-                p, heads = rest_p[:whole], heads[heads < whole]
-                d = ids[owner[p]]
-                least = np.minimum.reduceat(d, heads)
-                gone[p] = np.repeat(least, np.diff(np.append(heads, whole))) < d
-            rest_p, rest_new = rest_p[whole:], rest_new[whole:]
-        if last:
-            break
-    edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1
-    if gone[0]:
-        edge = np.concatenate([[0], edge])
+    piece of a smaller id has.
+
+    ``symbols`` holds the bytes of the pieces plus 1, a 0 behind each piece, and zeros for the sorter; ``start`` the places
+    where pieces begin and, last, where they end; ``ids`` the pieces' ids.
+    """
+    n, scratch = int(start[-1]), Scratch(memory // 4)
+    window, gone = scratch.empty(n, bool), scratch.empty(n, bool)
+    gone[:] = False
+    window[:] = True
+    for at in range(0, len(start) - 1, STEP):
+        ends = np.asarray(start[at + 1 : at + 1 + STEP])
+        for k in range(1, length + 1):  # no window starts in the last bytes of a piece or between two
+            window[ends - k] = False
+
+    def settle(p: np.ndarray, heads: np.ndarray) -> None:
+        many = np.diff(np.append(heads, len(p)))
+        use = np.repeat(many > 1, many)
+        if use.any():
+            p, many = p[use], many[many > 1]
+            d = ids[np.searchsorted(start, p, side="right") - 1]
+            least = np.minimum.reduceat(d, np.cumsum(many) - many)
+            gone[p] = np.repeat(least, many) < d
+
+    held_p, held_new, held = [], [], 0
+    for p, common in Sorter(symbols, n, length, memory).suffixes():
+        # a run of equal windows has no other suffix inside, so no common prefix within it is lost
+        use = window[p]
+        held_p.append(p[use])
+        held_new.append((common < length)[use])
+        held += len(held_p[-1])
+        if held > STEP and held_new[-1].any():
+            p, new = np.concatenate(held_p), np.concatenate(held_new)
+            new[0] = True
+            heads = np.flatnonzero(new)
+            whole = int(heads[-1])  # the last run may go on
+            settle(p[:whole], heads[:-1])
+            held_p, held_new, held = [p[whole:]], [new[whole:]], len(p) - whole
+    if held:
+        p, new = np.concatenate(held_p), np.concatenate(held_new)
+        new[0] = True
+        settle(p, np.flatnonzero(new))
+    found, before = [np.zeros(0, np.int64)], False
+    for at in range(0, n, STEP):
+        g = np.concatenate([[before], gone[at : at + STEP], [False] * (at + STEP >= n)])
+        edge = np.flatnonzero(g[1:] != g[:-1]) + at
+        before = bool(g[-1])
+        found.append(edge)
+    edge = np.concatenate(found)
     first, end = edge[::2], edge[1::2]
-    of = owner[first].astype(np.int64)
+    of = np.searchsorted(start, first, side="right") - 1
     return of, first - start[of], end - start[of]
 
 
@@ -200,71 +250,165 @@ def _unzip(raw: bytes, n: int) -> list[np.ndarray]:
 
 
 class _Sent:
-    """The smallest id that this task has sent a piece for, by 64-bit hash; what doesn't fit in is just sent again."""
+    """The smallest id that this task has sent a piece for, by two 64-bit hashes; what doesn't fit in is just sent again."""
 
     def __init__(self):
-        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.second, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def owner(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """The smallest id with each piece, here or before."""
-        every, at = np.unique(h, return_inverse=True)
+    def owner(self, h: np.ndarray, second: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The smallest id with each piece, here or before; a piece whose hashes don't agree is its own."""
+        every, head, at = np.unique(h, return_index=True, return_inverse=True)
+        of = second[head]
         least = np.full(len(every), np.iinfo(np.int64).max)
         np.minimum.at(least, at, d)
-        fresh = np.ones(len(every), bool)
+        fresh, clash = np.ones(len(every), bool), np.zeros(len(every), bool)
         if len(self.hashes):
             i = np.minimum(np.searchsorted(self.hashes, every), len(self.hashes) - 1)
             fresh = self.hashes[i] != every
-            i = i[~fresh]
-            least[~fresh] = self.ids[i] = np.minimum(least[~fresh], self.ids[i])
+            clash = ~fresh & (self.second[i] != of)
+            i, old = i[~fresh & ~clash], ~fresh & ~clash
+            least[old] = self.ids[i] = np.minimum(least[old], self.ids[i])
         add = np.flatnonzero(fresh)[: max(0, SENT - len(self.hashes))]
         if len(add):
-            hashes, ids = np.concatenate([self.hashes, every[add]]), np.concatenate([self.ids, least[add]])
+            hashes, second_, ids = (np.concatenate(x) for x in ((self.hashes, every[add]), (self.second, of[add]), (self.ids, least[add])))
             order = np.argsort(hashes, kind="stable")
-            self.hashes, self.ids = hashes[order], ids[order]
-        return least[at]
+            self.hashes, self.second, self.ids = hashes[order], second_[order], ids[order]
+        return np.where(clash[at] | (second != of[at]), d, least[at])
 
 
 _POWERS: list[np.ndarray] = []
 
 
-def _piece_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, kinds: int = 1) -> list[np.ndarray]:
     """64-bit hashes of byte ranges of one step, by prefix sums of a polynomial over mixed bytes."""
     if not _POWERS:  # made once a process, for the longest step
         base = 0xD6E8FEB86659FD93
         for x in (base, pow(base, -1, 1 << 64)):
             _POWERS.append(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(STEP + 4096, x, np.uint64)]), dtype=np.uint64))
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_MIXED[raw] * _POWERS[0][: len(raw)], out=prefix[1:], dtype=np.uint64)
-    h = (prefix[end] - prefix[start]) * _POWERS[1][start] + (end - start).astype(np.uint64) * _C
-    h = (h ^ (h >> np.uint64(31))) * _A
-    return h ^ (h >> np.uint64(29))
+    out = []
+    for mixed in _MIXED[:kinds]:
+        prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(mixed[raw] * _POWERS[0][: len(raw)], out=prefix[1:], dtype=np.uint64)
+        h = (prefix[end] - prefix[start]) * _POWERS[1][start] + (end - start).astype(np.uint64) * _C
+        h = (h ^ (h >> np.uint64(31))) * _A
+        out.append(h ^ (h >> np.uint64(29)))
+    return out
+
+
+def _ranges_of(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for n[0] places, and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class Shard:
+    """The pieces of one shard as they come in, and what goes of them. All of it lies in files beyond the memory budget."""
+
+    def __init__(self, length: int, memory: int = MEMORY):
+        self.length, self.memory = length, memory
+        self.bytes, self.n, self.ids, self.at, self.hashes = (Column(t, memory // 8) for t in (np.uint8, np.int64, np.int64, np.int64, np.uint64))
+
+    def add(self, n: np.ndarray, ids: np.ndarray, at: np.ndarray, raw: bytes) -> None:
+        """Pieces of n bytes of documents, with their places there."""
+        raw, ends = np.frombuffer(raw, np.uint8), np.cumsum(n)
+        for x, column in zip((raw, n, ids, at), (self.bytes, self.n, self.ids, self.at), strict=True):
+            column.append(x)
+        a = 0
+        while a < len(n):  # some pieces at a time, as many as one step may hold
+            base = int(ends[a] - n[a])
+            b = max(a + 1, int(np.searchsorted(ends, base + STEP, side="right")))
+            self.hashes.append(_hashes(raw[base : int(ends[b - 1])], ends[a:b] - n[a:b] - base, ends[a:b] - base)[0])
+            a = b
+
+    def ranges(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """id, first and end of what goes, in parts."""
+        raw, n, ids, at, h = (c.array() for c in (self.bytes, self.n, self.ids, self.at, self.hashes))
+        if not len(n):
+            return
+        scratch = Scratch(self.memory // 4)
+        begin = scratch.empty(len(n), np.int64)
+        begin[:] = np.cumsum(n) - n
+        order = np.argsort(h, kind="stable")
+        head = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        of = scratch.empty(len(n), np.int64)  # the first piece with these bytes
+        of[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+        del order, head, h
+        for a in range(0, len(n), STEP // 64):  # the hash suggests, the bytes decide
+            i = np.arange(a, min(len(n), a + STEP // 64))
+            i = i[of[i] != i]
+            i = np.concatenate([i[n[i] != n[of[i]]], i[n[i] == n[of[i]]]])
+            differ = n[i] != n[of[i]]
+            same = i[~differ]
+            if len(same):
+                x = np.asarray(raw[_ranges_of(begin[same], n[same])]) != np.asarray(raw[_ranges_of(begin[of[same]], n[same])])
+                differ[len(i) - len(same) :] = np.logical_or.reduceat(x, np.cumsum(n[same]) - n[same])
+            of[i[differ]] = i[differ]
+        own = np.flatnonzero(of == np.arange(len(n)))
+        number = scratch.empty(len(n), np.int64)
+        number[own] = np.arange(len(own))
+        number[:] = number[of]
+        least = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, ids)
+        symbols = Column(np.uint8, self.memory // 4)
+        for a in range(0, len(own), STEP // 64):
+            mine = own[a : a + STEP // 64]
+            m = n[mine]
+            part = np.zeros(int(m.sum()) + len(mine), np.uint8)  # no UTF-8 text has the byte 255, so plus 1 fits
+            part[_ranges_of(np.cumsum(m + 1) - m - 1, m)] = raw[_ranges_of(begin[mine], m)] + np.uint8(1)
+            symbols.append(part)
+        symbols.append(np.zeros(self.length + 16, np.uint8))
+        start = np.concatenate([[0], np.cumsum(n[own] + 1)])
+        del raw
+        self.bytes = None
+        piece, first, end = removed_windows(symbols.array(), start, least, self.length, self.memory)
+        for a in range(0, len(n), STEP):
+            i, text, place = ids[a : a + STEP], number[a : a + STEP], at[a : a + STEP]
+            whole = i > least[text]
+            yield i[whole], place[whole], (place + n[a : a + STEP])[whole]
+            low = np.searchsorted(piece, text[~whole])  # runs are in order of pieces
+            many = np.searchsorted(piece, text[~whole], side="right") - low
+            run = _ranges_of(low, many)
+            doc, place = np.repeat(i[~whole], many), np.repeat(place[~whole], many)
+            yield doc, place + first[run], place + end[run] + self.length - 1
 
 
 def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, ranges: of each document (id, text) that has any, the maximal byte ranges that go: first, end, first, end ..."""
     spark = documents.sparkSession
-    shards = 4 * max(8, shuffle_partitions(spark))
     buckets = max(8, shuffle_partitions(spark))
-    wanted = spark.sparkContext.broadcast(_filter_bits(_shared_anchors(documents, length, buckets)))  # of fixed size
+    anchors = cut(_shared_anchors(documents, length, buckets))
+    pieces_there = anchors.agg(F.sum("n")).head()[0] or 0
+    shards = min(SHARDS, max(8, -(-pieces_there * PIECE_BYTES // SHARD_BYTES)))
+    hot = anchors.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "anchor").limit(HOT).toArrow()  # HOT rows at most
+    hot = np.sort(hot.column("anchor").to_numpy().view(np.uint64))
+    wanted = spark.sparkContext.broadcast((_filter_bits(anchors.select("anchor")), hot))  # of fixed size
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, turn = _Sent(), 0
+        bits, frequent = wanted.value
         for batch in batches:
             found, buffers, base = [], [np.zeros(0, np.uint8)], 0
             for i, raw, offset in _steps(batch, length):
-                first, last, anchor = pieces(raw, length)
+                first, last, place, anchor = pieces(raw, length)
                 bit = _spread(anchor)
-                use = np.flatnonzero(wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                if len(use):
-                    a, b = first[use], last[use] + length - 1
-                    found.append((a + base, b + base, anchor[use], np.full(len(use), i), np.full(len(use), offset - base), _piece_hashes(raw, a, b)))
-                    buffers.append(raw)
-                    base += len(raw)
+                use = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                if not len(use):
+                    continue
+                first, last, place, anchor = first[use], last[use], place[use], anchor[use]
+                if len(frequent):
+                    bare = anchor & ~np.uint64(0xFFFF)
+                    hit = frequent[np.minimum(np.searchsorted(frequent, bare), len(frequent) - 1)] == bare
+                    if hit.any():
+                        parts = split_hot(raw, first[hit], last[hit], place[hit], length)
+                        first, last, anchor = (np.concatenate([x[~hit], y]) for x, y in zip((first, last, anchor), parts, strict=True))
+                a, b = first, last + length - 1
+                found.append((a + base, b + base, anchor, np.full(len(a), i), np.full(len(a), offset - base), *_hashes(raw, a, b, 2)))
+                buffers.append(raw)
+                base += len(raw)
             if not found:
                 continue
-            start, end, anchor, doc, shift, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            start, end, anchor, doc, shift, h, second = (np.concatenate(x) for x in zip(*found, strict=True))
             buffer = np.concatenate(buffers)
-            own = doc == sent.owner(h, doc)
+            own = doc == sent.owner(h, second, doc)
             rows = []
             # another document with a smaller id has the whole piece
             done = _join(doc[~own], (start + shift)[~own], (end + shift)[~own])
@@ -275,45 +419,38 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             for s, at in _by_shard(((anchor[mine] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64), shards):
                 at = mine[at]
                 n = end[at] - start[at]
-                where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                rows.append({"shard": s, "packed": _zip(n, doc[at], (start + shift)[at]), "texts": zstandard.compress(buffer[where].tobytes())})
+                rows.append({"shard": s, "packed": _zip(n, doc[at], (start + shift)[at]), "texts": zstandard.compress(buffer[_ranges_of(start[at], n)].tobytes())})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("packed", pa.binary()), ("texts", pa.binary())]))
+        release_memory()
 
-    def sort(t: pa.Table) -> pa.Table:
-        own: dict[bytes, int] = {}
-        places, of_text, out = [], [], []
-        for numbers, texts in zip(t.column("packed"), t.column("texts"), strict=True):
-            n, i, at = _unzip(numbers.as_py(), 3)
-            if texts.as_py() is None:
-                out.append((n, i, at))  # id, first, end
-                continue
-            raw = zstandard.decompress(texts.as_py())
-            ends = np.cumsum(n)
-            of_text.extend(own.setdefault(raw[a:b], len(own)) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True))
-            places.append((n, i, at))
-        if places:
-            n, i, at = (np.concatenate(x) for x in zip(*places, strict=True))
-            text = np.array(of_text)
-            least = np.full(len(own), np.iinfo(np.int64).max)
-            np.minimum.at(least, text, i)
-            piece, first, end = removed_windows(list(own), least, length)
-            whole = i > least[text]
-            out.append((i[whole], at[whole], (at + n)[whole]))
-            a = np.searchsorted(piece, text[~whole])  # runs are in order of pieces
-            many = np.searchsorted(piece, text[~whole], side="right") - a
-            run = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            doc, at = np.repeat(i[~whole], many), np.repeat(at[~whole], many)
-            out.append((doc, at + first[run], at + end[run] + length - 1))
-        doc, first, end = _join(*(np.concatenate(x) for x in zip(*out, strict=True)))
-        rows = [{"bucket": b, "packed": _zip(doc[x], first[x], end[x])} for b, x in _by_shard((doc % buckets).astype(np.int64), buckets)]
-        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
+    def rows_of(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            doc, first, end = _join(*part)
+            rows = [{"bucket": b, "packed": _zip(doc[x], first[x], end[x])} for b, x in _by_shard((doc % buckets).astype(np.int64), buckets)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard(length)
+        for batch in batches:
+            done = [(np.zeros(0, np.int64),) * 3]
+            for numbers, texts in zip(batch.column("packed"), batch.column("texts"), strict=True):
+                n, i, at = _unzip(numbers.as_py(), 3)
+                if texts.is_valid:
+                    shard.add(n, i, at, zstandard.decompress(texts.as_py()))
+                else:
+                    done.append((n, i, at))  # id, first, end
+            yield from rows_of([tuple(map(np.concatenate, zip(*done, strict=True)))])
+        yield from rows_of(shard.ranges())
+        release_memory()
 
     def merge(t: pa.Table) -> pa.Table:
         doc, first, end = _join(*(np.concatenate(x) for x in zip(*(_unzip(r.as_py(), 3) for r in t.column("packed")), strict=True)))
         edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         both = np.stack([first, end], 1).ravel()
         offsets = pa.array(2 * np.append(edge, len(doc)), pa.int32())
-        return pa.table({"id": pa.array(doc[edge], pa.int64()), "ranges": pa.ListArray.from_arrays(offsets, pa.array(both, pa.int64()))})
+        out = pa.table({"id": pa.array(doc[edge], pa.int64()), "ranges": pa.ListArray.from_arrays(offsets, pa.array(both, pa.int64()))})
+        release_memory()
+        return out
 
     met = documents.mapInArrow(send, "shard int, packed binary, texts binary").groupBy("shard").applyInArrow(sort, "bucket int, packed binary")
     return met.groupBy("bucket").applyInArrow(merge, "id long, ranges array<long>")
@@ -345,10 +482,11 @@ def _kept(raw: bytes, spans: np.ndarray) -> bytes:
 def _with_ranges(documents: DataFrame, length: int) -> tuple[DataFrame, str]:
     """``documents`` with the packed ranges of each row, null where there are none, and that column's name."""
     id_, ranges = "__framewright_id", "__framewright_ranges"
-    each = cut(repeated_ranges(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), length)).toDF(id_, ranges)
+    whole = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    each = cut(repeated_ranges(whole, length)).toDF(id_, ranges)
     touched = id_filter(each.select(id_))
     mark = "__framewright_touched"
-    marked = documents.withColumn(mark, touched(F.col("doc_id").cast("long")))
+    marked = documents.withColumn(mark, touched(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
     some = marked.where(mark).drop(mark).join(each, F.col("doc_id").cast("long") == F.col(id_), "left").drop(id_)
     none = marked.where(~F.col(mark)).drop(mark).withColumn(ranges, F.lit(None).cast("array<long>"))
     return some.unionByName(none), ranges
