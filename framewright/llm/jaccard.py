@@ -1,19 +1,24 @@
 """Exact Jaccard join on word n-grams by a token-group matrix.
 
-Texts with the same set of shingles are folded into one. Similar texts, those with the same min-hash, are partitioned
-into groups of bounded size. The matrix holds each group's token union as rows (token, group); of each text only those
-tokens are needed without which no partner can reach the threshold. Which these are follows from one order of all
-tokens: those that few sets have before frequent ones (counted over the whole corpus), then by hash. A text opens a
-group only if they share such a token at positions and sizes that bound what they can share from above by enough; inside
-an opened group it is compared exactly with every member at once. Lone texts, which have no similar ones, are compared in
-pairs, after counts of their shingles by leading bits have bounded the overlap once more. Before all that, texts are
-compared with a few centres of their min-hash buckets, since what lies in one component by these links needn't be opened
-for each other. No link between different texts is lost but between those that are connected anyway.
+Texts with the same set of shingles are folded into one. Similar texts, those with a common min-hash, are partitioned
+into groups of bounded size; texts that share none with another are dealt into groups too. The members of a group of
+similar texts are compared with each other and with centres of their min-hash bucket, and what links among them is one
+component from then on.
+
+The matrix then holds each group's tokens as rows (token, group). A text is a query of the groups that hold a text of
+another component, and opens only those that qualify, in three steps, each an upper bound on what they can share:
+(1) a row of the matrix: of each text only those tokens are kept without which no partner can reach the threshold, in one
+order of all tokens (those that few sets have before frequent ones, counted over the whole corpus, then by hash), and a
+query needs such a token in common with the group, at positions and sizes that leave enough; (2) the counts of shingles by
+leading bits of the group's union, then of each member; (3) the query's overlap with the group's union of whole token
+sets. Inside an opened group the query is compared exactly with the members. Of two components that meet at a token, the
+one with fewer texts there asks and the other is asked, so a large family doesn't ask itself. No link between different
+texts is lost but between those that are connected anyway; results name no pairs, only a forest of them.
 
 Shingles are 64-bit hashes of ``words`` lower-cased words (A-Z only) between ASCII white space. A text with fewer words
 is one shingle; null, empty or blank texts have none and link with nothing. Long texts are read in pieces. Documents are
-told apart by doc_id: rows that repeat one get the same result each. Extra columns stay out; an empty table gives an
-empty result.
+told apart by doc_id: rows that repeat one get the same result each. A row without doc_id links with nothing and has a
+null component. Pairs exactly at the threshold link. Extra columns stay out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,15 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bounded_batches, cut, id_filter, shuffle_partitions, table
+from framewright.llm.common import bounded_batches, cut, id_filter, release_memory, shuffle_partitions, table
 from framewright.llm.components import components, forest
 
 WORDS, PERCENT = 5, 75
-#: Min-hashes a text is grouped by; rounds of comparing with centres.
-MINHASHES, ROUNDS = 4, 2
+#: Min-hashes a text is grouped by; centres of a min-hash bucket; parts that a bucket is joined in.
+MINHASHES, CENTRES, SALTS = 4, 2, 16
 #: Tokens that come last in the order of all tokens, at most, and how many sets must have one of them.
 FREQUENT, FREQUENT_LEAST = 1 << 18, 6
 #: Sets and shingles of a group of the matrix, and queries of a task that opens one.
@@ -87,14 +92,35 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def room(a: bytes, b: bytes) -> int:
-    """How many shingles two sets can share at most, by their sketches."""
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
-    if (x == 255).any() or (y == 255).any():
-        return 1 << 62  # counts stop there
-    if len(x) > len(y):
-        x, y = y, x
-    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+def _counts(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of ``width`` counts; a count that stopped at 255 may be any number."""
+    out = np.empty((len(sketches), width), np.int32)
+    for i, raw in enumerate(sketches):
+        x = np.frombuffer(raw, np.uint8).astype(np.int32)
+        out[i] = np.minimum(np.where(x == 255, 1 << 20, x).reshape(width, -1).sum(axis=1), 1 << 20)
+    return out
+
+
+def qualify(queries: list[bytes], asking: np.ndarray, members: list[bytes], inside: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries may reach the threshold with a member, and which members with a query, by sketches and set sizes."""
+    q_hit, m_hit = np.zeros(len(queries), bool), np.zeros(len(members), bool)
+    q_width, m_width = np.array([len(x) for x in queries]), np.array([len(x) for x in members])
+    for w in np.unique(m_width).tolist():
+        own = np.flatnonzero(m_width == w)
+        for v in np.unique(q_width).tolist():
+            asks = np.flatnonzero(q_width == v)
+            width = min(w, v)
+            rows = _counts([members[i] for i in own], width)
+            sizes, union = inside[own], rows.max(axis=0)  # no member has more of a pattern than the union here
+            for i, x in zip(asks.tolist(), _counts([queries[i] for i in asks], width), strict=True):
+                fits = 100 * np.minimum(sizes, asking[i]) >= percent * np.maximum(sizes, asking[i])
+                if not fits.any() or int(np.minimum(x, union).sum()) < -(-percent * (int(asking[i]) + int(sizes[fits].min())) // (100 + percent)):
+                    continue
+                k = np.flatnonzero(fits)
+                hit = k[np.minimum(x, rows[k]).sum(axis=1) >= -(-percent * (asking[i] + sizes[k]) // (100 + percent))]
+                q_hit[i] |= bool(len(hit))
+                m_hit[own[hit]] = True
+    return q_hit, m_hit
 
 
 def _scan(documents: DataFrame, words: int) -> DataFrame:
@@ -164,53 +190,6 @@ def _frequent(documents: DataFrame, words: int, percent: int, shards: int) -> tu
     return token[order], np.log2(n[order].astype(np.float64)).astype(np.int8)
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sketches leave room for enough common shingles."""
-    needed = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    some = sets.where(needed(F.col("rep"))).select("rep", "n", "sketch")
-
-    @F.arrow_udf("boolean")
-    def fits(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in (sa, sb, na, nb)), strict=True)
-        return pa.array([room(x, y) >= -(-percent * (n + m) // (100 + percent)) for x, y, n, m in rows], pa.bool_())
-
-    a, b = (some.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").where(fits("sa", "sb", "na", "nb")).select("a", "b")
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts link."""
-    pairs = cut(_possible(cut(pairs), sets, percent))
-    needed = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = documents.where(needed(F.col("id")))  # so that most other texts aren't shuffled
-
-    @F.arrow_udf("boolean")
-    def link(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last, mine = [], None, None
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            if x != last:
-                last, mine = x, shingles(x, words)
-            out.append(linked(mine, shingles(y, words), percent))
-        return pa.array(out, pa.bool_())
-
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return cut(both.where(link.asNondeterministic()("ta", "tb")).select("a", "b"))
-
-
-def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-
-def _centres(sets: DataFrame, group: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a text and the centre of one of its min-hash buckets, if they aren't in one group."""
-    member = sets.select("rep", "n", F.posexplode("mins").alias("k", "m"))
-    member = member.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep"))
-    first = F.struct(F.xxhash64("rep", "k", F.lit(turn)), "rep", "n", "g")
-    centre = member.groupBy("k", "m").agg(F.min(first).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("k", "m", "c")
-    pairs = member.join(centre, ["k", "m"]).where((F.col("g") != F.col("c.g")) & _sizes_fit(F.col("n"), F.col("c.n"), percent))
-    return pairs.select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b")).distinct()
-
-
 def _needed(n: np.ndarray | int, percent: int):
     """Tokens of a text of n, in order, without which no partner reaches the threshold."""
     return n + (-percent * n) // 100 + 1
@@ -279,66 +258,100 @@ def _matrix(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words
     return documents.mapInArrow(pack, "shard int, tokens int, sets int, packed binary").groupBy("shard").applyInArrow(meet, "token long, key long, n long, pos long")
 
 
-def _groups(sets: DataFrame) -> DataFrame:
-    """rep, tg, members: the matrix group of each set. Sets with one first min-hash are similar; they are dealt into
-    groups of about GROUP_TOKENS shingles, and of GROUP_SETS sets at most on average."""
-    size = sets.groupBy(F.col("mins")[0].alias("m")).agg(F.count(F.lit(1)).alias("sets_"), F.sum("n").alias("tokens_"))
+def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, tg, alike) of each set, and (tg, rep) of the centres that a group of similar sets is compared with.
+
+    A set is similar to those it shares a min-hash with; the first such min-hash tells its bucket. Buckets, and all sets
+    that share none, are dealt into groups of about GROUP_TOKENS shingles, and of GROUP_SETS sets at most on average.
+    """
+    salt = F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS))
+    member = sets.select("rep", "n", F.posexplode("mins").alias("k", "m")).withColumn("salt", salt)
+    firsts = [F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep"))["rep"] for i in range(CENTRES)]
+    buckets = member.groupBy("k", "m").agg(F.count(F.lit(1)).alias("sets_"), F.sum("n").alias("tokens_"), F.array(*firsts).alias("centres")).where("sets_ > 1")
+    buckets = cut(buckets)
     parts = F.greatest(F.ceil(F.col("sets_") / GROUP_SETS), F.ceil(F.col("tokens_") / GROUP_TOKENS))
-    dealt = sets.select("rep", F.col("mins")[0].alias("m")).join(size, "m").withColumn("tg", F.xxhash64("m", F.pmod(F.xxhash64("rep"), parts)))
-    return dealt.select("rep", "tg", (F.col("sets_") == 1).alias("alone"))
+    in_parts = buckets.select("k", "m", parts.alias("parts"), "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    chosen = member.join(in_parts, ["k", "m", "salt"]).groupBy("rep").agg(F.min(F.struct("k", "m", "parts", "centres")).alias("b"))
+    tg = F.xxhash64("b.k", "b.m", F.pmod(F.xxhash64("rep"), "b.parts"))
+    alike = cut(chosen.select("rep", tg.alias("tg"), "b.centres"))
+    rest = cut(sets.select("rep", "n").join(alike.select("rep"), "rep", "left_anti"))
+    n, tokens = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
+    lone = rest.select("rep", F.xxhash64(F.lit("lone"), F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-n // GROUP_SETS), -(-tokens // GROUP_TOKENS))))).alias("tg"))
+    centres = alike.select("tg", F.explode("centres").alias("rep")).distinct()
+    return cut(alike.select("rep", "tg", F.lit(True).alias("alike")).union(lone.withColumn("alike", F.lit(False)))), centres
 
 
 def _open(matrix: DataFrame, percent: int, shards: int) -> DataFrame:
-    """(q, tg) of texts and matrix groups with a text of another component, where they share a needed token and sizes
-    and positions leave enough; ``alone`` and ``only`` if the group is one text."""
+    """(tg, id, asks): the queries of each group, texts of another component that share a needed token with it where sizes
+    and positions leave enough, and the members they share it with."""
 
-    def pairs(t: pa.Table) -> pa.Table:
+    def meet(t: pa.Table) -> pa.Table:
         token, rep, comp, tg, n, pos = (t.column(c).to_numpy() for c in ("token", "rep", "g", "tg", "n", "pos"))
-        alone = t.column("alone").to_numpy(zero_copy_only=False)
+        order = np.lexsort((comp, token))
+        head = np.flatnonzero(np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (comp[order][1:] != comp[order][:-1])]))
+        texts = np.empty(len(token), np.int64)  # of one component at one token
+        texts[order] = np.repeat(np.diff(np.append(head, len(token))), np.diff(np.append(head, len(token))))
+        order = np.lexsort((comp, texts))
+        rank = np.empty(len(token), np.int64)  # a component with fewer texts has the lower one
+        rank[order] = np.cumsum(np.concatenate([[False], (texts[order][1:] != texts[order][:-1]) | (comp[order][1:] != comp[order][:-1])]))
         order = np.lexsort((tg, token))
-        token, rep, comp, tg, n, pos, alone = (x[order] for x in (token, rep, comp, tg, n, pos, alone))
+        token, rep, rank, tg, n, pos = (x[order] for x in (token, rep, rank, tg, n, pos))
         head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (tg[1:] != tg[:-1])]))
         count = np.diff(np.append(head, len(token)))
-        # of each group here: sizes from least to most, most that can follow, and its component if it is one
+        # of each group here: sizes from least to most, most that can follow, and its highest rank
         small, large = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
-        rest = np.maximum.reduceat(n - pos, head)
-        low, high = np.minimum.reduceat(comp, head), np.maximum.reduceat(comp, head)
+        rest, high = np.maximum.reduceat(n - pos, head), np.maximum.reduceat(rank, head)
         of = token[head]
         first, last = np.searchsorted(of, token, side="left"), np.searchsorted(of, token, side="right")
-        many = last - first
-        found = [np.zeros((0, 2), np.int64)]
-        only = [np.zeros((0, 2), np.int64)]
-        for at in _slices(many, 1 << 20):
+        top = np.maximum.reduceat(rank, np.unique(first, return_index=True)[1])  # of each token
+        asks = rank < np.repeat(top, np.diff(np.append(np.unique(first, return_index=True)[1], len(token))))
+        many = np.where(asks, last - first, 0)
+        found, opened = [np.zeros((0, 2), np.int64)], np.zeros(len(head), bool)
+        for at in _slices(many, 1 << 18):
             i = np.repeat(np.arange(at.start, at.stop), many[at])
             k = np.arange(len(i)) - np.repeat(np.cumsum(many[at]) - many[at], many[at]) + first[i]
             other = np.clip(n[i], small[k], large[k])  # the nearest size in the group's range
             least = -(-percent * (n[i] + small[k]) // (100 + percent))
-            fits = (100 * np.minimum(n[i], other) >= percent * np.maximum(n[i], other)) & (np.minimum(n[i] - pos[i], rest[k]) >= least)
-            fits &= (low[k] != high[k]) | (low[k] != comp[i])
-            i, k = i[fits], k[fits]
-            one = alone[head[k]]
-            # two lone texts meet once; a lone text doesn't open a group that would open it as well
-            keep = one & alone[i] & (rep[i] > rep[head[k]])
-            only.append(np.unique(np.stack([rep[i[keep]], rep[head[k[keep]]]], 1), axis=0))
-            keep = ~one & (alone[i] | (tg[i] >= tg[head[k]]))
-            found.append(np.unique(np.stack([rep[i[keep]], tg[head[k[keep]]]], 1), axis=0))
-        a, b = np.unique(np.concatenate(only), axis=0), np.unique(np.concatenate(found), axis=0)
-        return pa.table({"q": np.concatenate([a[:, 0], b[:, 0]]), "tg": np.concatenate([a[:, 1], b[:, 1]]), "only": np.concatenate([np.ones(len(a), bool), np.zeros(len(b), bool)])})
+            fits = (rank[i] < high[k]) & (100 * np.minimum(n[i], other) >= percent * np.maximum(n[i], other)) & (np.minimum(n[i] - pos[i], rest[k]) >= least)
+            opened[k[fits]] = True
+            found.append(np.unique(np.stack([tg[head[k[fits]]], rep[i[fits]]], 1), axis=0))
+        inside = np.repeat(opened, count)
+        q = np.unique(np.concatenate(found), axis=0)
+        m = np.unique(np.stack([tg[inside], rep[inside]], 1), axis=0)
+        out = pa.table({"tg": np.concatenate([q[:, 0], m[:, 0]]), "id": np.concatenate([q[:, 1], m[:, 1]]), "asks": np.concatenate([np.ones(len(q), bool), np.zeros(len(m), bool)])})
+        release_memory()
+        return out
 
     shard = F.pmod(F.xxhash64("token"), F.lit(4 * shards)).cast("int")
-    return matrix.withColumn("shard", shard).groupBy("shard").applyInArrow(pairs, "q long, tg long, only boolean").distinct()
+    return matrix.withColumn("shard", shard).groupBy("shard").applyInArrow(meet, "tg long, id long, asks boolean").distinct()
 
 
-def _opened(queries: DataFrame, groups: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between texts and the members of the groups (q, tg) that they open, by exact comparison.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(tg, salt, id, asks): each group's queries in parts of about GROUP_QUERIES, all of its members with each part."""
+    salts = rows.where("asks").groupBy("tg").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("salts"))
+    dealt = rows.join(salts, "tg")
+    own = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("id"), "salts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    return dealt.select("tg", F.explode(own).alias("salt"), "id", "asks")
 
-    A group's members meet its queries in tasks of about GROUP_QUERIES queries each, so no group is too large for one.
-    """
-    queries = cut(queries)
-    salts = queries.groupBy("tg").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("salts"))
-    asked = queries.join(salts, "tg").select("tg", F.pmod(F.xxhash64("q"), "salts").cast("int").alias("salt"), F.col("q").alias("id"), F.lit(True).alias("asks"))
-    members = groups.where("not alone").join(salts, "tg").select("tg", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rep").alias("id"), F.lit(False).alias("asks"))
-    rows = cut(asked.union(members))
+
+def _qualified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of (tg, id, asks) that may reach the threshold with another of their group, by sketches."""
+
+    def bound(t: pa.Table) -> pa.Table:
+        ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
+        n, sketches = t.column("n").to_numpy(), t.column("sketch").to_pylist()
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        hit = np.zeros(len(ids), bool)
+        hit[q], hit[m] = qualify([sketches[i] for i in q], n[q], [sketches[i] for i in m], n[m], percent)
+        return pa.table({"tg": t.column("tg").filter(pa.array(hit)), "id": ids[hit], "asks": asks[hit]})
+
+    with_sketch = _dealt(rows).join(sets.select(F.col("rep").alias("id"), "n", "sketch"), "id")
+    return with_sketch.groupBy("tg", "salt").applyInArrow(bound, "tg long, id long, asks boolean").distinct()
+
+
+def _opened(rows: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """A forest (a, b) of the links between queries and members of groups (tg, id, asks), by exact comparison."""
+    rows = cut(_dealt(rows))
     needed = id_filter(rows.select("id").distinct())
 
     def compare(t: pa.Table) -> pa.Table:
@@ -346,23 +359,34 @@ def _opened(queries: DataFrame, groups: DataFrame, documents: DataFrame, words:
         texts = t.column("text")
         inside = np.flatnonzero(~asks)
         sets = [shingles(texts[int(i)].as_py(), words) for i in inside]
+        mine = {int(ids[i]): s for i, s in zip(inside, sets, strict=True)}
         token = np.concatenate([np.zeros(0, np.uint64), *sets])
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        size = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
         order = np.argsort(token)
         token, owner = token[order], owner[order]
-        size = np.array([len(s) for s in sets], np.int64)
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        union, bounds = token[head], np.append(head, len(token))  # the group's tokens, and who has each
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(asks).tolist():
-            s = shingles(texts[i].as_py(), words)
-            low, high = np.searchsorted(token, s, side="left"), np.searchsorted(token, s, side="right")
-            many = high - low
-            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-            both = np.bincount(owner[at], minlength=len(sets))
+        for i in np.flatnonzero(asks).tolist() if len(union) else ():
+            s = mine.get(int(ids[i]))
+            s = shingles(texts[i].as_py(), words) if s is None else s
+            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+            at = at[union[at] == s]
+            least = -(-percent * (len(s) + np.maximum(size.min(), -(-percent * len(s) // 100))) // (100 + percent))
+            if len(at) < least:
+                continue  # not even all members together have enough
+            many = bounds[at + 1] - bounds[at]
+            both = np.bincount(owner[np.repeat(bounds[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))], minlength=len(sets))
             hit = np.flatnonzero((100 * both >= percent * (len(s) + size - both)) & (size > 0) & (ids[inside] != ids[i]))
             a.append(np.full(len(hit), ids[i]))
             b.append(ids[inside[hit]])
+            if sum(map(len, a)) > 1 << 18:
+                a, b = ([x] for x in forest(np.concatenate(a), np.concatenate(b)))
         a, b = forest(np.concatenate(a), np.concatenate(b))
-        return pa.table({"a": a, "b": b})
+        out = pa.table({"a": a, "b": b})
+        release_memory()
+        return out
 
     texts = documents.where(needed(F.col("id")))
     return cut(rows.join(texts, "id").groupBy("tg", "salt").applyInArrow(compare, "a long, b long"))
@@ -383,29 +407,29 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
     bounded_batches(spark)
     docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     each = cut(_scan(docs, words))
-    sets = cut(each.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")))
-
-    links = spark.createDataFrame([], "a long, b long")
-    group = spark.createDataFrame([], "id long, component long")
-    for turn in range(ROUNDS):
-        found = _verified(_centres(sets, group, turn, percent), docs, sets, words, percent)
-        links = links.union(found)
-        group = components(links)
+    docs = docs.where("id is not null")
+    sets = cut(each.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")))
+
+    groups, centres = _groups(sets)
+    similar = groups.where("alike").select("tg", F.col("rep").alias("id"))
+    both = similar.select("tg", "id", F.explode(F.array(F.lit(True), F.lit(False))).alias("asks"))
+    links = _opened(both.union(centres.select("tg", "rep", F.lit(False))).distinct(), docs, words, percent)
+    group = components(links)
+
     shards = shuffle_partitions(spark)
     frequent = _frequent(docs, words, percent, max(8, shards // 2))
     names = sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep")
     columns = _matrix(docs, frequent, words, percent, max(8, shards // 2))
     columns = columns.join(names, "key").drop("key")
-    groups = cut(_groups(sets))
-    columns = columns.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component").join(groups, "rep")
-    opened = cut(_open(columns, percent, shards))
-    links = links.union(_opened(opened.where("not only").select("q", "tg"), groups, docs, words, percent))
-    links = links.union(_verified(opened.where("only").select(F.col("q").alias("a"), F.col("tg").alias("b")), docs, sets, words, percent))
+    of = groups.select("rep", "tg").join(group.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tg", F.coalesce("component", "rep").alias("g"))
+    opened = cut(_open(columns.join(of, "rep"), percent, shards))
+    links = links.union(_opened(_qualified(opened, sets, percent), docs, words, percent))
     group = components(links)
 
     whole = sets.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = each.join(whole, "key", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    found = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"))
 
 
 def keep_first(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

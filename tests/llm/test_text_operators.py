@@ -175,15 +175,27 @@ def test_shingles_do_not_depend_on_pieces(monkeypatch):
     assert (jaccard.shingles(text) == whole).all()
 
 
-def test_room_bounds_the_overlap():
-    rng = random.Random(1)
+@pytest.mark.parametrize("seed", range(3))
+def test_sketches_lose_no_link(seed):
     import numpy as np
 
-    for n in (3, 50, 400, 3000):
-        a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
-        b = np.unique(np.concatenate([a[: n // 2], np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)]))
-        assert jaccard.room(jaccard.sketch(a), jaccard.sketch(b)) >= len(np.intersect1d(a, b))
-        assert jaccard.room(jaccard.sketch(a), jaccard.sketch(a)) >= len(a)
+    rng = random.Random(seed)
+
+    def some(n):
+        return np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+
+    sets = []
+    for n in (1, 3, 50, 400, 3000):
+        base = some(n)
+        sets += [np.unique(np.concatenate([base[: max(1, int(n * share))], some(int(n * extra))])) for share in (1, 0.95, 0.85, 0.7) for extra in (0, 0.05, 0.2)]
+    sets.append(np.unique(some(200) >> np.uint64(40)))  # all begin alike, so counts stop at 255
+    a, b = sets[::2], sets[1::2]
+    q, m = jaccard.qualify([jaccard.sketch(x) for x in a], np.array(list(map(len, a))), [jaccard.sketch(x) for x in b], np.array(list(map(len, b))), 75)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if jaccard.linked(x, y):
+                assert q[i] and m[j]
+    assert not q.all()
 
 
 def test_components(spark):
@@ -249,7 +261,8 @@ def test_sorter_with_queues_on_disk():
         n, cap = int(rng.integers(1, 80)), int(rng.choice([3, 8, 50]))
         x = (1 + rng.integers(0, int(rng.integers(1, 5)), n)).astype(np.uint8)
         b = bytes(x)
-        got = list(Sorter(x, cap, memory=64).suffixes())
+        text = np.concatenate([x, np.zeros(cap + 16, np.uint8)])
+        got = list(Sorter(text, n, cap, memory=int(rng.choice([0, 64, 1 << 20]))).suffixes())
         order, common = (np.concatenate(c) for c in zip(*got, strict=True))
         assert sorted(order.tolist()) == list(range(n))
         for i in range(n - 1):
@@ -267,9 +280,7 @@ def reference_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_packing(documents, no_documents, texts, reference_tokenizer):
@@ -295,33 +306,51 @@ def test_packing(documents, no_documents, texts, reference_tokenizer):
     assert packing.pack_documents(no_documents).count() == 0
 
 
-def test_best_fit_is_best_fit():
-    """The runs hold what placing pieces one by one gives."""
-    rng = random.Random(4)
-    for _ in range(50):
-        counts = {rng.randint(1, 64): rng.randint(1, 9) for _ in range(rng.randint(0, 20))}
-        plan = packing.best_fit(counts, 64)
-        used: dict[int, list] = {}
-        for size, a, b, first, each, offset in plan:
-            for r in range(a, b):
-                used.setdefault(first + (r - a) // each, []).append((offset + (r - a) % each * size, size))
-        placed = sorted(s for parts in used.values() for _, s in parts)
-        assert placed == sorted(s for s, n in counts.items() for _ in range(n))
-        for parts in used.values():
-            at = 0
-            for offset, size in sorted(parts):
-                assert offset == at
-                at += size
-            assert at <= 64
-        gaps: list[int] = []
-        for size in sorted(counts, reverse=True):
-            for _ in range(counts[size]):
-                fit = min((g for g in gaps if g >= size), default=None)
-                if fit is None:
-                    gaps.append(64 - size)
-                else:
-                    gaps[gaps.index(fit)] -= size
-        assert len(used) == len(gaps)
+def serial_best_fit(sizes, capacity):
+    """Sequences that best fit needs, longest first, one piece after the other."""
+    from bisect import bisect_left, insort
+
+    gaps, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        i = bisect_left(gaps, size)
+        if i < len(gaps):
+            gap = gaps.pop(i)
+        else:
+            gap, n = capacity, n + 1
+        if gap > size:
+            insort(gaps, gap - size)
+    return n
+
+
+@pytest.mark.parametrize(("seed", "n", "capacity"), [(0, 400, 64), (1, 1500, 1024), (2, 1500, 100), (3, 3000, 32)])
+def test_packing_needs_no_more_than_serial_best_fit(spark, seed, n, capacity):
+    rng = random.Random(seed)
+    some = [lambda: rng.randint(1, capacity), lambda: capacity // 3, lambda: rng.randint(1, max(1, capacity // 8)), lambda: capacity // 2 + 1]
+    sizes = [rng.choice(some[: 2 + seed % 3])() for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    sequences = {}
+    out = packing.pack(df, capacity=capacity).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(n))
+    for r in out:
+        assert r["length"] == sizes[r["doc_id"]]
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    best = serial_best_fit(sizes, capacity)
+    assert len(sequences) <= best + max(1, best // 200), (len(sequences), best, -(-sum(sizes) // capacity))
+
+
+def test_packing_of_long_and_repeated_rows(spark):
+    rows = [(1, "word " * 20_000), (1, "word " * 20_000), (None, "x"), (2, None), (2, None), (3, "a <|endoftext|> b")]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len([r for r in out if r["doc_id"] == 1]) == 2 * 20 and len([r for r in out if r["doc_id"] is None]) == 1
+    assert [r["length"] for r in out if r["doc_id"] == 2] == [1, 1] and [r["length"] for r in out if r["doc_id"] == 3] == [5]
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    assert all(a[0] != b[0] and b[1] == 0 or a[0] == b[0] and a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
 
 
 def test_encoders_agree(texts, reference_tokenizer):
