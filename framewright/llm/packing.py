@@ -1,25 +1,30 @@
-"""Best-fit packing of tokenized documents into sequences.
+"""Best-fit packing of tokenized documents into sequences, bulk-synchronously.
 
 Documents are tokenized, ended with an end id and cut into pieces of the capacity where they are longer; the first
-piece takes what is left over. Pieces are then packed best-fit, longest first, in bulk-synchronous steps: pieces and
-gaps are kept sorted by size, one step handles all pieces of one size, each takes the smallest gap that is large enough
-(the successor of its size among the gaps), pieces that want the same gap get the gaps of that size in order of rank, and
-the gaps shrink before the next step. Pieces of one size differ only by rank and gaps of one size only by number, so a
-step works on runs of ranks and runs of gaps; their number is bounded by the capacity, not by the data. Ranks are
-computed in parallel, within (size, part) and then across parts, so a size that a third of all pieces has is no hot
-group.
+piece takes what is left over. Pieces are then packed longest first, in bands of sizes of which equally many fit a
+sequence. A step of a band is one distributed sweep over its pieces and all gaps that are large enough, sorted by size from
+the largest down: every piece takes the smallest gap, not taken yet, that has been passed, its successor among the gaps.
+That is a matching of parentheses, gaps open and pieces close, so it needs no task to see the whole order: prefix sums over
+runs of (size, part) give each gap and piece its height, and a piece takes the last gap before it of its height. Ranks
+within a run resolve conflicts: of equal pieces those with the lowest ranks get the gaps, the others wait. Then the gaps
+shrink and the sweep is repeated until a band's pieces are placed or none fits; those left open new sequences, side by side
+in order of size. Gaps that hold several of a band's pieces take as many in one sweep as there are pieces for each gap.
+
+The driver holds the counts of runs alone, bounded by the capacity times PARTS, and sums them up; they are what is
+broadcast. Pieces and gaps are shuffled by run, height or sequence. A size that a third of all pieces has is dealt into
+PARTS runs.
 
 A null or empty text is one piece with the end id alone. Repeated rows are packed as often as they occur. Ties in size
-are broken by rank. An empty table gives no piece. Very long texts become many pieces; extra columns are ignored.
+are broken by rank. A null doc_id is packed like any other. An empty table gives no piece. Very long texts become many
+pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from framewright.llm.common import bounded_batches, cut, shuffle_partitions, table
+from framewright.llm.common import bounded_batches, cut, fresh_columns, shuffle_partitions, table
 
 CAPACITY, END_ID = 1024, 2
+#: Parts that the pieces, and the gaps, of one size are dealt into at most, and pieces that a gap takes in one sweep at most.
+PARTS, SLOTS = 32, 16
+#: How many pieces of the bands' sizes fit a sequence, from and to; the last band goes on to the capacity.
+BANDS = ((1, 1), (2, 2), (3, 3), (4, 5), (6, 9), (10, 20), (21, None))
 # Fixed value: how the byte-level vocabulary splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,10 +51,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file. Strings of special tokens in a text are ordinary text.
+    """Ids of a byte-level BPE vocabulary file, as the ``tokenizers`` library gives them by default.
 
-    The merges run in the faster of two libraries where the file's ids follow the order of its merges, which is what
-    makes both give the same ids; texts that it can't take, and other files, go to the ``tokenizers`` library.
+    The merges run in the faster of two libraries where the file describes a plain byte-level vocabulary (no normalizer, the
+    usual split, ids in the order of merges), which is what makes both give the same ids; texts that hold the string of
+    an added token, or that it can't take, and other files go to the ``tokenizers`` library.
     """
 
     def __init__(self, file: bytes):
@@ -53,19 +63,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_str(file.decode())
-        self.slow.encode_special_tokens = True
-        model = json.loads(file)["model"]
-        special = {t["content"] for t in json.loads(file).get("added_tokens", [])}
+        told = json.loads(file)
+        model, split = told["model"], told.get("pre_tokenizer") or {}
+        added = [t["content"] for t in told.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         alphabet, vocabulary = byte_alphabet(), model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        in_order = all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and told.get("normalizer") is None
+        plain = plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and not any(told.get(k) for k in ("truncation", "padding"))
         self.fast = None
-        if in_order:
-            ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+        if plain and all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
+            ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if t not in added}
             self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not (self.added and self.added.search(text)):
             try:
                 return self.fast.encode_to_numpy(text, disallowed_special=())
             except BaseException as e:  # its regular expressions give up on some very long runs
@@ -114,81 +126,117 @@ def tokenize(documents: DataFrame, vocabulary: str | None = None, text: str = "t
     return documents.select(F.col(key), F.explode(pieces.asNondeterministic()(F.col(text))).alias("p")).select(key, "p.*")
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Bulk-synchronous best-fit decreasing over sizes.
+def heights(size: np.ndarray, pieces: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ``n`` gaps, or of pieces, of one size each: their order in the sweep, and how many gaps are open before
+    each. Gaps of a size come before its pieces; a run of more pieces than there are gaps empties them."""
+    order = np.lexsort((pieces, -size))
+    change = np.where(pieces, -n, n)[order]
+    after = np.cumsum(change)
+    least = np.minimum.accumulate(np.concatenate([[0], np.minimum(after, 0)[:-1]])) if len(after) else after
+    place, height = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+    place[order], height[order] = np.arange(len(n)), after - change - least
+    return place, height
 
-    Gives (size, first rank, last rank + 1, first sequence, pieces a sequence, offset): rank r of that size goes to
-    sequence ``first + (r - first rank) // pieces`` at ``offset + (r - first rank) % pieces * size``.
+
+def _table(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
+    """A small table of longs, broadcast where it is joined: as many rows as runs."""
+    rows = pa.table({name: pa.array(x.astype(np.int64)) for name, x in columns.items()})
+    return F.broadcast(spark.createDataFrame(rows))
+
+
+class Runs:
+    """Counts of the pieces that are left, and of the gaps, by size and part."""
+
+    def __init__(self, counts: DataFrame):
+        found = counts.toArrow()  # capacity x PARTS rows at most
+        self.size, self.part, self.n = (found.column(c).to_numpy().astype(np.int64) for c in ("size", "part", "n"))
+        self.skip = np.zeros(len(self.n), np.int64)
+
+    def take(self, use: np.ndarray) -> Runs:
+        out = object.__new__(Runs)
+        out.size, out.part, out.n, out.skip = self.size[use], self.part[use], self.n[use], self.skip[use]
+        return out
+
+
+def _ranked_gaps(gaps: DataFrame, parts: int) -> tuple[DataFrame, Runs]:
+    """``gaps`` (sid, size) written with part and k, the rank in the run of (size, part), and their counts."""
+    rank = W.partitionBy("size", "part").orderBy("sid")
+    dealt = gaps.where("size > 0").withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts)).cast("long"))
+    dealt = cut(dealt.withColumn("k", F.row_number().over(rank).cast("long") - 1))
+    return dealt, Runs(dealt.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _sweep(every: DataFrame, left: Runs, gaps: DataFrame, there: Runs, slots: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Placements (size, part, k, sid, slot) of pieces, and how many of each run are placed.
+
+    A gap counts as so many slots, each an equal share of it.
     """
-    gaps: dict[int, deque[tuple[int, int]]] = defaultdict(deque)  # size of the gap -> runs of sequences [from, to)
-    sizes: list[int] = []  # the gaps there are, sorted
-    out: list[tuple[int, int, int, int, int, int]] = []
-    sequences = 0
-
-    def add(gap: int, a: int, b: int) -> None:
-        if gap > 0 and a < b:
-            if not gaps[gap]:
-                insort(sizes, gap)
-            gaps[gap].append((a, b))
-
-    for size in sorted((s for s, n in counts.items() if n > 0), reverse=True):
-        rank, n = 0, counts[size]
-        while rank < n:
-            i = bisect_left(sizes, size)
-            if i < len(sizes):
-                gap = sizes[i]
-                a, b = gaps[gap].popleft()
-                if not gaps[gap]:
-                    sizes.pop(i)
-            else:
-                gap, a = capacity, sequences
-                b = a + -(-(n - rank) // (capacity // size))
-                sequences = b
-            each = gap // size
-            whole = min(b - a, (n - rank) // each)
-            if whole:
-                out.append((size, rank, rank + whole * each, a, each, capacity - gap))
-                add(gap - each * size, a, a + whole)
-                rank += whole * each
-            if a + whole < b and rank < n:  # the last sequence takes fewer
-                out.append((size, rank, n, a + whole, each, capacity - gap))
-                add(gap - (n - rank) * size, a + whole, a + whole + 1)
-                whole, rank = whole + 1, n
-            if a + whole < b:
-                if not gaps[gap]:
-                    insort(sizes, gap)
-                gaps[gap].appendleft((a + whole, b))
-    return out
+    spark = every.sparkSession
+    of = np.repeat(np.arange(len(slots)), slots)
+    slot = np.arange(len(of)) - np.repeat(np.cumsum(slots) - slots, slots)
+    is_piece = np.arange(len(of) + len(left.n)) >= len(of)
+    place, height = heights(np.concatenate([(there.size // slots)[of], left.size]), is_piece, np.concatenate([there.n[of], left.n]))
+    taken = np.minimum(left.n, np.maximum(height[is_piece], 0))
+    opens = _table(spark, {"size": there.size[of], "part": there.part[of], "slot": slot, "place": place[~is_piece], "height": height[~is_piece]})
+    closes = _table(spark, {"size": left.size, "part": left.part, "skip": left.skip, "place": place[is_piece], "taken": taken, "height": height[is_piece]})
+    none = F.lit(None).cast("long")
+    opening = gaps.join(opens, ["size", "part"]).select("place", (F.col("height") + F.col("k") + 1).alias("h"), "sid", "slot", none.alias("size"), none.alias("part"), none.alias("k"))
+    closing = every.join(closes, ["size", "part"]).where("k >= skip and k < skip + taken")
+    closing = closing.select("place", (F.col("height") - F.col("k") + F.col("skip")).alias("h"), none.alias("sid"), none.alias("slot"), "size", "part", "k")
+    order = W.partitionBy("h").orderBy("place")
+    met = opening.union(closing).withColumn("sid", F.lag("sid").over(order)).withColumn("slot", F.lag("slot").over(order)).where("size is not null")
+    return met.select("size", "part", "k", "sid", "slot"), taken
 
 
 def pack(pieces: DataFrame, length: str = "length", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Lengths are from 1 to the capacity. Pieces are read three times."""
+    """``pieces`` with sequence_id and offset. Lengths are from 1 to the capacity."""
     spark = pieces.sparkSession
-    parts = 4 * shuffle_partitions(spark)
-    part, rank, before, place = (f"__framewright_{x}" for x in ("part", "rank", "before", "place"))
-    dealt = pieces.withColumn(part, F.pmod(F.xxhash64(key, *(["piece"] if "piece" in pieces.columns else [])), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy(length, part).agg(F.count(F.lit(1)).alias(before))
-    plan = best_fit({r[0]: r[1] for r in dealt.groupBy(length).count().collect()}, capacity)  # as many rows as sizes
-    runs = {s: np.array([p[1:] for p in plan if p[0] == s], np.int64) for s in {p[0] for p in plan}}
-    shared = spark.sparkContext.broadcast(runs)  # bounded by the capacity
-
-    @F.arrow_udf("struct<sequence_id:long,offset:long>")
-    def placed(sizes: pa.Array, ranks: pa.Array) -> pa.Array:
-        s, r = sizes.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
-        sequence, offset = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-        for size in np.unique(s).tolist():
-            mine, run = s == size, shared.value[size]
-            i = np.searchsorted(run[:, 0], r[mine], side="right") - 1
-            k = r[mine] - run[i, 0]
-            sequence[mine], offset[mine] = run[i, 2] + k // run[i, 3], run[i, 4] + k % run[i, 3] * size
-        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
-
+    fresh_columns(pieces, "sequence_id", "offset")
+    parts = min(PARTS, shuffle_partitions(spark))
+    size, part, rank = "__framewright_size", "__framewright_part", "__framewright_rank"
     order = [c for c in (key, "piece") if c in pieces.columns]
-    before_of = counts.withColumn(before, F.sum(before).over(W.partitionBy(length).orderBy(part)) - F.col(before))
-    ranked = dealt.withColumn(rank, F.row_number().over(W.partitionBy(length, part).orderBy(*order)).cast("long") - 1)
-    ranked = ranked.join(before_of.hint("shuffle_hash"), [length, part])
-    out = ranked.withColumn(place, placed.asNondeterministic()(F.col(length), F.col(rank) + F.col(before)))
-    return out.select(*(F.col(c) for c in pieces.columns), F.col(place)["sequence_id"].alias("sequence_id"), F.col(place)["offset"].alias("offset"))
+    dealt = pieces.withColumn(size, F.col(length).cast("long")).withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)).cast("long"))
+    dealt = cut(dealt.withColumn(rank, F.row_number().over(W.partitionBy(size, part).orderBy(*order)).cast("long") - 1))
+    every = dealt.select(F.col(size).alias("size"), F.col(part).alias("part"), F.col(rank).alias("k"))
+    all_left = Runs(every.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
+    nothing = spark.createDataFrame([], "size long, part long, k long, sid long, slot long")
+    placements, gaps, there = [nothing.withColumn("turn", F.lit(0))], nothing.select("sid", "size", "part", "k"), all_left.take(np.zeros(len(all_left.n), bool))
+
+    for few, most in BANDS:
+        low, high = (capacity // (most + 1) + 1 if most else 1), capacity // few
+        some, left = every.where(F.col("size").between(low, high)), all_left.take((all_left.size >= low) & (all_left.size <= high))
+        while len(left.n) and (fit := there.size >= left.size.min()).any():
+            # a gap that takes several pieces of any size of the band takes them in one sweep, if there are so many
+            large, n = there.take(fit), int(left.n.sum())
+            slots = np.clip(large.size // high, 1, min(SLOTS, -(-n // int(large.n.sum()))))
+            placed, taken = _sweep(some, left, gaps, large, slots)
+            placed = cut(placed)
+            placements.append(placed.withColumn("turn", F.lit(len(placements))))
+            less = placed.groupBy("sid").agg(F.sum("size").alias("less"))
+            gaps, there = _ranked_gaps(gaps.join(less, "sid", "left").select("sid", (F.col("size") - F.coalesce("less", F.lit(0))).alias("size")), parts)
+            left.n, left.skip = left.n - taken, left.skip + taken
+            left = left.take(left.n > 0)
+        if len(left.n):  # of the pieces left, as many as fit side by side share a new sequence
+            fit = capacity // left.size
+            order_ = np.lexsort((left.part, -left.size, fit))
+            before = np.cumsum(left.n[order_]) - left.n[order_]
+            head = np.concatenate([[True], fit[order_][1:] != fit[order_][:-1]])
+            first = np.empty(len(fit), np.int64)
+            first[order_] = before - np.repeat(before[head], np.diff(np.append(np.flatnonzero(head), len(fit))))
+            number = F.col("first") + F.col("k") - F.col("skip")
+            placed = some.join(_table(spark, {"size": left.size, "part": left.part, "skip": left.skip, "fit": fit, "first": first}), ["size", "part"]).where("k >= skip")
+            sid = F.call_function("shiftleft", F.col("fit"), F.lit(48)) + (number / F.col("fit")).cast("long")
+            placed = cut(placed.select("size", "part", "k", sid.alias("sid"), F.pmod(number, F.col("fit")).alias("slot")))
+            placements.append(placed.withColumn("turn", F.lit(len(placements))))
+            fresh = placed.groupBy("sid").agg((F.lit(capacity) - F.sum("size")).alias("size"))
+            gaps, there = _ranked_gaps(gaps.select("sid", "size").union(fresh), parts)
+
+    where = placements[0]
+    for p in placements[1:]:
+        where = where.union(p)
+    inside = W.partitionBy("sid").orderBy("turn", "slot")
+    where = where.select(F.col("size").alias(size), F.col("part").alias(part), F.col("k").alias(rank), F.col("sid").alias("sequence_id"), (F.sum("size").over(inside) - F.col("size")).alias("offset"))
+    return dealt.join(where, [size, part, rank]).select(*(F.col(c) for c in pieces.columns), "sequence_id", "offset")
 
 
 def pack_documents(documents: DataFrame, vocabulary: str | None = None, with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
