@@ -220,9 +220,9 @@ def brute_vectors(rows, threshold=0.93):
     return {i: (len(links[i]), root[i], root[i] == i) for i in ids}
 
 
-@pytest.mark.parametrize(("cell", "block"), [(2000, 1024), (25, 16)])
-def test_vectors(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(vectors, "CELL_ROWS", cell)
+@pytest.mark.parametrize(("assign", "block"), [(1 << 14, 1024), (20, 16)])
+def test_vectors(spark, monkeypatch, assign, block):
+    monkeypatch.setattr(vectors, "ASSIGN_ROWS", assign)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
     rng = np.random.default_rng(3)
     rows = []
@@ -230,6 +230,7 @@ def test_vectors(spark, monkeypatch, cell, block):
         centre = np.random.default_rng(i % 40).normal(size=8)
         rows.append((i, [float(np.float32(x)) for x in centre + rng.normal(size=8) * 0.35], i % 3 if i % 17 else None))
     rows += [(1000 + i, rows[5][1], rows[5][2]) for i in range(30)]
+    rows += [(1100 + i, [float(np.float32(x)) for x in np.random.default_rng(99).normal(size=8) + rng.normal(size=8) * (0.01 + 0.004 * i)], 1) for i in range(40)]
     rows += [(2000, None, 1), (2001, [0.0] * 8, 1), (2002, [float("nan")] + [1.0] * 7, 1), (2003, [float("inf")] + [1.0] * 7, 1), (2004, [None] + [1.0] * 7, 1), (2005, [1.0, 2.0], 1), (2006, [2.0, 4.0], 1), (2007, [], 1), (2008, [1e-30, 2e-30], 1)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in [*rows, rows[7]]], "vec_id long, embedding array<float>, label int, cell string, n int").repartition(3)
     got = vectors.near_duplicates(df).collect()
