@@ -1,17 +1,18 @@
 """Chat formatting with Spark expressions only.
 
-A conversation becomes one string. Its turns are sorted, adjacent turns of one role share a block, and every turn's
-text stays apart inside it, so that the turns can be read back:
+A conversation becomes one string. Its turns are sorted, adjacent turns of one role are merged into a block by array
+functions, and every turn's text stays apart inside it, so that the turns can be read back:
 
     <|turn|>role<|text|>first text<|text|>second text<|end|>\\n
 
 Inside roles and texts a backslash is put behind each ``<`` and ``[``. No control string of this template, nor one like
 ``</s>`` or ``[INST]``, can then occur there, and taking the backslash away again gives the text back.
 
-The loss mask is a list of run lengths in code points, by turns outside and under the loss; each turn's text is one run
-under its own flag. Null texts and roles count as empty; turns sort by turn (null first), role, text, so ties and
-repeated rows have a fixed order; an empty table gives no conversation; extra columns are ignored. A conversation is
-one row of the result, so it must fit a row.
+The loss mask is a list of run lengths in code points, by turns outside and under the loss; they cover the string from its
+start to its end. What is under the loss is read back by laying the mask over the string, code point by code point. Null
+texts and roles count as empty; turns sort by turn (null first), role, text, so ties and repeated rows have a fixed order;
+a null conv_id is a conversation like another; an empty table gives no conversation; extra columns are ignored, whatever
+their names. A conversation is one row of the result, so it must fit a row; the work is linear in its length.
 """
 
 from __future__ import annotations
@@ -38,27 +39,25 @@ def format_chats(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
     """conv_id, formatted string, loss_runs array<struct<length long, loss boolean>>; the lengths cover the string."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    turns = F.col("turns")
+    first = F.filter(F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("first", first)
 
-    def parts(t: Column, i: Column) -> Column:
-        turns = F.col("turns")
-        first = (i == 0) | (F.get(turns, i - 1)["role"] != t["role"])
-        last = (i == F.size(turns) - 1) | (F.get(turns, i + 1)["role"] != t["role"])
-        head = F.when(first, F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT))).otherwise(F.lit(TEXT))
-        return F.struct(head.alias("head"), escape(t["text"]).alias("body"), F.when(last, F.lit(END)).otherwise(F.lit("")).alias("tail"), (t["role"] == loss_role).alias("loss"))
+    def piece(text: Column, loss: Column) -> Column:
+        return F.struct(text.alias("text"), loss.alias("loss"))
 
-    rows = rows.select("conv_id", F.transform("turns", parts).alias("p"))
-
-    def runs(p: Column) -> Column:
-        return F.array(
-            F.struct(F.length(p["head"]).cast("long").alias("length"), F.lit(False).alias("loss")),
-            F.struct(F.length(p["body"]).cast("long").alias("length"), p["loss"].alias("loss")),
-            F.struct(F.length(p["tail"]).cast("long").alias("length"), F.lit(False).alias("loss")),
-        )
+    def block(start: Column, i: Column) -> Column:
+        """The strings of the block of turns from ``start`` to the next block, control strings among them."""
+        role = F.get(turns, start)["role"]
+        end = F.coalesce(F.get(F.col("first"), i + 1), F.size(turns))
+        mine = F.transform(F.slice(turns, start + 1, end - start), lambda t: F.array(piece(F.lit(TEXT), F.lit(False)), piece(escape(t["text"]), role == loss_role)))
+        return F.concat(F.array(piece(F.concat(F.lit(TURN), escape(role)), F.lit(False))), F.flatten(mine), F.array(piece(F.lit(END), F.lit(False))))
 
+    rows = rows.select("conv_id", F.flatten(F.transform("first", block)).alias("p"))
     return rows.select(
         "conv_id",
-        F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.flatten(F.transform("p", runs)).alias("loss_runs"),
+        F.array_join(F.transform("p", lambda p: p["text"]), "").alias("formatted"),
+        F.transform("p", lambda p: F.struct(F.length(p["text"]).cast("long").alias("length"), p["loss"].alias("loss"))).alias("loss_runs"),
     )
 
 
@@ -67,24 +66,21 @@ def _quoted(s: str) -> str:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns array<struct<role, text, loss>> parsed from the string; loss_text is what the mask covers.
-
-    Under the loss is, for each turn, the part of its text that the mask's run for it covers.
-    """
+    """conv_id, formatted, turns array<struct<role, text>> parsed from the string, and loss_text, what the mask covers."""
     blocks = F.filter(F.split("formatted", _quoted(END)), lambda b: b != "")
 
     def turns(block: Column) -> Column:
         def of(pieces: Column) -> Column:
             head = F.get(pieces, F.lit(0))
             role = F.substring(head, F.lit(len(TURN) + 1), F.length(head))
-            return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda t: F.struct(role.alias("role"), t.alias("text")))
+            return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")))
 
         return F.transform(F.array(F.split(block, _quoted(TEXT))), of)[0]  # as a variable the block is split once
 
-    df = formatted.select("conv_id", "formatted", "loss_runs", F.flatten(F.transform(blocks, turns)).alias("raw"))
-    body = F.filter("loss_runs", lambda r, i: i % 3 == 1)
-    df = df.withColumn("raw", F.zip_with("raw", body, lambda t, r: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"), F.when(r["loss"], unescape(F.substring(t["text"], F.lit(1), r["length"].cast("int")))).alias("loss_text"))))
-    return df.select("conv_id", "formatted", F.transform("raw", lambda t: F.struct(t["role"], t["text"])).alias("turns"), F.array_join(F.transform("raw", lambda t: t["loss_text"]), "").alias("loss_text"))
+    mask = F.flatten(F.transform("loss_runs", lambda r: F.array_repeat(r["loss"], r["length"].cast("int"))))
+    under = F.zip_with(F.split("formatted", ""), mask, lambda c, m: F.when(m, c))
+    # a text's every < and [ has its backslash behind it, so escaped texts may be joined before they are unescaped
+    return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), unescape(F.array_join(under, "")).alias("loss_text"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ length in the language of the nearest one, is marked rejected: short texts are l
 Document frequencies come from all training rows; centroids from at most about SAMPLE_PER_LANGUAGE rows a language.
 A null text, or one without a letter, is ``und`` with score 0 and rejected, and so is every text if there is nothing to
 learn from. Texts are read whole, in pieces of bounded memory. Equal texts get equal results; ties go to the language
-that sorts first; extra columns stay as they are.
+that sorts first. Extra columns stay as they are, but for one named like the result, which raises an error; an empty table
+gives an empty result. A null doc_id is in the fold that is learnt from.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bounded_batches, table
+from framewright.llm.common import bounded_batches, fresh_columns, table
 
 #: The bounds of the classifier: rows a language that centroids are fitted to, vector length, centroids a language.
 SAMPLE_PER_LANGUAGE, DIMENSIONS, CLUSTERS = 256, 4096, 4
@@ -175,13 +176,14 @@ def predict_udf(spark: SparkSession, model: dict | None):
 
 def held_out(doc_id: Column) -> Column:
     """The fold that is not learnt from: crc32 of the id as text leaves 2 when divided by 4."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(documents: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """``documents`` with the struct column ``language``: lang_pred, score, rejected."""
+def identify(documents: DataFrame, model: dict | None, text: str = "text", to: str = "language") -> DataFrame:
+    """``documents`` with the struct column ``to``: lang_pred, score, rejected."""
     bounded_batches(documents.sparkSession)
-    return documents.withColumn("language", predict_udf(documents.sparkSession, model)(text))
+    fresh_columns(documents, to)
+    return documents.withColumn(to, predict_udf(documents.sparkSession, model)(text))
 
 
 def keep_identified(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

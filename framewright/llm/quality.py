@@ -5,7 +5,8 @@ rejections per cost and stops at a document's first rejection. The order changes
 
 Texts are split into words at ASCII white space. A null text has no words. An empty text has none either and fails the
 base rule; very long texts are handled whole, with one 8-byte number a word. Repeated rows get equal results, extra
-columns are ignored, an empty table gives an empty result.
+columns stay, but for one named like the result, which raises an error; an empty table gives an empty result. Where all
+counts are asked for, they are taken before the cascade, and a rule's cost is what it costs beyond them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bounded_batches, table
+from framewright.llm.common import bounded_batches, fresh_columns, table
 
 #: Documents on which costs and rejections are measured.
 SAMPLE_ROWS = 1000
@@ -145,7 +146,11 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
-def measure_rules(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, int, int]]:
+#: What every text is counted for where counts are asked for.
+COUNTS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure_rules(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, with_counts: bool = False) -> list[tuple[str, int, int]]:
     """(rule, nanoseconds, rejections) over a sample of about ``sample_rows`` rows, one row of sums a rule."""
     n = documents.count()
     sample = documents.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(max(1, n // max(1, sample_rows)))) == 0)
@@ -156,6 +161,8 @@ def measure_rules(documents: DataFrame, text: str = "text", sample_rows: int = S
             for value in batch.column(0).to_pylist():
                 for name, rule in RULES.items():
                     x = Text(value)
+                    for c in COUNTS if with_counts else ():
+                        x.count(c)
                     began = time.perf_counter_ns()
                     rejected[name] += rule(x)
                     spent[name] += time.perf_counter_ns() - began
@@ -165,9 +172,9 @@ def measure_rules(documents: DataFrame, text: str = "text", sample_rows: int = S
     return [tuple(r) for r in sums.collect()]  # as many rows as rules
 
 
-def plan_cascade(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
+def plan_cascade(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, with_counts: bool = False) -> list[str]:
     """All rules, those with most rejections per cost first; ties and an empty sample keep the order by name."""
-    found = {rule: rejected / max(1, ns) for rule, ns, rejected in measure_rules(documents, text, sample_rows)}
+    found = {rule: rejected / max(1, ns) for rule, ns, rejected in measure_rules(documents, text, sample_rows, with_counts)}
     return sorted(RULES, key=lambda r: (-found.get(r, 0.0), r))
 
 
@@ -183,7 +190,7 @@ def verdict_udf(order: list[str], with_counts: bool = True):
         out: list[tuple] = []
         for value in texts.to_pylist():
             x = Text(value)
-            counts = (len(x.words), *(x.count(c) for c, _ in _COLUMNS[1:5])) if with_counts else (None,) * 5
+            counts = (len(x.words), *map(x.count, COUNTS)) if with_counts else (None,) * 5
             base = RULES["few_words"](x) or RULES["repeated_windows"](x) if with_counts else None
             kept = not any(RULES[r](x) for r in order)
             out.append((*counts, base, kept))
@@ -193,10 +200,11 @@ def verdict_udf(order: list[str], with_counts: bool = True):
     return judge.asNondeterministic()  # else the optimizer may run it once for each column taken from it
 
 
-def quality(documents: DataFrame, text: str = "text", with_counts: bool = True) -> DataFrame:
-    """``documents`` with the struct column ``quality``: counts, base_failed and kept."""
+def quality(documents: DataFrame, text: str = "text", with_counts: bool = True, to: str = "quality") -> DataFrame:
+    """``documents`` with the struct column ``to``: counts, base_failed and kept."""
     bounded_batches(documents.sparkSession)
-    return documents.withColumn("quality", verdict_udf(plan_cascade(documents, text), with_counts)(text))
+    fresh_columns(documents, to)
+    return documents.withColumn(to, verdict_udf(plan_cascade(documents, text, with_counts=with_counts), with_counts)(text))
 
 
 def keep_good(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -213,4 +221,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_quality_rules": r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, string_split(t, chr(10)) as lines,
+    length(regexp_replace(t, '[^\p{L}]', '', 'g')) as letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) as capitals,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars from d),
+l as (select r, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+windows as (select r, i, list_slice(ws, i, i + 7) as win from w, unnest(generate_series(1, len(ws) - 7)) as s(i)),
+twice as (select r, unnest(list(i)) as i from windows group by r, win having count(*) > 1),
+covered as (select r, count(distinct i + k) as n from twice, unnest(generate_series(0, 7)) as s(k) group by r),
+word as (select r, count(*) as n from (select r, unnest(ws) as x from w) group by r, x),
+top as (select r, max(n) as n from word group by r),
+stutter as (select r, count(*) as n from w, unnest(generate_series(1, len(ws) - 1)) as s(i) where ws[i] = ws[i + 1] group by r),
+c as (select d.doc_id, len(ws) as n_words, word_chars, n_symbols, len(l.lines) - len(list_distinct(l.lines)) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words,
+    len(l.lines) as n_lines, letters, capitals, coalesce(top.n, 0) as top, coalesce(stutter.n, 0) as stutter
+  from d join w using (r) join l using (r) left join covered using (r) left join top using (r) left join stutter using (r)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not (base_failed or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 30 * n_lines or word_chars < 3 * n_words or word_chars > 12 * n_words
+    or 100 * capitals > 40 * greatest(1, letters) or 100 * top > 25 * n_words or 100 * stutter > 20 * n_words or 100 * letters < 60 * word_chars) as kept
+from b""",
+}

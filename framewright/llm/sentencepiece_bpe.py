@@ -7,8 +7,8 @@ token of what stands before it survives merging as it is. The ids of the whole t
 No piece has a word separator behind another character, so no token crosses from a word into the next; the table is
 made for one word at a time, and words met before are looked up. Memory is bounded by the longest word and the caches.
 
-A null text counts as empty and has no ids. Repeated rows get equal results, extra columns are ignored, an empty table
-gives an empty result.
+A null text counts as empty and has no ids. Repeated rows get equal results; extra columns stay, but for one named like
+the result, which raises an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bounded_batches, table
+from framewright.llm.common import bounded_batches, fresh_columns, table
 
 SPACE = "▁"
 #: Entries of a worker's caches, and the longest word that is kept.
@@ -204,9 +204,10 @@ def _load(shared, name: str) -> Model:
     return found
 
 
-def encode(documents: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
-    """``documents`` with the ids of each text (array<int>)."""
+def encode(documents: DataFrame, model: str | None = None, text: str = "text", to: str = "ids") -> DataFrame:
+    """``documents`` with the column ``to``, the ids of each text (array<int>)."""
     bounded_batches(documents.sparkSession)
+    fresh_columns(documents, to)
     shared, name = _shared_model(documents.sparkSession, model)
 
     @F.arrow_udf("array<int>")
@@ -214,12 +215,13 @@ def encode(documents: DataFrame, model: str | None = None, text: str = "text") -
         m = _load(shared, name)
         return pa.array([m.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return documents.withColumn("ids", ids.asNondeterministic()(text))
+    return documents.withColumn(to, ids.asNondeterministic()(text))
 
 
-def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
-    """``encoded`` with the text that each list of ids stands for."""
+def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """``encoded`` with the column ``to``, the text that each list of ids stands for."""
     bounded_batches(encoded.sparkSession)
+    fresh_columns(encoded, to)
     shared, name = _shared_model(encoded.sparkSession, model)
 
     @F.arrow_udf("string")
@@ -227,12 +229,13 @@ def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids") -> Da
         m = _load(shared, name)
         return pa.array([m.decode(x or []) for x in lists.to_pylist()], pa.string())
 
-    return encoded.withColumn("decoded", back.asNondeterministic()(ids))
+    return encoded.withColumn(to, back.asNondeterministic()(ids))
 
 
-def digests(documents: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
-    """``documents`` with the struct column ``encoded``: n_tokens, ids_sha256, decoded_sha256."""
+def digests(documents: DataFrame, model: str | None = None, text: str = "text", to: str = "encoded") -> DataFrame:
+    """``documents`` with the struct column ``to``: n_tokens, ids_sha256, decoded_sha256."""
     bounded_batches(documents.sparkSession)
+    fresh_columns(documents, to)
     shared, name = _shared_model(documents.sparkSession, model)
 
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
@@ -242,7 +245,7 @@ def digests(documents: DataFrame, model: str | None = None, text: str = "text")
         n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.withColumn("encoded", both.asNondeterministic()(text))
+    return documents.withColumn(to, both.asNondeterministic()(text))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
