@@ -37,6 +37,8 @@ from framewright.llm.common import bounded_batches, cut, fresh_columns, shuffle_
 CAPACITY, END_ID = 1024, 2
 #: Parts that the pieces, and the gaps, of one size are dealt into at most, and pieces that a gap takes in one sweep at most.
 PARTS, SLOTS = 32, 16
+#: Rows that a task of a sweep should have: sweeps over few rows run in few tasks.
+TASK_ROWS = 1 << 16
 #: How many pieces of the bands' sizes fit a sequence, from and to; the last band goes on to the capacity.
 BANDS = ((1, 1), (2, 2), (3, 3), (4, 5), (6, 9), (10, 20), (21, None))
 # Fixed value: how the byte-level vocabulary splits text before merging.
@@ -144,6 +146,10 @@ def _table(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows))
 
 
+def _tasks(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 class Runs:
     """Counts of the pieces that are left, and of the gaps, by size and part."""
 
@@ -158,11 +164,15 @@ class Runs:
         return out
 
 
-def _ranked_gaps(gaps: DataFrame, parts: int) -> tuple[DataFrame, Runs]:
-    """``gaps`` (sid, size) written with part and k, the rank in the run of (size, part), and their counts."""
+def _ranked_gaps(changes: DataFrame, least: int, rows: int, parts: int) -> tuple[DataFrame, Runs]:
+    """What is left of gaps, written with part and k, the rank in the run of (size, part), and their counts.
+
+    ``changes`` are rows (sid, size) that add to a sequence's gap or take from it; gaps below ``least`` are left out.
+    """
     rank = W.partitionBy("size", "part").orderBy("sid")
-    dealt = gaps.where("size > 0").withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts)).cast("long"))
-    dealt = cut(dealt.withColumn("k", F.row_number().over(rank).cast("long") - 1))
+    gaps = _tasks(changes.groupBy("sid").agg(F.sum("size").alias("size")).where(F.col("size") >= least), rows)
+    dealt = gaps.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(parts)).cast("long")).withColumn("k", F.row_number().over(rank).cast("long") - 1)
+    dealt = cut(_tasks(dealt, rows))
     return dealt, Runs(dealt.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -196,7 +206,7 @@ def pack(pieces: DataFrame, length: str = "length", key: str = "doc_id", capacit
     size, part, rank = "__framewright_size", "__framewright_part", "__framewright_rank"
     order = [c for c in (key, "piece") if c in pieces.columns]
     dealt = pieces.withColumn(size, F.col(length).cast("long")).withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)).cast("long"))
-    dealt = cut(dealt.withColumn(rank, F.row_number().over(W.partitionBy(size, part).orderBy(*order)).cast("long") - 1))
+    dealt = cut(_tasks(dealt.withColumn(rank, F.row_number().over(W.partitionBy(size, part).orderBy(*order)).cast("long") - 1), pieces.count()))
     every = dealt.select(F.col(size).alias("size"), F.col(part).alias("part"), F.col(rank).alias("k"))
     all_left = Runs(every.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")))
     nothing = spark.createDataFrame([], "size long, part long, k long, sid long, slot long")
@@ -204,18 +214,18 @@ def pack(pieces: DataFrame, length: str = "length", key: str = "doc_id", capacit
 
     for few, most in BANDS:
         low, high = (capacity // (most + 1) + 1 if most else 1), capacity // few
+        least = int(all_left.size.min()) if len(all_left.size) else 1  # what fits no piece at all is no gap
         some, left = every.where(F.col("size").between(low, high)), all_left.take((all_left.size >= low) & (all_left.size <= high))
         while len(left.n) and (fit := there.size >= left.size.min()).any():
             # a gap that takes several pieces of any size of the band takes them in one sweep, if there are so many
             large, n = there.take(fit), int(left.n.sum())
             slots = np.clip(large.size // high, 1, min(SLOTS, -(-n // int(large.n.sum()))))
             placed, taken = _sweep(some, left, gaps, large, slots)
-            placed = cut(placed)
+            placed = cut(_tasks(placed, n))
             placements.append(placed.withColumn("turn", F.lit(len(placements))))
-            less = placed.groupBy("sid").agg(F.sum("size").alias("less"))
-            gaps, there = _ranked_gaps(gaps.join(less, "sid", "left").select("sid", (F.col("size") - F.coalesce("less", F.lit(0))).alias("size")), parts)
             left.n, left.skip = left.n - taken, left.skip + taken
             left = left.take(left.n > 0)
+            gaps, there = _ranked_gaps(gaps.select("sid", "size").union(placed.select("sid", -F.col("size"))), least, int(there.n.sum()), parts)
         if len(left.n):  # of the pieces left, as many as fit side by side share a new sequence
             fit = capacity // left.size
             order_ = np.lexsort((left.part, -left.size, fit))
@@ -228,8 +238,9 @@ def pack(pieces: DataFrame, length: str = "length", key: str = "doc_id", capacit
             sid = F.call_function("shiftleft", F.col("fit"), F.lit(48)) + (number / F.col("fit")).cast("long")
             placed = cut(placed.select("size", "part", "k", sid.alias("sid"), F.pmod(number, F.col("fit")).alias("slot")))
             placements.append(placed.withColumn("turn", F.lit(len(placements))))
-            fresh = placed.groupBy("sid").agg((F.lit(capacity) - F.sum("size")).alias("size"))
-            gaps, there = _ranked_gaps(gaps.select("sid", "size").union(fresh), parts)
+            whole = placed.where("slot = 0").select("sid", F.lit(capacity).cast("long"))
+            changes = gaps.select("sid", "size").union(whole).union(placed.select("sid", -F.col("size")))
+            gaps, there = _ranked_gaps(changes, least, int(there.n.sum() + left.n.sum()), parts)
 
     where = placements[0]
     for p in placements[1:]:
