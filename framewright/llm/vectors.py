@@ -153,19 +153,24 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, key: st
     inside = cut(_met(placed.select("label", "size", "block", "v", "rep", "n"), centroids).applyInArrow(_with_both(assign, schema), schema))
 
     of_cell = ["label", "size", "cell"]
+    core, visit = F.col("core"), F.col("visit")
+    count = lambda c: F.ceil(F.count_if(c) / BLOCK_ROWS).cast("int")
     sizes = inside.groupBy(*of_cell).agg(
-        F.ceil(F.count_if("core") / BLOCK_ROWS).cast("int").alias("cores"),
-        F.ceil(F.count_if(~F.col("core")) / BLOCK_ROWS).cast("int").alias("others"),
-        F.sum(F.when(F.col("core"), F.col("n"))).alias("core_n"),
-        F.min(F.when(F.col("core"), F.col("rep"))).alias("core_rep"),
+        count(core).alias("cores"),
+        count(~core & ~visit).alias("owns"),
+        count(visit).alias("visits"),
+        F.sum(F.when(core, F.col("n"))).alias("core_n"),
+        F.min(F.when(core, F.col("rep"))).alias("core_rep"),
     )
     joined = inside.join(sizes, of_cell)
     counted = joined.where("core").select(F.col("rep").alias("a"), F.col("core_rep").alias("b"), (F.col("core_n") - F.col("n")).alias("links"))
-    deal = F.xxhash64("rep")
-    blocks = joined.withColumn("block", F.when(F.col("core"), F.pmod(deal, "cores")).otherwise(F.col("cores") + F.pmod(deal, "others")).cast("int"))
-    first = F.when(F.col("core"), F.col("cores")).otherwise(0)  # the core isn't multiplied with itself
-    other = F.when(F.col("others") > 0, F.sequence(first, F.col("cores") + F.col("others") - 1)).otherwise(F.array().cast("array<int>"))
-    tasks = blocks.withColumn("other", F.explode(other)).select(*of_cell, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") > F.col("other")).alias("second"), "visit", "rep", "n", "v")
+    deal, outside = F.xxhash64("rep"), F.col("cores") + F.col("owns")
+    block = F.when(core, F.pmod(deal, "cores")).when(visit, outside + F.pmod(deal, "visits")).otherwise(F.col("cores") + F.pmod(deal, "owns"))
+    # the core isn't multiplied with itself, nor are visitors with each other
+    first, last = F.when(core, F.col("cores")).otherwise(0), F.when(visit, outside).otherwise(outside + F.col("visits")) - 1
+    other = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    tasks = joined.withColumn("block", block.cast("int")).withColumn("other", F.explode(other))
+    tasks = tasks.select(*of_cell, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") > F.col("other")).alias("second"), "visit", "rep", "n", "v")
 
     def compare(t: pa.Table) -> pa.Table:
         x = _unit(_matrix(t.column("v"), t.column("size")[0].as_py()))
