@@ -445,4 +445,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_ngram_jaccard_join": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as token from d, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) as g(i)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+inter as (select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b using (token) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (select i.a, i.b from inter i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where 100 * m >= 75 * (x.n + y.n - m)),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r join links l on r.b = l.a),
+component as (select a, min(b) as c from reach group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.c, d.doc_id)::bigint as component_id
+from documents d left join n using (doc_id) left join component c on c.a = d.doc_id""",
+}

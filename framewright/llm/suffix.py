@@ -533,4 +533,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_suffix_dedup": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, h[2 * i + 1 : 2 * i + 100] as win from d, unnest(generate_series(0, len(h) // 2 - 50)) as g(i)),
+f as (select win, min(doc_id) as first from w group by win having min(doc_id) < max(doc_id)),
+gone as (select doc_id, i from w join f using (win) where first < doc_id),
+islands as (select doc_id, i, i > 50 + lag(i) over (partition by doc_id order by i) as fresh from gone),
+numbered as (select doc_id, i, sum(coalesce(fresh, true)::int) over (partition by doc_id order by i) as k from islands),
+spans as (select doc_id, k, min(i) as a, max(i) + 50 as b from numbered group by doc_id, k),
+edges as (select doc_id, list(struct_pack(a := a, b := b) order by a) as r, sum(b - a) as n_removed, count(*) as n_spans from spans group by doc_id),
+kept as (select d.doc_id, case when r is null then h else array_to_string(list_transform(generate_series(0, len(r)), lambda j: h[2 * (case when j = 0 then 0 else r[j].b end) + 1 : 2 * (case when j = len(r) then len(h) // 2 else r[j + 1].a end)]), '') end as kept from d left join edges using (doc_id))
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256
+from d left join edges using (doc_id) join kept using (doc_id)""",
+}
