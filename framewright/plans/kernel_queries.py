@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,9 @@ from framewright.functions import pixels as P
 from framewright.plans.sequence_queries import table
 
 
+KEY = ["vec_id", "block"]
+
+
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pseudo-random bytes of each event."""
     e = F.col("event_id")
@@ -23,29 +24,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-def parts(spark: SparkSession, sf_dir: str, size: int, whole: bool) -> DataFrame:
-    """Runs of ``size`` components: the first of each vector, or with its place ``block`` every one."""
+def parts(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
+    """All runs of ``size`` components of each vector, with their place ``block``."""
     v = vectors(spark, sf_dir)
-    if not whole:
-        return v.select("vec_id", F.slice("v", 1, size).alias("v"))
-    v = v.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / size).cast("int") - 1)).alias("block"))
-    return v.select("vec_id", "block", F.slice("v", F.col("block") * size + 1, size).alias("v"))
+    v = v.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.size("v") / size) - 1)).alias("block"))
+    return v.select("vec_id", "block", F.slice("v", (F.col("block") * size + 1).cast("int"), size).alias("v"))
 
 
-def blocks(spark: SparkSession, sf_dir: str, whole: bool = False, size: int = 16) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
     """4x4 blocks of whole numbers."""
-    return parts(spark, sf_dir, size, whole).select(*key(whole), F.transform("v", lambda x: F.floor(x * 100).cast("long")).alias("b"))
-
+    return parts(spark, sf_dir, size).select(*KEY, F.transform("v", lambda x: F.floor(x * 100).cast("long")).alias("b"))
 
-def key(whole: bool) -> list[str]:
-    return ["vec_id", "block"] if whole else ["vec_id"]
 
-
-def texts(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    """URLs of pages, or whole texts of documents, as bytes."""
-    if whole:
-        return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("t"))
-    return table(spark, sf_dir, "pages").select("page_id", F.encode("url", "utf-8").alias("t"))
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents as bytes."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("t"))
 
 
 def yuv_clamped(spark, sf_dir):
@@ -123,20 +116,20 @@ def display_sizes(spark, sf_dir):
     return ids(spark, sf_dir).select("event_id", w.cast("long").alias("w"), h.cast("long").alias("h"))
 
 
-def byte_sums(spark, sf_dir, whole=False):
-    """Checksum of each page's URL bytes, as root strings are signed."""
-    t = texts(spark, sf_dir, whole)
+def byte_sums(spark, sf_dir):
+    """Checksum of each document's bytes, as root strings are signed."""
+    t = texts(spark, sf_dir)
     return t.select(t.columns[0], I.byte_sum(F.col("t")).bitwiseXOR(F.lit(0x50475342)).alias("signed"))
 
 
-def table_checksums(spark, sf_dir, whole=False):
-    t = texts(spark, sf_dir, whole)
+def table_checksums(spark, sf_dir):
+    t = texts(spark, sf_dir)
     return t.select(t.columns[0], I.checksum32(F.col("t")).alias("checksum"))
 
 
 def crc_mpeg(spark, sf_dir):
     """CRC-32/MPEG-2 of each document's text."""
-    return texts(spark, sf_dir, True).select("doc_id", I.crc32_mpeg(F.col("t")).alias("crc"))
+    return texts(spark, sf_dir).select("doc_id", I.crc32_mpeg(F.col("t")).alias("crc"))
 
 
 def page_root_match(spark, sf_dir):
@@ -165,53 +158,53 @@ def intensity_stereo(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(F.array_max(A.intensity(F.col("v"), F.col("vec_id") % 13, F.col("vec_id") % 2 == 1)), 6).alias("r"))
 
 
-def inverse_quantize(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), F.round(F.array_max(A.inverse_quantize(F.col("b"), F.lit(96))), 4).alias("top"))
+def inverse_quantize(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, F.round(F.array_max(A.inverse_quantize(F.col("b"), F.lit(96))), 4).alias("top"))
 
 
 def deemphasis(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(F.element_at(A.deemphasis(F.col("v")), -1), 6).alias("last"))
 
 
-def wrapped_deltas(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), F.element_at(A.wrapped_sum16(F.transform("b", lambda x: x * 997)), -1).alias("last"))
+def wrapped_deltas(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, F.element_at(A.wrapped_sum16(F.transform("b", lambda x: x * 997)), -1).alias("last"))
 
 
-def zigzag_blocks(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), F.array_join(A.unzigzag(F.col("b")).cast("array<string>"), ",").alias("b"))
+def zigzag_blocks(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, F.array_join(A.unzigzag(F.col("b")).cast("array<string>"), ",").alias("b"))
 
 
 def _text(c):
     return F.array_join(c.cast("array<string>"), ",")
 
 
-def residual_4x4(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.inverse_residual4(F.col("b"))).alias("b"))
+def residual_4x4(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, _text(A.inverse_residual4(F.col("b"))).alias("b"))
 
 
-def walsh_4x4(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.inverse_walsh4(F.col("b"))).alias("b"))
+def walsh_4x4(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, _text(A.inverse_walsh4(F.col("b"))).alias("b"))
 
 
-def dct_4x4(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.inverse_dct4(F.col("b"))).alias("b"))
+def dct_4x4(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, _text(A.inverse_dct4(F.col("b"))).alias("b"))
 
 
-def chroma_dc(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole, 4).select(*key(whole), _text(A.chroma_dc2(F.col("b"))).alias("b"))
+def chroma_dc(spark, sf_dir):
+    return blocks(spark, sf_dir, 4).select(*KEY, _text(A.chroma_dc2(F.col("b"))).alias("b"))
 
 
-def hadamard_blocks(spark, sf_dir, whole=False):
+def hadamard_blocks(spark, sf_dir):
     h = A.hadamard(F.col("v"), 4, 4)
-    return parts(spark, sf_dir, 16, whole).select(*key(whole), F.round(A.energy(h) - A.energy(F.col("v")), 6).alias("gain"), F.round(F.get(h, 0), 6).alias("first"))
+    return parts(spark, sf_dir).select(*KEY, F.round(A.energy(h) - A.energy(F.col("v")), 6).alias("gain"), F.round(F.get(h, 0), 6).alias("first"))
 
 
-def residual_added(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.add_residual(F.transform("b", lambda x: F.abs(x) % 256), F.col("b"), 8)).alias("b"))
+def residual_added(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, _text(A.add_residual(F.transform("b", lambda x: F.abs(x) % 256), F.col("b"), 8)).alias("b"))
 
 
-def subpel_row(spark, sf_dir, whole=False):
-    return blocks(spark, sf_dir, whole).select(*key(whole), _text(A.convolve(F.transform("b", lambda x: F.abs(x) % 256), [-1, 6, -19, 78, 78, -19, 6, -1])).alias("b"))
+def subpel_row(spark, sf_dir):
+    return blocks(spark, sf_dir).select(*KEY, _text(A.convolve(F.transform("b", lambda x: F.abs(x) % 256), [-1, 6, -19, 78, 78, -19, 6, -1])).alias("b"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -220,14 +213,20 @@ QUERIES = {f.__name__: f for f in (
     zigzag_blocks, residual_4x4, walsh_4x4, dct_4x4, chroma_dc, hadamard_blocks, residual_added, subpel_row,
 )}
 
-#: The same over every block of each vector, and over whole texts of documents.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (
-    byte_sums, table_checksums, inverse_quantize, wrapped_deltas, zigzag_blocks, residual_4x4, walsh_4x4, dct_4x4, chroma_dc, hadamard_blocks, residual_added, subpel_row,
-)}
-
 _IDS = "with e as (select event_id, event_id * 7919 % 256 as a, event_id * 104729 % 256 as b, event_id * 1299709 % 256 as c from events) "
 _V = "with v as (select vec_id, embedding::double[] as v from embeddings) "
-_B = "with b as (select vec_id, list_transform(embedding[1:16], lambda x: floor(x::double * 100)::bigint) as b from embeddings) "
+_PARTS = "select vec_id, k::bigint as block, list_transform(embedding[{n} * k + 1 : {n} * k + {n}], lambda x: x::double) as v from embeddings, unnest(range(0, len(embedding) // {n})) as s(k)"
+_B4, _B = (f"with b as (select vec_id, block, list_transform(v, lambda x: floor(x * 100)::bigint) as b from ({_PARTS.format(n=n)})) " for n in (4, 16))
+_BYTES = """
+with recursive c as (select doc_id, i, hex(encode(c)) as h from (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from documents)),
+p as (select doc_id, h, sum(len(h) // 2) over (partition by doc_id order by i rows unbounded preceding) - len(h) // 2 as o from c),
+b as (select doc_id, o + j as i, ('0x' || h[2 * j + 1 : 2 * j + 2])::bigint as b from p, unnest(range(0, len(h) // 2)) as s(j)) """
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i << 24
+    for _ in range(8):
+        _c = (_c << 1 ^ (0x04C11DB7 if _c >> 31 else 0)) & 0xFFFFFFFF
+    _CRC[_i] = _c
 _RGB = "select event_id, greatest(0, least(255, (y + 409 * (c - 128) + 128) >> 8)) as r, greatest(0, least(255, (y - 100 * (b - 128) - 208 * (c - 128) + 128) >> 8)) as g, greatest(0, least(255, (y + 516 * (b - 128) + 128) >> 8)) as bl from (select *, 298 * {luma} as y from e)"
 
 
@@ -246,7 +245,7 @@ def _transform4(kernel, first_rows: bool, final) -> str:
             for place, term in zip(line, kernel([f"b[{i + 1}]" for i in line]), strict=True):
                 out[place] = term
         stages.append("[" + ", ".join(out) + "]")
-    return _B + f", s as (select vec_id, {stages[0]} as b from b), t as (select vec_id, {stages[1]} as b from s) select vec_id, {_list(final(f'b[{i + 1}]') for i in range(16))} as b from t"
+    return _B + f", s as (select vec_id, block, {stages[0]} as b from b), t as (select vec_id, block, {stages[1]} as b from s) select vec_id, block, {_list(final(f'b[{i + 1}]') for i in range(16))} as b from t"
 
 
 def _residual(x):
@@ -284,22 +283,23 @@ select event_id, case when b = c or w < -64 or w > 128 then 32 else 64 - w end a
     "time_stamps": _IDS + "select event_id, (((a >> 1) & 7) << 30) + (b << 22) + (((c >> 1) & 127) << 15) + (((a + b) % 256) << 7) + ((((b + c) % 256) >> 1) & 127) as ts from e",
     "trims": _IDS + "select event_id, (abs((a - 128) * 1000003) * 48000 + 500000000) // 1000000000 as padding, case when a = 0 then 1024 else greatest(0, least(1024, (a * 30 - (b - 64) * 20) * 44100 // 22050)) end as kept from e",
     "display_sizes": _IDS + "select event_id, case when a > 100 and b > 0 then ceil((a - 100) / 7)::bigint else a end as w, case when a > 100 and b > 0 then ceil(b / 3)::bigint else b end as h from e",
-    "byte_sums": "select page_id, xor((select sum(ascii(c)) from (select unnest(string_split(url, '')) as c))::bigint, 1346851650) as signed from pages",
-    "table_checksums": "select page_id, ((select sum(('0x' || substr(rpad(hex(encode(url)), (ceil(strlen(url) / 4) * 8)::int, '0'), (i * 8 + 1)::int, 8))::bigint) from range((ceil(strlen(url) / 4))::bigint) t(i)) % 4294967296)::bigint as checksum from pages",
+    "byte_sums": _BYTES + "select doc_id, xor(sum(b)::bigint, 1346851650) as signed from documents left join b using (doc_id) group by doc_id",
+    "table_checksums": _BYTES + "select doc_id, (sum(b * 256 ** (3 - i % 4))::bigint % 4294967296)::bigint as checksum from b group by doc_id",
+    "crc_mpeg": _BYTES + f", l as (select doc_id, list_prepend(4294967295::bigint, list(b order by i)) as l from b group by doc_id) select doc_id, list_reduce(l, lambda c, x: xor((c << 8) & 4294967295, {_CRC}[xor(c >> 24, x) + 1]::bigint)) as crc from l",
     "page_root_match": "with p as (select page_id, regexp_extract(url, '^([a-z]+)://([^/?#]+)([^?#]*)', 1) as s, regexp_extract(url, '^([a-z]+)://([^/?#]+)([^?#]*)', 2) as host, regexp_extract(url, '^([a-z]+)://([^/?#]+)([^?#]*)', 3) as pth from pages) select page_id, host from p where s = 'https' and host = 'therin.example.net' and (pth = '/en' or starts_with(pth, '/en/')) or s = 'http' and host = 'blog.tionsh.example.net' and (pth = '/de' or starts_with(pth, '/de/'))",
     "pcm_clamp": _V + "select vec_id, len(list_filter(v, lambda x: abs(x * 8) >= 1.0)) as clipped, round(least(1.0, list_max(v) * 8), 6) as top from v",
     "mid_side": _V + "select vec_id, round(list_max(list_transform(range(1, 33), lambda i: v[i] + v[i + 32])), 6) as l, round(list_min(list_transform(range(1, 33), lambda i: v[i] - v[i + 32])), 6) as r from v",
     "l2_normalise": _V + ", n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v) select vec_id, round(list_max(v) / n, 6) as top, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) as energy from n",
     "intensity_stereo": _V + ", g as (select *, pow(2.0, -(vec_id % 13) / 4) * case when vec_id % 2 = 1 then -1.0 else 1.0 end as g from v) select vec_id, round(list_max(list_transform(v, lambda x: x * g)), 6) as r from g",
-    "inverse_quantize": _B + "select vec_id, round(list_max(list_transform(b, lambda x: sign(x) * pow(abs(x)::double, 4.0::double / 3) * pow(2.0, -1.0))), 4) as top from b",
+    "inverse_quantize": _B + "select vec_id, block, round(list_max(list_transform(b, lambda x: sign(x) * pow(abs(x)::double, 4.0::double / 3) * pow(2.0, -1.0))), 4) as top from b",
     "deemphasis": _V + "select vec_id, round(list_reduce(v, lambda y, x: x + y * (27853.0::double / 32768)), 6) as last from v",
-    "wrapped_deltas": _B + ", s as (select vec_id, list_sum(b)::bigint * 997 + 32768 as s from b) select vec_id, ((s % 65536 + 65536) % 65536 - 32768)::bigint as last from s",
-    "zigzag_blocks": _B + "select vec_id, " + _list(f"b[{i + 1}]" for i in (0, 1, 5, 6, 2, 4, 7, 12, 3, 8, 11, 13, 9, 10, 14, 15)) + " as b from b",
+    "wrapped_deltas": _B + ", s as (select vec_id, block, list_sum(b)::bigint * 997 + 32768 as s from b) select vec_id, block, ((s % 65536 + 65536) % 65536 - 32768)::bigint as last from s",
+    "zigzag_blocks": _B + "select vec_id, block, " + _list(f"b[{i + 1}]" for i in (0, 1, 5, 6, 2, 4, 7, 12, 3, 8, 11, 13, 9, 10, 14, 15)) + " as b from b",
     "residual_4x4": _transform4(_residual, True, lambda x: f"({x}+32)>>6"),
     "walsh_4x4": _transform4(_walsh, False, lambda x: f"({x}+3)>>3"),
     "dct_4x4": _transform4(_dct, False, lambda x: f"({x}+4)>>3"),
-    "chroma_dc": _B + "select vec_id, " + _list(["b[1]+b[2]+b[3]+b[4]", "b[1]-b[2]+b[3]-b[4]", "b[1]+b[2]-b[3]-b[4]", "b[1]-b[2]-b[3]+b[4]"]) + " as b from b",
-    "hadamard_blocks": _V + "select vec_id, 0.0::double as gain, round((v[1] + v[5] + v[9] + v[13]) / 2, 6) as first from v",
-    "residual_added": _B + "select vec_id, array_to_string(list_transform(b, lambda x: greatest(0, least(255, abs(x) % 256 + x))), ',') as b from b",
-    "subpel_row": _B + ", s as (select vec_id, list_transform(b, lambda x: abs(x) % 256) as s from b) select vec_id, array_to_string(list_transform(range(1, 17), lambda i: greatest(0, least(255, (64 " + "".join(f" + ({t}) * s[greatest(1, least(16, i + {k - 3}))]" for k, t in enumerate([-1, 6, -19, 78, 78, -19, 6, -1])) + ") >> 7))), ',') as b from s",
+    "chroma_dc": _B4 + "select vec_id, block, " + _list(["b[1]+b[2]+b[3]+b[4]", "b[1]-b[2]+b[3]-b[4]", "b[1]+b[2]-b[3]-b[4]", "b[1]-b[2]-b[3]+b[4]"]) + " as b from b",
+    "hadamard_blocks": f"with v as ({_PARTS.format(n=16)}) select vec_id, block, 0.0::double as gain, round((v[1] + v[5] + v[9] + v[13]) / 2, 6) as first from v",
+    "residual_added": _B + "select vec_id, block, array_to_string(list_transform(b, lambda x: greatest(0, least(255, abs(x) % 256 + x))), ',') as b from b",
+    "subpel_row": _B + ", s as (select vec_id, block, list_transform(b, lambda x: abs(x) % 256) as s from b) select vec_id, block, array_to_string(list_transform(range(1, 17), lambda i: greatest(0, least(255, (64 " + "".join(f" + ({t}) * s[greatest(1, least(16, i + {k - 3}))]" for k, t in enumerate([-1, 6, -19, 78, 78, -19, 6, -1])) + ") >> 7))), ',') as b from s",
 }

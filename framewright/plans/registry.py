@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("sequence_queries", "kernel_queries", "source_queries")
+MODULES = ("sequence_queries", "kernel_queries", "source_queries", "codec_queries")
 
 
 def all_queries() -> dict[str, Query]:

@@ -1,11 +1,10 @@
-"""Queries over whole tables that have no SQL, against brute force."""
+"""Queries over whole tables, against brute force."""
 
 import math
 from bisect import bisect_right
 from collections import Counter
 
 import pyarrow.parquet as pq
-import pytest
 
 from framewright.plans import registry
 from framewright.sources.containers import crc32_mpeg
@@ -27,13 +26,13 @@ def test_rle_expand_whole(spark):
         n[order] += int(quantity)
         sums[order] += sum(range(int(quantity)))
     assert max(n) >= 200
-    assert sorted(run(spark, "rle_expand_whole", "l_orderkey", "n", "sum_i")) == sorted((o, n[o], sums[o]) for o in n if n[o])
+    assert sorted(run(spark, "rle_expand", "l_orderkey", "n", "sum_i")) == sorted((o, n[o], sums[o]) for o in n if n[o])
 
 
 def test_not_appended_whole(spark):
     expected = sorted(r for r in rows_of("orders", "o_orderkey", "o_orderstatus") if r[0] % 50 == 3)
     assert max(expected)[0] >= 500
-    assert sorted(run(spark, "not_appended_whole", "o_orderkey", "o_orderstatus")) == expected
+    assert sorted(run(spark, "not_appended", "o_orderkey", "o_orderstatus")) == expected
 
 
 def test_chunk_asof_whole(spark):
@@ -45,7 +44,7 @@ def test_chunk_asof_whole(spark):
         of = runs.get(supplier % 10, [])
         at = bisect_right(of, (part, float("inf")))
         expected[supplier % 10, part, order, line, of[at - 1][1] if at else None] += 1
-    assert Counter(run(spark, "chunk_asof_whole", "bucket", "at", "l_orderkey", "l_linenumber", "p_size")) == expected
+    assert Counter(run(spark, "chunk_asof", "bucket", "at", "l_orderkey", "l_linenumber", "p_size")) == expected
 
 
 def test_reference_lists_whole(spark):
@@ -57,27 +56,18 @@ def test_reference_lists_whole(spark):
         past, future = sorted((e for e in events if e < 5000), reverse=True), sorted(e for e in events if e > 5000)
         expected.append((user, ",".join(map(str, past + future)), ",".join(map(str, future + past))))
     assert any(e % 10 for events in of.values() for e in events)
-    assert sorted(run(spark, "reference_lists_whole", "user_id", "list0", "list1")) == sorted(expected)
+    assert sorted(run(spark, "reference_lists", "user_id", "list0", "list1")) == sorted(expected)
 
 
 def test_checksums_of_whole_texts(spark):
     texts = {i: t.encode() for i, t in rows_of("documents", "doc_id", "text")}
     assert dict(run(spark, "crc_mpeg", "doc_id", "crc")) == {i: crc32_mpeg(t) for i, t in texts.items()}
-    assert dict(run(spark, "byte_sums_whole", "doc_id", "signed")) == {i: sum(t) % 2**32 ^ 0x50475342 for i, t in texts.items()}
+    assert dict(run(spark, "byte_sums", "doc_id", "signed")) == {i: sum(t) % 2**32 ^ 0x50475342 for i, t in texts.items()}
     words = {i: t + bytes(-len(t) % 4) for i, t in texts.items()}
-    assert dict(run(spark, "table_checksums_whole", "doc_id", "checksum")) == {i: sum(int.from_bytes(t[k : k + 4], "big") for k in range(0, len(t), 4)) % 2**32 for i, t in words.items()}
+    assert dict(run(spark, "table_checksums", "doc_id", "checksum")) == {i: sum(int.from_bytes(t[k : k + 4], "big") for k in range(0, len(t), 4)) % 2**32 for i, t in words.items()}
 
 
 def test_zigzag_of_all_blocks(spark):
     order = (0, 1, 5, 6, 2, 4, 7, 12, 3, 8, 11, 13, 9, 10, 14, 15)
     expected = [(i, k, ",".join(str(math.floor(v[16 * k + o] * 100)) for o in order)) for i, v in rows_of("embeddings", "vec_id", "embedding") for k in range(len(v) // 16)]
-    assert sorted(run(spark, "zigzag_blocks_whole", "vec_id", "block", "b")) == sorted(expected)
-
-
-@pytest.mark.parametrize("name", ["inverse_quantize", "wrapped_deltas", "residual_4x4", "walsh_4x4", "dct_4x4", "chroma_dc", "hadamard_blocks", "residual_added", "subpel_row"])
-def test_whole_has_every_block(spark, name):
-    """As many blocks as the vectors hold; the first ones equal those of the query that its SQL checks."""
-    size = 4 if name == "chroma_dc" else 16
-    whole, first = registry.all_queries()[f"{name}_whole"](spark, DATA), registry.all_queries()[name](spark, DATA)
-    assert sorted(map(tuple, whole.select("vec_id", "block").collect())) == sorted((i, k) for i, v in rows_of("embeddings", "vec_id", "embedding") for k in range(len(v) // size))
-    assert sorted(map(tuple, whole.where("block = 0").select(first.columns).collect())) == sorted(map(tuple, first.collect()))
+    assert sorted(run(spark, "zigzag_blocks", "vec_id", "block", "b")) == sorted(expected)
