@@ -276,6 +276,111 @@ def mp4_tables(data: bytes) -> dict[str, list[dict]]:
     return out
 
 
+# Flags of a fragment's track header and runs, with the field each stands for, in order.
+TRACK_FIELDS = ((0x1, "base", 8), (0x2, "description", 4), (0x8, "duration", 4), (0x10, "size", 4), (0x20, "flags", 4))
+RUN_FIELDS = ((0x1, "offset", 4), (0x4, "first_flags", 4))
+SAMPLE_FIELDS = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "composition"))
+BASE_IS_FRAGMENT, NOT_SYNC = 0x20000, 0x10000
+
+
+def _fields(data: bytes, at: int, end: int, flags: int, known) -> tuple[dict[str, int], int]:
+    out = {}
+    for bit, name, size in known:
+        if flags & bit:
+            if at + size > end:
+                raise Incomplete(name)
+            out[name] = int.from_bytes(data[at : at + size], "big", signed=name == "offset")
+            at += size
+    return out, at
+
+
+def _one(data: bytes, found: list[tuple[str, int, int]], kind: str, needed: bool = True) -> tuple[int, int] | None:
+    here = [(a, b) for k, a, b in found if k == kind]
+    if len(here) > 1 or needed and not here:
+        raise Invalid(f"{kind}: {len(here)} boxes")
+    return here[0] if here else None
+
+
+def fragment_defaults(data: bytes) -> dict[int, dict[str, int]]:
+    """Of each track of a fragmented movie what its fragments may leave open."""
+    movie = next(((a, b) for k, a, b in boxes(data) if k == "moov"), None)
+    extends = movie and next(((a, b) for k, a, b in boxes(data, *movie) if k == "mvex"), None)
+    if not extends:
+        raise Unsupported("no fragments")
+    out: dict[int, dict[str, int]] = {}
+    for kind, a, b in boxes(data, *extends):
+        if kind == "trex":
+            version, flags, at = _full(data, a, b)
+            if b - at < 20:
+                raise Incomplete("trex")
+            number, *values = struct.unpack(">5I", data[at : at + 20])
+            if version or flags:
+                raise Unsupported("trex")
+            if not number or number in out:
+                raise Invalid("track defaults")
+            out[number] = dict(zip(("description", "duration", "size", "flags"), values, strict=True))
+    return out
+
+
+def fragment_samples(data: bytes) -> list[dict]:
+    """Samples of all fragments of a file: what a run leaves open comes from its header, then from the track's defaults.
+
+    A run without an offset goes on where the one before ended. A fragment without a time goes on where the track's last
+    one ended. The flags for a run's first sample are for a run that has none of its own.
+    """
+    defaults, clock, out = fragment_defaults(data), {}, []
+    for number, (start, a, b) in enumerate((s, a, b) for s, k, a, b in _placed(data) if k == "moof"):
+        parts = list(boxes(data, a, b))
+        _one(data, parts, "mfhd")
+        data_end = start
+        for t, (x, y) in enumerate((x, y) for k, x, y in parts if k == "traf"):
+            inner = list(boxes(data, x, y))
+            if any(k in ("senc", "saiz", "saio") for k, _, _ in inner):
+                raise Unsupported("encrypted fragment")
+            _, flags, at = _full(data, *(header := _one(data, inner, "tfhd")))
+            if at + 4 > header[1]:
+                raise Incomplete("tfhd")
+            track = int.from_bytes(data[at : at + 4], "big")
+            if track not in defaults:
+                raise Invalid(f"track {track} without defaults")
+            own, _ = _fields(data, at + 4, header[1], flags, TRACK_FIELDS)
+            base = own.get("base", start if flags & BASE_IS_FRAGMENT or not t else data_end)
+            known = defaults[track] | own
+            if known["description"] != 1:
+                raise Unsupported("sample description")
+            if time := _one(data, inner, "tfdt", False):
+                version, _, at = _full(data, *time)
+                clock[track] = int.from_bytes(data[at : at + (8 if version else 4)], "big")
+            now, at_byte = clock.get(track, 0), base
+            for k, p, q in inner:
+                if k != "trun":
+                    continue
+                version, flags, at = _full(data, p, q)
+                if flags & 0x404 == 0x404:
+                    raise Invalid("flags for the first sample and for each")
+                count = int.from_bytes(data[at : at + 4], "big")
+                run, at = _fields(data, at + 4, q, flags, RUN_FIELDS)
+                at_byte = base + run["offset"] if "offset" in run else at_byte
+                names = [name for bit, name in SAMPLE_FIELDS if flags & bit]
+                form = ">" + "".join("i" if name == "composition" and version else "I" for name in names)
+                rows = _numbers(data, at, q, 4 * len(names), count, form) if names else [()] * count
+                for i, row in enumerate(rows):
+                    v = known | ({"flags": run["first_flags"]} if not i and "first_flags" in run else {}) | dict(zip(names, row, strict=True))
+                    out.append({"fragment": number, "track": track, "n": len(out), "offset": at_byte, "size": v["size"], "decode_time": now, "presentation_time": now + v.get("composition", 0), "keyframe": not v["flags"] & NOT_SYNC})
+                    at_byte += v["size"]
+                    now += v["duration"]
+            clock[track], data_end = now, at_byte
+    return out
+
+
+def _placed(data: bytes) -> Iterator[tuple[int, str, int, int]]:
+    """Top-level boxes with where they begin."""
+    start = 0
+    for kind, a, b in boxes(data):
+        yield start, kind, a, b
+        start = b
+
+
 def descriptor(data: bytes, at: int = 0) -> tuple[int, int, int]:
     """Tag, payload start and payload end of a descriptor with a length of up to four bytes."""
     if at >= len(data):
@@ -390,24 +495,53 @@ def crc32_mpeg(data: bytes) -> int:
     return crc
 
 
+def check_descriptors(data: bytes) -> None:
+    """Descriptors must fill their place; those of conditional access aren't read."""
+    at = 0
+    while at < len(data):
+        if at + 2 > len(data) or at + 2 + data[at + 1] > len(data):
+            raise Invalid("descriptor")
+        if data[at] == 9:
+            raise Unsupported("conditional access")
+        at += 2 + data[at + 1]
+
+
+#: Streams of a program at most.
+MAX_STREAMS = 16
+
+
 def program_streams(section: bytes) -> list[tuple[int, int]]:
     """(number, PID) of a program association section, or (stream type, PID) of a program map section."""
     if len(section) < 12 or crc32_mpeg(section):
         raise Invalid("section")
     end = 3 + (int.from_bytes(section[1:3], "big") & 0xFFF) - 4
     if section[0] == 0:
+        if (end - 8) % 4:
+            raise Invalid("section")
         rows = [struct.unpack(">HH", section[i : i + 4]) for i in range(8, end, 4)]
-        return [(n, pid & 0x1FFF) for n, pid in rows if n]
+        out = [(n, pid & 0x1FFF) for n, pid in rows]
+        if len({n for n, _ in out}) < len(out) or any(not 0x10 <= pid < 0x1FFF for _, pid in out):
+            raise Invalid("program")
+        return [(n, pid) for n, pid in out if n]  # number 0 is the network's
     if section[0] != 2:
         raise Invalid("table")
     out, at = [], 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+    if at > end:
+        raise Invalid("section")
+    check_descriptors(section[12:at])
     while at + 5 <= end:
         out.append((section[at], int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF))
-        at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0xFFF)
+        after = at + 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0xFFF)
+        if after > end:
+            raise Invalid("section")
+        check_descriptors(section[at + 5 : after])
+        at = after
     if at != end:
         raise Invalid("section")
-    if len({p for _, p in out}) < len(out):
-        raise Invalid("PID twice")
+    if len({p for _, p in out}) < len(out) or any(not 0x10 <= pid < 0x1FFF for _, pid in out):
+        raise Invalid("PID")
+    if len(out) > MAX_STREAMS:
+        raise Invalid("too many streams")
     return out
 
 

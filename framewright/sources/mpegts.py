@@ -1,10 +1,14 @@
 """Transport streams as relations: packets, tables, counters and elementary packets.
 
-Packets have a fixed size, so a file's bytes become rows without parsing; header fields are bit operations on columns.
+Packets have a fixed size, so a file's bytes are cut into rows once; header fields are bit operations on columns. A packet
+that breaks the format is reported by ``faults`` and ends whatever was being put together in its file: the next packet of
+every PID counts as one after a loss. Units that lost a packet or end short are rows with an error and without data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +17,29 @@ from pyspark.sql.window import Window as W
 from framewright.functions.integer import be_uint, shr
 from framewright.operators.sequence import assemble, islands
 from framewright.sources import containers
-from framewright.sources.bits import Invalid
+from framewright.sources.bits import Incomplete, Invalid
 from framewright.sources.readers import parse
 
 SIZE, NULL = 188, 0x1FFF
+#: Packets of a batch.
+ROWS = 1 << 14
 # Stream types that are read.
 CODECS = {0x1B: "h264", 0x0F: "aac"}
 
 
 def packets(files: DataFrame) -> DataFrame:
     """file_id, n, packet: 188 bytes each; a rest at the end is an incomplete packet and left out."""
-    n = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("content") / SIZE) - 1)).alias("n")
-    rows = files.where(F.length("content") >= SIZE).select("file_id", n, "content")
-    return rows.select("file_id", "n", F.substring(F.col("content"), (F.col("n") * SIZE + 1).cast("int"), F.lit(SIZE)).alias("packet"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                whole = len(content.as_buffer()) // SIZE if content.is_valid else 0
+                for first in range(0, whole, ROWS):  # the bytes aren't copied, only looked at
+                    n = min(ROWS, whole - first)
+                    bytes_ = pa.Array.from_buffers(pa.binary(SIZE), n, [None, content.as_buffer().slice(first * SIZE, n * SIZE)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), bytes_], names=["file_id", "n", "packet"])
+
+    return files.select(F.col("file_id").cast("string"), "content").mapInArrow(cut, "file_id string, n long, packet binary")
 
 
 def decode(rows: DataFrame) -> DataFrame:
@@ -50,13 +64,25 @@ def _comparable(c: Column) -> Column:
     return F.when(clock, F.concat(F.substring(c, 1, 6), F.substring(c, 13, SIZE))).otherwise(c)
 
 
+def faults(rows: DataFrame) -> DataFrame:
+    """file_id, n, error: packets that break the format."""
+    byte = lambda i: be_uint(F.col("packet"), i, 1)
+    what = F.when(byte(0) != 0x47, "sync byte").when(shr(byte(3), 6) != 0, "scrambled").otherwise("adaptation field")
+    return rows.where(~F.col("valid")).select("file_id", "n", what.alias("error"))
+
+
 def checked(rows: DataFrame) -> DataFrame:
-    """Payload packets without repetitions, with ``lost``: the counter doesn't follow, or the packet says so itself."""
+    """Payload packets without repetitions, with ``lost``: the counter doesn't follow, the packet says so itself, or a
+    broken packet of the file came in between."""
+    broken = (~F.col("valid")).cast("int")
+    rows = rows.withColumn("resets", F.sum(broken).over(W.partitionBy("file_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
     w = W.partitionBy("file_id", "pid").orderBy("n")
-    rows = rows.where(F.col("payload").isNotNull() & ~F.col("error"))
+    rows = rows.where(F.col("valid") & F.col("payload").isNotNull() & ~F.col("error"))
     rows = rows.withColumn("same", F.lag(_comparable(F.col("packet"))).over(w) == _comparable(F.col("packet"))).where(~F.coalesce("same", F.lit(False)))
     before = F.lag("counter").over(w)
-    return rows.withColumn("lost", F.coalesce((F.col("counter") != (before + 1) % 16) & ~F.col("discontinuity"), F.lit(False)) | F.col("discontinuity")).drop("same")
+    follows = F.col("discontinuity") | (F.col("counter") == (before + 1) % 16)
+    reset = F.col("resets") != F.coalesce(F.lag("resets").over(w), F.lit(0))
+    return rows.withColumn("lost", F.coalesce(~follows, F.lit(False)) | F.col("discontinuity") | reset).drop("same", "resets")
 
 
 def sections(rows: DataFrame) -> DataFrame:
@@ -101,36 +127,70 @@ def _streams(rows: DataFrame, table: int) -> DataFrame:
     return parse(rows.select("file_id", F.col("section").alias("content")), kernel, "number int, pid int").distinct()
 
 
+def tables(rows: DataFrame) -> DataFrame:
+    """file_id, pid, table, extension, version, sections, conflict: tables that are complete and in force.
+
+    Sections that repeat must repeat their bytes, and all must agree on how many there are; else ``conflict`` says why.
+    """
+    s = F.col("section")
+    byte = lambda i: be_uint(s, i, 1)
+    parts = sections(rows).where(F.length("section") >= 12).select("file_id", "pid", "first_n", byte(0).alias("table"), be_uint(s, 3, 2).alias("extension"), shr(byte(5), 1).bitwiseAND(F.lit(31)).alias("version"), byte(5).bitwiseAND(F.lit(1)).alias("current"), byte(6).alias("number"), byte(7).alias("last"), "section")
+    keys = ["file_id", "pid", "table", "extension", "version"]
+    each = parts.where("current = 1").groupBy(*keys, "number").agg(F.min("section").alias("section"), F.max("section").alias("other"), F.min("last").alias("last"), F.max("last").alias("other_last"), F.min("first_n").alias("first_n"))
+    whole = each.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("number", "section"))).alias("all"), F.max("other_last").alias("last"), F.min("first_n").alias("first_n"),
+        F.max(F.when(F.col("section") != F.col("other"), "conflicting sections").when(F.col("last") != F.col("other_last"), "number of sections")).alias("conflict"),
+    )
+    return whole.where(F.size("all") == F.col("last") + 1).select(*keys, "first_n", F.transform("all", lambda x: x["section"]).alias("sections"), "conflict")
+
+
+def _of_sections(found: DataFrame, table: int) -> DataFrame:
+    """file_id, number, pid of the entries of all tables of one kind."""
+    return _streams(found.where((F.col("table") == table) & F.col("conflict").isNull()).select("file_id", F.explode("sections").alias("section")), table)
+
+
+def programs(rows: DataFrame) -> DataFrame:
+    """file_id, pid, error: where each file's only program has its map; a file with several programs, or whose tables
+    conflict, is a row with an error."""
+    found = tables(rows.where("pid = 0"))
+    entries = _of_sections(found, 0).groupBy("file_id").agg(F.min("pid").alias("pid"), F.when(F.count(F.lit(1)) > 1, "several programs").alias("error"))
+    conflicts = found.where("conflict is not null").select("file_id", F.lit(None).cast("int").alias("pid"), F.col("conflict").alias("error"))
+    return entries.select("file_id", "pid", "error").unionByName(conflicts)
+
+
 def elementary_streams(rows: DataFrame) -> DataFrame:
-    """file_id, pid, codec: from the association table to the program's map; unknown types are left out."""
-    programs = _streams(sections(rows.where("pid = 0")), 0)
-    maps = rows.join(programs.select("file_id", "pid").distinct(), ["file_id", "pid"], "left_semi")
+    """file_id, pid, codec: from the association table to the only program's map; unknown types are left out."""
+    maps = rows.join(programs(rows).where("error is null").select("file_id", "pid"), ["file_id", "pid"], "left_semi")
     codec = F.lit(None).cast("string")
     for number, name in CODECS.items():
         codec = F.when(F.col("number") == number, name).otherwise(codec)
-    return _streams(sections(maps), 2).select("file_id", "pid", codec.alias("codec")).where("codec is not null")
+    return _of_sections(tables(maps), 2).select("file_id", "pid", codec.alias("codec")).where("codec is not null")
 
 
 def elementary_packets(rows: DataFrame, streams: DataFrame) -> DataFrame:
-    """file_id, pid, codec, unit, pts, dts, discontinuity, data. A unit begins at a packet that says so; one that loses a
-    packet is dropped and the next one is marked."""
-    rows = checked(rows).join(F.broadcast(streams), ["file_id", "pid"])  # some streams a file
+    """file_id, pid, codec, unit, pts, dts, discontinuity, data, error. A unit begins at a packet that says so; one that
+    loses a packet or ends short has an error and no data, and the next one is marked."""
+    rows = checked(rows).join(streams, ["file_id", "pid"])
     rows = islands(rows, ["file_id", "pid"], ["n"], F.col("starts"), "unit").where("unit > 0")
     flags = rows.groupBy("file_id", "pid", "codec", "unit").agg(F.max(F.col("lost") & ~F.col("starts")).alias("broken"), F.max(F.col("lost") & F.col("starts")).alias("gap"))
     w = W.partitionBy("file_id", "pid").orderBy("unit")
     flags = flags.withColumn("discontinuity", F.col("gap") | F.coalesce(F.lag("broken").over(w), F.lit(False)))
-    whole = assemble(rows, ["file_id", "pid", "unit"], "n", "payload").join(flags.where(~F.col("broken")), ["file_id", "pid", "unit"])
+    whole = assemble(rows, ["file_id", "pid", "unit"], "n", "payload").join(flags, ["file_id", "pid", "unit"])
 
-    @F.arrow_udf("struct<pts:long,dts:long,data:binary>")
-    def header(units: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<pts:long,dts:long,data:binary,error:string>")
+    def header(units: pa.Array, broken: pa.Array) -> pa.Array:
         out = []
-        for u in units.to_pylist():
+        for u, lost in zip(units.to_pylist(), broken.to_pylist(), strict=True):
             try:
+                if lost:
+                    raise Invalid("lost packet")
                 h = containers.pes_header(u)
                 end = 6 + h["length"] if h["length"] else len(u)
-                out.append({"pts": h["pts"], "dts": h["dts"], "data": u[h["payload"] : end]} if end <= len(u) else None)
-            except Invalid:
-                out.append(None)
-        return pa.array(out, pa.struct([("pts", pa.int64()), ("dts", pa.int64()), ("data", pa.binary())]))
-
-    return whole.withColumn("h", header("data")).where("h is not null").select("file_id", "pid", "codec", "unit", F.col("h.pts").alias("pts"), F.col("h.dts").alias("dts"), "discontinuity", F.col("h.data").alias("data"))
+                if end > len(u):
+                    raise Incomplete("unit ends short")
+                out.append({"pts": h["pts"], "dts": h["dts"], "data": u[h["payload"] : end], "error": None})
+            except Invalid as e:
+                out.append({"error": f"{type(e).__name__}: {e}"})
+        return pa.array(out, pa.struct([("pts", pa.int64()), ("dts", pa.int64()), ("data", pa.binary()), ("error", pa.string())]))
+
+    return whole.withColumn("h", header("data", "broken")).select("file_id", "pid", "codec", "unit", *(F.col(f"h.{c}").alias(c) for c in ("pts", "dts")), "discontinuity", F.col("h.data").alias("data"), F.col("h.error").alias("error"))

@@ -93,6 +93,11 @@ def mp4_samples(files: DataFrame) -> DataFrame:
     return C.samples(*(mp4_table(files, n) for n in ("stsz", "stsc", "stco", "stts", "ctts", "stss")))
 
 
+def mp4_fragments(files: DataFrame, errors: str = "row") -> DataFrame:
+    """Every sample of every fragment of fragmented MP4 files, in file order."""
+    return parse(files, containers.fragment_samples, "fragment bigint, track bigint, n bigint, offset bigint, size bigint, decode_time bigint, presentation_time bigint, keyframe boolean", errors)
+
+
 def mp4_boxes(files: DataFrame, errors: str = "skip") -> DataFrame:
     return parse(files, lambda b: [{"n": i, "path": p, "first": a, "last": z} for i, (p, a, z) in enumerate(containers.box_tree(b))], "n bigint, path string, first bigint, last bigint", errors)
 

@@ -64,6 +64,37 @@ def mp4_file() -> bytes:
     return box("ftyp", b"isom") + box("moov", box("trak", box("mdia", mdia))) + box("mdat", b"x" * 12)
 
 
+def fragmented(tracks=(3,), run_flags=0x201, run=b"", header=b"", header_flags=0, time=None):
+    trex = b"".join(full("trex", struct.pack(">5I", t, 1, 20, 9, 0x10000)) for t in tracks)
+    head = box("tfhd", struct.pack(">I", header_flags) + struct.pack(">I", 3) + header)
+    times = b"" if time is None else full("tfdt", struct.pack(">Q", time), 1)
+    trun = box("trun", struct.pack(">I", run_flags) + run)
+    moof = box("moof", full("mfhd", struct.pack(">I", 1)) + box("traf", head + times + trun))
+    return box("moov", box("mvex", trex)) + moof, len(box("moov", box("mvex", trex)))
+
+
+def test_mp4_fragments(spark):
+    data, start = fragmented(run=struct.pack(">IiII", 2, 100, 5, 6), time=1 << 33)
+    rows = containers.fragment_samples(data)
+    assert [(r["offset"], r["size"], r["decode_time"], r["keyframe"]) for r in rows] == [(start + 100, 5, 1 << 33, False), (start + 105, 6, (1 << 33) + 20, False)]
+    data, start = fragmented(run_flags=0x5, run=struct.pack(">IiI", 3, 8, 0))
+    rows = containers.fragment_samples(data + data[start:])  # the second fragment has no time either
+    assert [r["keyframe"] for r in rows] == [True, False, False] * 2 and [r["size"] for r in rows] == [9] * 6
+    assert [r["decode_time"] for r in rows] == list(range(0, 120, 20)) and rows[3]["offset"] == len(data) + 8
+    data, _ = fragmented(run_flags=0x800, run=struct.pack(">II", 1, 3), header_flags=0x1, header=struct.pack(">Q", 7000))
+    assert containers.fragment_samples(data) == [{"fragment": 0, "track": 3, "n": 0, "offset": 7000, "size": 9, "decode_time": 0, "presentation_time": 3, "keyframe": False}]
+    broken = [fragmented(tracks=(4,), run=struct.pack(">Ii", 0, 0))[0], fragmented(tracks=(3, 3), run=struct.pack(">Ii", 0, 0))[0], fragmented(run_flags=0x405, run=struct.pack(">IiII", 1, 0, 0, 0))[0], fragmented(run=struct.pack(">Ii", 9, 0))[0]]
+    for data in broken:
+        with pytest.raises(bits.Invalid):
+            containers.fragment_samples(data)
+    rows = readers.mp4_fragments(files(spark, broken[0])).collect()
+    assert len(rows) == 1 and "without defaults" in rows[0]["error"]
+    whole, start = fragmented(run=struct.pack(">IiII", 2, 100, 5, 6), time=5)
+    for cut in range(start + 1, len(whole)):
+        with pytest.raises(bits.Invalid):
+            containers.fragment_samples(whole[:cut])
+
+
 def test_mp4_samples(spark):
     rows = readers.mp4_samples(files(spark, mp4_file())).orderBy("n").collect()
     assert [(r["offset"], r["size"], r["decode_time"], r["presentation_time"], r["keyframe"]) for r in rows] == [(4000, 6, 0, 150, False), (4006, 6, 100, 100, True)]
@@ -167,6 +198,37 @@ def test_transport_loss(spark):
     assert [r["discontinuity"] for r in got][-2:] == [True, False]
 
 
+def test_transport_faults(spark):
+    good = transport()
+    for name, change in (("sync byte", {0: 0x46}), ("scrambled", {3: 0xC0}), ("adaptation field", {3: 0x30, 4: 200})):
+        data = bytearray(good)
+        for i, b in change.items():
+            data[3 * 188 + i] = b  # the second packet of the first unit
+        rows = mpegts.decode(mpegts.packets(files(spark, data)))
+        assert [(r["n"], r["error"]) for r in mpegts.faults(rows).collect()] == [(3, name)]
+        got = mpegts.elementary_packets(rows, mpegts.elementary_streams(rows)).orderBy("unit").collect()
+        assert [r["error"] is None for r in got] == [False, True, True] and got[1]["discontinuity"]
+
+
+def test_transport_tables(spark):
+    def streams(*parts):
+        data = b"".join(packet(pid, i % 16, b"\0" + s, True) for i, (pid, s) in enumerate(parts))
+        rows = mpegts.decode(mpegts.packets(files(spark, data)))
+        return [(r["pid"], r["error"]) for r in mpegts.programs(rows).collect()], mpegts.elementary_streams(rows).count()
+
+    one, two = section(0, struct.pack(">HH", 1, 0xE100)), section(0, struct.pack(">HHHH", 1, 0xE100, 2, 0xE110))
+    pmt = section(2, struct.pack(">HH", 0xE101, 0xF000) + struct.pack(">BHH", 0x1B, 0xE101, 0xF000))
+    assert streams((0, one), (0x100, pmt)) == ([(0x100, None)], 1)
+    assert streams((0, two), (0x100, pmt)) == ([(0x100, "several programs")], 0)
+    other = section(0, struct.pack(">HH", 1, 0xE120))
+    assert streams((0, one), (0, one), (0, other), (0x100, pmt)) == ([(None, "conflicting sections")], 0)
+    for body in (struct.pack(">BHH", 0x1B, 0xE101, 0xF002) + b"\x05\x09", struct.pack(">BHH", 0x1B, 0xE101, 0xF000) * 2, struct.pack(">BHH", 0x1B, 0xE001, 0xF000)):
+        with pytest.raises(bits.Invalid):
+            containers.program_streams(section(2, struct.pack(">HH", 0xE101, 0xF000) + body))
+    with pytest.raises(bits.Unsupported):
+        containers.program_streams(section(2, struct.pack(">HH", 0xE101, 0xF004) + b"\x09\x02ab"))
+
+
 def test_crc(spark):
     assert containers.crc32_mpeg(b"123456789") == 0x0376E6E7
     df = spark.createDataFrame([(bytearray(b"123456789"),)], "b binary")
