@@ -90,14 +90,13 @@ def woff2_directory(data: bytes) -> list[dict]:
     """Tables of a WOFF 2 file; their data are Brotli and aren't unpacked."""
     if len(data) < 48 or data[:4] != b"wOF2":
         raise Invalid("header")
-    names = _woff2_names()
     at, out = 48, []
     for _ in range(int.from_bytes(data[12:14], "big")):
         flags, at = data[at], at + 1
         if flags & 63 == 63:
             tag, at = data[at : at + 4].decode("latin-1"), at + 4
         else:
-            tag = names[flags & 63]
+            tag = WOFF2_TAGS[flags & 63]
         size, n = base128(data, at)
         at += n
         version = flags >> 6
@@ -110,10 +109,42 @@ def woff2_directory(data: bytes) -> list[dict]:
     return out
 
 
-def _woff2_names() -> list[str]:
-    # Tags by number; _ stands for a space.
-    text = "cmap head hhea hmtx maxp name OS/2 post cvt_ fpgm glyf loca prep CFF_ VORG EBDT EBLC gasp hdmx kern LTSH PCLT VDMX vhea vmtx BASE GDEF GPOS GSUB EBSC JSTF MATH CBDT CBLC COLR CPAL SVG_ sbix acnt avar bdat bloc bsln cvar fdsc feat fmtx fvar gvar hsty just lcar mort morx opbd prop trak Zapf Silf Glat Gloc Feat Sill"
-    return [t.replace("_", " ") for t in text.split()]
+# Tags by number.
+WOFF2_TAGS = (
+    "cmap", "head", "hhea", "hmtx", "maxp", "name", "OS/2", "post", "cvt ", "fpgm", "glyf", "loca", "prep", "CFF ", "VORG", "EBDT", "EBLC", "gasp", "hdmx", "kern", "LTSH", "PCLT", "VDMX", "vhea", "vmtx", "BASE", "GDEF", "GPOS", "GSUB", "EBSC", "JSTF", "MATH",
+    "CBDT", "CBLC", "COLR", "CPAL", "SVG ", "sbix", "acnt", "avar", "bdat", "bloc", "bsln", "cvar", "fdsc", "feat", "fmtx", "fvar", "gvar", "hsty", "just", "lcar", "mort", "morx", "opbd", "prop", "trak", "Zapf", "Silf", "Glat", "Gloc", "Feat", "Sill",
+)
+
+
+def woff2_trailer(data: bytes) -> dict[str, tuple[int, int] | None]:
+    """Places of a WOFF 2 file's metadata and private block, which must follow its data in this order, each at a multiple of
+    four, with nothing but zeros between and nothing behind."""
+    if len(data) < 48 or data[:4] != b"wOF2":
+        raise Invalid("header")
+    if int.from_bytes(data[8:12], "big") != len(data):
+        raise Invalid("length")
+    at = len(data)
+    blocks = {"metadata": struct.unpack(">II", data[28:36]), "private": struct.unpack(">II", data[40:48])}
+    out: dict[str, tuple[int, int] | None] = {}
+    begin = None
+    for name, (offset, size) in blocks.items():
+        if bool(offset) != bool(size):
+            raise Invalid(name)
+        out[name] = (offset, offset + size) if size else None
+        if size:
+            if offset % 4 or offset + size > at or begin is not None and (offset < begin or offset - begin > 3 or any(data[begin:offset])):
+                raise Invalid(name)
+            begin = offset + size
+    if begin is not None and (len(data) - begin > 3 or any(data[begin:])):
+        raise Invalid("data behind the last block")
+    return out
+
+
+def facts(data: bytes) -> dict:
+    """Embedding rights and width of glyph offsets, from the tables that say so."""
+    found = {tag: data[o : o + n] for tag, _, o, n in sfnt_directory(data)}
+    rights, head = found.get("OS/2", b""), found.get("head", b"")
+    return {"fs_type": int.from_bytes(rights[8:10], "big") if len(rights) >= 10 else None, "wide_offsets": bool(int.from_bytes(head[50:52], "big")) if len(head) >= 52 else None}
 
 
 def eot_header(data: bytes) -> dict:

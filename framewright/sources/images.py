@@ -1,4 +1,4 @@
-"""Sniffing and headers of raster images; pixels of plain PNG."""
+"""Sniffing and headers of raster images; pixels of plain PNG, BMP and GIF."""
 
 from __future__ import annotations
 
@@ -235,3 +235,140 @@ def png_rgba(data: bytes) -> tuple[int, int, bytes]:
     out[..., :3] = rgb.astype(np.uint16) * alpha[..., None] // 255
     out[..., 3] = alpha
     return w, h, out.tobytes()
+
+
+def _premultiplied(rgba: np.ndarray) -> bytes:
+    out = rgba.astype(np.uint16)
+    out[..., :3] = out[..., :3] * out[..., 3:] // 255
+    return out.astype(np.uint8).tobytes()
+
+
+def bmp_rgba(data: bytes) -> tuple[int, int, bytes]:
+    """Premultiplied pixels of a BMP of 1, 4, 8, 24 or 32 bits that isn't compressed."""
+    if len(data) < 54:
+        raise Incomplete("header")
+    start, size, w, h, _, bits, packing = struct.unpack("<IIiiHHI", data[10:34])
+    up, h = h > 0, abs(h)
+    if w <= 0 or not h or w * h > 1 << 26:
+        raise Invalid("size")
+    if packing or bits not in (1, 4, 8, 24, 32):
+        raise Unsupported("compression or depth")
+    each = (w * bits + 31) // 32 * 4
+    if start + each * h > len(data):
+        raise Incomplete("pixels")
+    rows = np.frombuffer(data, np.uint8, each * h, start).reshape(h, each)
+    rows = rows[::-1] if up else rows
+    out = np.full((h, w, 4), 255, np.uint8)
+    if bits >= 24:
+        out[..., :3] = rows[:, : w * bits // 8].reshape(h, w, bits // 8)[..., 2::-1]
+    else:
+        count = int.from_bytes(data[46:50], "little") or 1 << bits
+        if 14 + size + 4 * count > len(data):
+            raise Incomplete("palette")
+        palette = np.frombuffer(data, np.uint8, 4 * count, 14 + size).reshape(-1, 4)
+        index = np.unpackbits(rows, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1])
+        if index[:, :w].max() >= count:
+            raise Invalid("colour")
+        out[..., :3] = palette[index[:, :w], 2::-1]
+    return w, h, _premultiplied(out)
+
+
+def _unpacked(data: bytes, width: int, limit: int) -> bytes:
+    """Variable-width codes of a growing dictionary, least significant bit first, for ``limit`` bytes at most."""
+    clear, stop = 1 << width, (1 << width) + 1
+    words = [bytes([i]) for i in range(clear)] + [b"", b""]
+    out, size, held, bits, before, at = [], width + 1, 0, 0, None, 0
+    made = 0
+    while made < limit:
+        while bits < size:
+            if at == len(data):
+                raise Incomplete("codes")
+            held |= data[at] << bits
+            bits, at = bits + 8, at + 1
+        code, held, bits = held & ((1 << size) - 1), held >> size, bits - size
+        if code == stop:
+            break
+        if code == clear:
+            del words[clear + 2 :]
+            size, before = width + 1, None
+            continue
+        if code < len(words):
+            word = words[code]
+        elif code == len(words) and before is not None:
+            word = before + before[:1]
+        else:
+            raise Invalid("code")
+        out.append(word)
+        made += len(word)
+        if before is not None and len(words) < 4096:
+            words.append(before + word[:1])
+            if len(words) == 1 << size and size < 12:
+                size += 1
+        before = word
+    return b"".join(out)[:limit]
+
+
+def gif_rgba(data: bytes) -> tuple[int, int, bytes]:
+    """Premultiplied pixels of a GIF's first picture on its canvas; what it doesn't cover is transparent."""
+    if len(data) < 13:
+        raise Incomplete("header")
+    w, h, flags = struct.unpack("<HHB", data[6:11])
+    if not w or not h or w * h > 1 << 26:
+        raise Invalid("size")
+
+    def colours(flags: int, at: int) -> tuple[np.ndarray | None, int]:
+        if not flags & 0x80:
+            return None, at
+        n = 2 << (flags & 7)
+        if at + 3 * n > len(data):
+            raise Incomplete("colours")
+        return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
+
+    def blocks(at: int) -> tuple[bytes, int]:
+        parts = []
+        while True:
+            if at >= len(data) or at + 1 + data[at] > len(data):
+                raise Incomplete("block")
+            size = data[at]
+            if not size:
+                return b"".join(parts), at + 1
+            parts.append(data[at + 1 : at + 1 + size])
+            at += 1 + size
+
+    palette, at = colours(flags, 13)
+    clear = None
+    while at < len(data):
+        if data[at] == 0x21:
+            body, after = blocks(at + 2)
+            if data[at + 1 : at + 2] == b"\xf9" and len(body) >= 4 and body[0] & 1:
+                clear = body[3]
+            at = after
+            continue
+        if data[at] != 0x2C:
+            raise Invalid("block")
+        if at + 11 > len(data):
+            raise Incomplete("picture")
+        x, y, pw, ph, local = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        own, at = colours(local, at + 10)
+        table = own if own is not None else palette
+        if table is None or not pw or not ph or x + pw > w or y + ph > h or not 2 <= data[at] <= 8:
+            raise Invalid("picture")
+        packed, _ = blocks(at + 1)
+        index = np.frombuffer(_unpacked(packed, data[at], pw * ph), np.uint8)
+        if len(index) < pw * ph:
+            raise Incomplete("picture")
+        index = index.reshape(ph, pw)
+        if local & 0x40:  # every eighth row, then those between, and so on
+            order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, ph, step)]
+            index = index[np.argsort(order)]
+        if index.max() >= len(table):
+            raise Invalid("colour")
+        out = np.zeros((h, w, 4), np.uint8)
+        out[y : y + ph, x : x + pw, :3] = table[index]
+        out[y : y + ph, x : x + pw, 3] = 255 if clear is None else np.where(index == clear, 0, 255)
+        return w, h, _premultiplied(out)
+    raise Incomplete("no picture")
+
+
+#: Formats whose pixels are reconstructed.
+PIXELS = {"png": png_rgba, "bmp": bmp_rgba, "gif": gif_rgba}

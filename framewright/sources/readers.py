@@ -179,12 +179,13 @@ def image_info(files: DataFrame, errors: str = "row") -> DataFrame:
 
 
 def image_pixels(files: DataFrame, errors: str = "row") -> DataFrame:
-    """width, height and premultiplied rgba; only plain PNG is reconstructed, other formats are Unsupported."""
+    """width, height and premultiplied rgba; plain PNG, BMP and GIF are reconstructed, other formats are Unsupported."""
 
     def kernel(data: bytes) -> list[dict]:
-        if images.sniff(data) != "png":
-            raise Unsupported(images.sniff(data) or "unknown image")
-        w, h, rgba = images.png_rgba(data)
+        kind = images.sniff(data)
+        if kind not in images.PIXELS:
+            raise Unsupported(kind or "unknown image")
+        w, h, rgba = images.PIXELS[kind](data)
         return [{"width": w, "height": h, "rgba": rgba}]
 
     return parse(files, kernel, "width bigint, height bigint, rgba binary", errors)
@@ -212,6 +213,11 @@ def font_tables(files: DataFrame, errors: str = "row") -> DataFrame:
     return parse(files, kernel, "n int, tag string, offset bigint, length bigint", errors)
 
 
+def font_facts(files: DataFrame, errors: str = "row") -> DataFrame:
+    """fs_type (embedding rights) and wide_offsets (of glyphs) of sfnt and WOFF 1 fonts; null where a font lacks the table."""
+    return parse(files, lambda b: [fonts.facts(fonts.woff1(b) if b[:4] == b"wOFF" else b)], "fs_type int, wide_offsets boolean", errors)
+
+
 #: Units that ``units`` splits payloads into: name -> (kernel, schema).
 UNITS: dict[str, tuple[Callable[[bytes], list[dict]], str]] = {
     "av1": (lambda b: bitstreams.av1_obus(b), "kind int, temporal_id int, spatial_id int, payload binary"),

@@ -357,3 +357,88 @@ def test_fonts(spark):
     assert fonts.permitted_embedding(0) and fonts.permitted_embedding(8) and not fonts.permitted_embedding(2) and not fonts.permitted_embedding(0x200)
     assert fonts.root_permits(["http://a.test/x"], "http://a.test/x/y") and not fonts.root_permits(["http://a.test/x"], "http://a.test/xy")
     assert fonts.cvt_values(b"\0\3" + bytes([5, 238, 0xFF, 0x00, 250, 1])) == [5, -251, 464]
+
+
+def bmp(w: int, h: int, bits_: int, rows: list[bytes], palette: bytes = b"", down: bool = False) -> bytes:
+    body = b"".join(r + b"\0" * (-len(r) % 4) for r in (rows if down else rows[::-1]))
+    start = 54 + len(palette)
+    return b"BM" + struct.pack("<IHHI", start + len(body), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, w, -h if down else h, 1, bits_, 0, len(body), 0, 0, len(palette) // 4, 0) + palette + body
+
+
+def gif(w: int, h: int, pixels: bytes, palette: bytes, place=None, interlaced: bool = False, clear: int | None = None) -> bytes:
+    """Codes of one width only: the dictionary is cleared before it grows."""
+    size = max(2, (len(palette) // 3 - 1).bit_length())
+    x, y, pw, ph = place or (0, 0, w, h)
+    held = bits_ = 0
+    packed = bytearray()
+    for i, p in enumerate(pixels):
+        for code in ([1 << size] if i % (1 << size >> 1) == 0 else []) + [p] + ([(1 << size) + 1] if i + 1 == len(pixels) else []):
+            held |= code << bits_
+            bits_ += size + 1
+            while bits_ >= 8:
+                packed.append(held & 255)
+                held, bits_ = held >> 8, bits_ - 8
+    packed.append(held)
+    blocks = b"".join(bytes([len(packed[i : i + 255])]) + packed[i : i + 255] for i in range(0, len(packed), 255)) + b"\0"
+    extension = b"" if clear is None else b"\x21\xf9\x04\x01\0\0" + bytes([clear]) + b"\0"
+    table = palette + bytes(3 * (1 << size) - len(palette))
+    return b"GIF89a" + struct.pack("<HHBBB", w, h, 0x80 | (size - 1), 0, 0) + table + extension + b"\x2c" + struct.pack("<HHHHB", x, y, pw, ph, 0x40 if interlaced else 0) + bytes([size]) + blocks + b"\x3b"
+
+
+def test_bmp_pixels(spark):
+    w, h, rgba = images.bmp_rgba(bmp(3, 2, 24, [bytes(range(9)), bytes(range(20, 29))]))
+    assert (w, h) == (3, 2) and rgba[:8] == bytes([2, 1, 0, 255, 5, 4, 3, 255]) and rgba[12:16] == bytes([22, 21, 20, 255])
+    assert images.bmp_rgba(bmp(3, 2, 24, [bytes(range(9)), bytes(range(20, 29))], down=True))[2] == rgba
+    palette = bytes([1, 2, 3, 0, 9, 8, 7, 0])
+    assert images.bmp_rgba(bmp(10, 1, 1, [b"\x80\x40"], palette))[2] == bytes([7, 8, 9, 255]) + bytes([3, 2, 1, 255]) * 8 + bytes([7, 8, 9, 255])
+    assert images.bmp_rgba(bmp(3, 1, 4, [b"\x10\x10"], palette))[2][:8] == bytes([7, 8, 9, 255, 3, 2, 1, 255])
+    whole = bmp(2, 2, 32, [bytes(8), bytes(8)])
+    for cut in range(2, len(whole)):
+        with pytest.raises(bits.Invalid):
+            images.bmp_rgba(whole[:cut])
+    with pytest.raises(bits.Invalid):
+        images.bmp_rgba(bmp(4, 1, 8, [b"\0\1\2\0"], palette))
+
+
+def test_gif_pixels(spark):
+    rng = np.random.default_rng(0)
+    palette = bytes(rng.integers(0, 256, 48, np.uint8))
+    pixels = rng.integers(0, 16, (9, 7), np.uint8)
+    colours = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+    w, h, rgba = images.gif_rgba(gif(7, 9, pixels.tobytes(), palette))
+    got = np.frombuffer(rgba, np.uint8).reshape(9, 7, 4)
+    assert (w, h) == (7, 9) and (got[..., :3] == colours[pixels]).all() and (got[..., 3] == 255).all()
+    order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, 9, step)]
+    assert images.gif_rgba(gif(7, 9, pixels[order].tobytes(), palette, interlaced=True))[2] == rgba
+    part = np.frombuffer(images.gif_rgba(gif(10, 12, pixels.tobytes(), palette, place=(2, 3, 7, 9), clear=5))[2], np.uint8).reshape(12, 10, 4)
+    assert (part[3:, 2:9, 3] == np.where(pixels == 5, 0, 255)).all() and not part[:3].any()
+    # a code that stands for what is just being added, by hand: clear, 1, 6 (1 1), 7 (1 1 1), end
+    codes = sum(c << (3 * i) for i, c in enumerate((4, 1, 6))) | 7 << 9 | 5 << 12
+    assert images._unpacked(codes.to_bytes(4, "little"), 2, 6) == b"\1" * 6
+    whole = gif(7, 9, pixels.tobytes(), palette)
+    for cut in range(6, len(whole) - 3, 5):
+        with pytest.raises(bits.Invalid):
+            images.gif_rgba(whole[:cut])
+    rows = readers.image_pixels(files(spark, whole, bmp(1, 1, 24, [b"abc"]), b"\xff\xd8\xff")).orderBy("file_id").collect()
+    assert [(r["width"], r["height"]) for r in rows] == [(7, 9), (1, 1), (None, None)] and rows[2]["error"].startswith("Unsupported")
+
+
+def test_font_facts(spark):
+    os2, head = bytes(8) + b"\0\x08" + bytes(70), bytes(50) + b"\0\1" + bytes(2)
+    font = fonts.build_sfnt(0x10000, [("OS/2", os2), ("head", head)])
+    row = readers.font_facts(files(spark, font)).head()
+    assert (row["fs_type"], row["wide_offsets"], row["error"]) == (8, True, None)
+    bare = readers.font_facts(files(spark, fonts.build_sfnt(0x10000, [("name", b"abcd")]))).head()
+    assert (bare["fs_type"], bare["wide_offsets"]) == (None, None)
+
+
+def test_woff2_trailer():
+    def file(metadata=(0, 0), private=(0, 0), body=b""):
+        head = b"wOF2" + bytes(4) + struct.pack(">I", 48 + len(body)) + bytes(16) + struct.pack(">II", *metadata) + bytes(4) + struct.pack(">II", *private)
+        return head + body
+
+    assert fonts.woff2_trailer(file()) == {"metadata": None, "private": None}
+    assert fonts.woff2_trailer(file((48, 5), (56, 3), b"abcde\0\0\0xyz")) == {"metadata": (48, 53), "private": (56, 59)}
+    for bad in (file((49, 3), body=b"abcd"), file((48, 5), (56, 3), b"abcde\0!\0xyz"), file((48, 5), (60, 1), b"abcde" + bytes(8)), file((48, 9), body=b"abcd"), file((48, 0), body=b"abcd"), file((48, 4), body=b"abcdXYZ!")):
+        with pytest.raises(bits.Invalid):
+            fonts.woff2_trailer(bad)
