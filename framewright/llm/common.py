@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; very long texts make smaller batches.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Tasks a core that write what is cut from its lineage.
+FILES_PER_CORE = 4
 #: Bits of an id filter at most; beyond some millions of ids it lets more rows through, and never fewer than it must.
 FILTER_BITS = 1 << 26
 
@@ -24,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at a time, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Bounds what a Python worker holds at a time, whatever the length of the texts; a session's own smaller bounds stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(key)
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(key, most)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,10 +47,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns what was written."""
+    """Writes ``df`` to the shared folder and returns what was written.
+
+    Its partitions are written one after the other by FILES_PER_CORE tasks a core at most, so that the number of files follows
+    the cluster and not the number of shuffle partitions.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).checkpoint()
 
 
 def fresh_columns(df: DataFrame, *names: str) -> None:

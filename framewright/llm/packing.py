@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from framewright.llm.common import bounded_batches, cut, fresh_columns, shuffle_partitions, table
+from framewright.llm.common import bounded_batches, cut, fresh_columns, release_memory, shuffle_partitions, table
 
 CAPACITY, END_ID = 1024, 2
 #: Parts that the pieces, and the gaps, of one size are dealt into at most, and pieces that a gap takes in one sweep at most.
@@ -62,9 +62,8 @@ class Encoder:
 
     def __init__(self, file: bytes):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_str(file.decode())
+        self.file, self._slow = file, None
         told = json.loads(file)
         model, split = told["model"], told.get("pre_tokenizer") or {}
         added = [t["content"] for t in told.get("added_tokens", [])]
@@ -77,6 +76,16 @@ class Encoder:
         if plain and all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)):
             ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if t not in added}
             self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        del told, model, vocabulary, merges
+        release_memory()
+
+    def slow(self):
+        """The other library's tokenizer, made when a text first needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_str(self.file.decode())
+        return self._slow
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and not (self.added and self.added.search(text)):
@@ -85,7 +94,7 @@ class Encoder:
             except BaseException as e:  # its regular expressions give up on some very long runs
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
-        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.asarray(self.slow().encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -119,6 +119,84 @@ def test_cascade_order_changes_no_verdict(documents, texts):
         assert any(quality.RULES[r](quality.Text(text)) for r in order) == any(f(quality.Text(text)) for f in quality.RULES.values())
 
 
+# Names that clash, and the stages of the pipeline
+
+
+def test_clashing_columns_raise(spark, documents):
+    from framewright.llm import html, sentencepiece_bpe, url
+
+    pages = spark.createDataFrame([(1, "http://a.org/b", "<p>x", "h", "t", "i")], "page_id long, url string, html string, Host string, text string, ids string")
+    with pytest.raises(ValueError, match="language"):
+        langid.identify(documents, None)
+    with pytest.raises(ValueError, match="quality"):
+        quality.quality(documents)
+    with pytest.raises(ValueError, match="host"):
+        url.filter_urls(pages)
+    with pytest.raises(ValueError, match="text"):
+        html.extract(pages)
+    with pytest.raises(ValueError, match="ids"):
+        sentencepiece_bpe.encode(pages, text="html")
+    with pytest.raises(ValueError, match="offset"):
+        packing.pack(spark.createDataFrame([(1, 2, 3)], "doc_id long, length long, offset long"))
+    assert langid.identify(documents, None, to="other").columns == [*documents.columns, "other"]
+    assert quality.quality(documents, to="other").columns == [*documents.columns, "other"]
+
+
+def test_stages_on_odd_documents(spark, documents, no_documents):
+    """Every stage keeps the columns, whatever their names, and takes nulls, empty texts, repeats and no rows at all."""
+    import corpus_pipeline
+
+    for docs in (documents, no_documents):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in docs.collect()}, name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_run(spark, documents, texts, tmp_path):
+    """run() against its stages one after the other, each checked by brute force where it can be."""
+    import corpus_pipeline
+
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    langs = {r["doc_id"] for r in langid.keep_identified(documents).collect()}
+    good = {i for i, (t, _) in enumerate(texts) if i in langs and not any(f(quality.Text(t)) for f in quality.RULES.values())}
+    components = brute_components([t if i in good else None for i, (t, _) in enumerate(texts)])
+    first = [i for i in sorted(good) if components[i][1] == i]
+    left = brute_suffix([texts[i][0] for i in first])
+    lengths = {}
+    for r in got:
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    twice = {3: 2 if 3 in first else 0}  # its row is there twice
+    assert lengths == {i: (len(tokenizer.encode(x[4].decode("utf-8", "ignore"), add_special_tokens=False).ids) + 1) * twice.get(i, 1) for i, x in zip(first, left, strict=True)}
+
+
+def test_language_by_brute_force(documents, texts):
+    """The prediction is the language of the centroid with the highest cosine, counted trigram by trigram."""
+    model = langid.fit(documents.where(~langid.held_out(F.col("doc_id"))))
+    rows = by_id(langid.identify(documents, model, to="found"))
+    mask = (1 << 32) - 1
+    for i, (text, _) in enumerate(texts):
+        if not any(c.isalpha() for c in text or ""):
+            continue
+        chars = [c if c.isalpha() else " " for c in f" {text} ".lower()]
+        counts = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(chars, chars[1:], chars[2:]):
+            if not a == b == " ":
+                h = (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) & mask
+                counts[((((h ^ (h >> 15)) * 0x27D4EB2F) & mask) >> 20) % langid.DIMENSIONS] += 1
+        v = np.sqrt(counts) * model["idf"]
+        cosines = model["centroids"].astype(np.float64) @ v / np.linalg.norm(v)
+        got = rows[i]["found"]
+        assert got["lang_pred"] == model["langs"][int(np.argmax(cosines))] and abs(got["score"] - cosines.max()) < 1e-4
+
+
 # Near copies
 
 
@@ -272,6 +350,70 @@ def test_sorter_with_queues_on_disk():
             assert common[i + 1] == min(shared, cap)
 
 
+def test_suffix_of_null_ids_and_long_texts(spark, monkeypatch):
+    """A null id takes nothing and gives nothing; a text of several steps is one text."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    long = " ".join(rng.choice(words) for _ in range(100_000))  # more than one step of bytes
+    assert len(long) > suffix.STEP
+    shared = long[suffix.STEP - 100 : suffix.STEP + 100]  # across the steps
+    texts = [long, f"x {shared} y", long[300:400], "z" * 80]
+    df = spark.createDataFrame([*enumerate(texts), (None, shared), (None, long[:500])], "doc_id long, text string").repartition(3)
+    got = suffix.suffix_dedup(df).collect()
+    expected = brute_suffix(texts)
+    assert {r["doc_id"]: tuple(r)[1:] for r in got if r["doc_id"] is not None} == {i: e[:4] for i, e in enumerate(expected)}
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] is None) == [(200, 0), (500, 0)]
+
+
+def test_frequent_anchors_are_cut(spark, monkeypatch):
+    """Pieces around frequent anchors, dealt by longer strings, lose no window."""
+    monkeypatch.setattr(suffix, "HOT_LEAST", 2)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcd") for _ in range(5)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    texts += [f"{rng.choice(words)} {t[20:150]} {rng.choice(words)}" for t in texts[:20]]
+    rows = by_id(suffix.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))
+    assert {i: tuple(r)[1:] for i, r in rows.items()} == {i: e[:4] for i, e in enumerate(brute_suffix(texts))}
+
+
+MEMORY_TEST = """
+import resource, sys
+import numpy as np
+from framewright.llm import induced, suffix
+n = 24 << 20
+rng = np.random.default_rng(1)
+file = induced.scratch_file()
+words = rng.integers(97, 123, (4000, 6), np.uint8)
+for _ in range(48):  # half a megabyte at a time: pieces of 64 bytes, of which many share windows
+    rows = words[rng.integers(0, 4000, (8192, 11))].reshape(8192, 66)[:, :63]
+    file.write(np.concatenate([rows + 1, np.zeros((8192, 1), np.uint8)], axis=1).tobytes())
+file.write(bytes(200))
+file.flush()
+pieces = 48 * 8192
+text = np.memmap(file, np.uint8, "r")
+def anonymous():
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous")) >> 10
+before, most = anonymous(), 0
+order, last = 0, None
+for p, common in induced.Sorter(text, 64 * pieces, 50, 4 << 20).suffixes():
+    most = max(most, anonymous())
+    order += len(p)
+assert order == 64 * pieces
+print(64 * pieces >> 20, most - before)
+"""
+
+
+def test_sorter_of_a_text_larger_than_its_memory():
+    """24 MB of text, whose suffixes and their values take 216 MB, with a budget of 4 MB."""
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", MEMORY_TEST], capture_output=True, text=True, timeout=600, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    size, used = map(int, done.stdout.split())
+    assert size == 24 and used < 96, (size, used)
+
+
 # Packing
 
 
