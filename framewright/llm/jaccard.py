@@ -136,6 +136,7 @@ def _scan(documents: DataFrame, words: int) -> DataFrame:
                 mins.append([int(mix(s ^ seed).min()) - (1 << 63) for seed in _SEEDS[:MINHASHES]] if len(s) else None)
                 sketches.append(sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n", "key", "mins", "sketch"])
+        release_memory()
 
     return documents.mapInArrow(run, "id long, n long, key binary, mins array<long>, sketch binary")
 
@@ -177,11 +178,15 @@ def _frequent(documents: DataFrame, words: int, percent: int, shards: int) -> tu
             token = np.concatenate(some)
             rows = [{"shard": i, "packed": _six(token[at])} for i, at in _by_shard((token >> np.uint64(16)).astype(np.int64) % shards, shards)]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("packed", pa.binary())]))
+        release_memory()
 
     def count(t: pa.Table) -> pa.Table:
         token, n = np.unique(np.concatenate([_of_six(raw.as_py()) for raw in t.column("packed")]), return_counts=True)
         often = n >= FREQUENT_LEAST
-        return pa.table({"token": token[often].view(np.int64), "n": n[often]})
+        out = pa.table({"token": token[often].view(np.int64), "n": n[often]})
+        del token, n, often
+        release_memory()
+        return out
 
     counts = documents.mapInArrow(pack, "shard int, packed binary").groupBy("shard").applyInArrow(count, "token long, n long")
     rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
@@ -232,6 +237,7 @@ def _matrix(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words
                 used, local = np.unique(doc[at], return_inverse=True)
                 out.append((i, len(at), len(used), _six(token[at]) + local.astype(np.uint16).tobytes() + position[at].tobytes() + key[used].tobytes() + size[used].tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "tokens", "sets", "packed"), x, strict=True)) for x in out], schema=pa.schema([("shard", pa.int32()), ("tokens", pa.int32()), ("sets", pa.int32()), ("packed", pa.binary())]))
+        release_memory()
 
     def meet(t: pa.Table) -> pa.Table:
         token, key, size, position = [], [], [], []
@@ -253,7 +259,10 @@ def _matrix(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words
         two = np.zeros(len(token), bool)
         two[1:] |= same
         two[:-1] |= same
-        return pa.table({"token": token[two], "key": key[two], "n": size[two], "pos": position[two].astype(np.int64) * size[two] // 255})
+        out = pa.table({"token": token[two], "key": key[two], "n": size[two], "pos": position[two].astype(np.int64) * size[two] // 255})
+        del token, key, size, position, order, fresh, same, two
+        release_memory()
+        return out
 
     return documents.mapInArrow(pack, "shard int, tokens int, sets int, packed binary").groupBy("shard").applyInArrow(meet, "token long, key long, n long, pos long")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import bounded_batches, fresh_columns, table
+from framewright.llm.common import bounded_batches, fresh_columns, release_memory, table
 
 #: The bounds of the classifier: rows a language that centroids are fitted to, vector length, centroids a language.
 SAMPLE_PER_LANGUAGE, DIMENSIONS, CLUSTERS = 256, 4096, 4
@@ -129,6 +129,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 if (c := trigram_counts(value)) is not None:
                     n, df = n + 1, df + (c > 0)
         yield pa.RecordBatch.from_pydict({"bucket": np.arange(-1, DIMENSIONS), "n": np.concatenate([[n], df])})
+        release_memory()
 
     found = rows.select("t").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS + 1 rows
     by_bucket = {r["bucket"]: r["n"] for r in found}

@@ -453,7 +453,9 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         return out
 
     met = documents.mapInArrow(send, "shard int, packed binary, texts binary").groupBy("shard").applyInArrow(sort, "bucket int, packed binary")
-    return met.groupBy("bucket").applyInArrow(merge, "id long, ranges array<long>")
+    out = cut(met.groupBy("bucket").applyInArrow(merge, "id long, ranges array<long>"))
+    wanted.unpersist()  # workers let go of it, too
+    return out
 
 
 def _join(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -479,23 +481,22 @@ def _kept(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in edges)
 
 
-def _with_ranges(documents: DataFrame, length: int) -> tuple[DataFrame, str]:
-    """``documents`` with the packed ranges of each row, null where there are none, and that column's name."""
+def _split(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of ``documents`` that may have ranges, with them, the rows that have none, and the column's name."""
     id_, ranges = "__framewright_id", "__framewright_ranges"
     whole = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    each = cut(repeated_ranges(whole, length)).toDF(id_, ranges)
+    each = repeated_ranges(whole, length).toDF(id_, ranges)
     touched = id_filter(each.select(id_))
     mark = "__framewright_touched"
     marked = documents.withColumn(mark, touched(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
     some = marked.where(mark).drop(mark).join(each, F.col("doc_id").cast("long") == F.col(id_), "left").drop(id_)
-    none = marked.where(~F.col(mark)).drop(mark).withColumn(ranges, F.lit(None).cast("array<long>"))
-    return some.unionByName(none), ranges
+    return some, marked.where(~F.col(mark)).drop(mark), ranges
 
 
 def suffix_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``documents``."""
     bounded_batches(documents.sparkSession)
-    rows, ranges = _with_ranges(documents.select("doc_id", "text"), length)
+    some, none, ranges = _split(documents.select("doc_id", "text"), length)
 
     @F.arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
     def digest(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -506,7 +507,9 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("doc_id", digest.asNondeterministic()("text", ranges).alias("d")).select("doc_id", "d.*")
+    raw, zero = F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.lit(0).cast("long")
+    whole = none.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"))
+    return some.select("doc_id", digest.asNondeterministic()("text", ranges).alias("d")).select("doc_id", "d.*").union(whole)
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -515,13 +518,13 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     A character of which only a part is removed goes whole. A text that is removed whole stays as an empty one.
     """
     bounded_batches(documents.sparkSession)
-    rows, ranges = _with_ranges(documents, length)
+    some, none, ranges = _split(documents, length)
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, found: pa.Array) -> pa.Array:
         return pa.array([t.as_py() if not r.as_py() else _kept(t.as_py().encode(), _spans(r.as_py())).decode("utf-8", "ignore") for t, r in zip(texts, found, strict=True)], pa.string())
 
-    rows = rows.withColumn("text", kept.asNondeterministic()("text", ranges)).drop(ranges)
+    rows = some.withColumn("text", kept.asNondeterministic()("text", ranges)).drop(ranges).unionByName(none)
     if "n_chars" in documents.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
     return rows.select(*documents.columns)
