@@ -1,7 +1,14 @@
 """The corpus pipeline: language, quality, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result as Parquet to the
-shared folder and rereads it as the next one's documents. All stages but the last return the columns of documents.
+shared folder and rereads it as the next one's documents, whose files go once the next stage's are written. All stages but
+the last return the columns of documents, whatever further columns there are and however they are named.
+
+Null and empty texts are rejected by the first stage, as texts without a letter; a text that a later stage empties is packed
+as one piece with the end id alone. Texts of any length are handled whole. Rows that repeat a document stay as often as they
+are there, but for the n-gram Jaccard join, which tells documents apart by doc_id: equal texts with different ids are one
+group, of which the smallest id stays. A null doc_id is neither a copy nor a source of copies. An empty table passes all
+stages as an empty one and gives no piece.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import jaccard, langid, packing, quality, suffix
-from framewright.llm.common import shared_folder
+from framewright.llm.common import remove, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
     return docs
