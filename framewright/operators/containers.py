@@ -73,6 +73,11 @@ def fragment_samples(runs: DataFrame, headers: DataFrame, defaults: DataFrame) -
     return rows.select(*FILE, "i", (F.col("data_offset") + F.col("inside")).alias("offset"), "size", time.alias("decode_time"), (time + F.coalesce("composition", F.lit(0))).alias("presentation_time"), (F.col("flags").bitwiseAND(0x10000) == 0).alias("keyframe"))
 
 
+def without_defaults(runs: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Tracks that have fragments and no defaults, whose samples ``fragment_samples`` leaves out: must be empty."""
+    return runs.select(*FILE).distinct().join(defaults, FILE, "left_anti")
+
+
 def media_end(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.max(F.col("offset") + F.col("size")).alias("media_end"))
 

@@ -24,6 +24,17 @@ def exclusive_sum(df: DataFrame, keys: Keys, order: Keys, value: str, out: str)
     return df.withColumn(out, running - F.col(value))
 
 
+def exclusive_sum_by_range(df: DataFrame, keys: Keys, order: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """The same in two levels, for few keys with many rows each: ``order`` is a whole number, and rows meet in ranges of
+    ``width`` of it; only the ranges' totals are summed up over a whole key."""
+    part, before = "__framewright_range", "__framewright_before"
+    ranged = df.withColumn(part, F.floor(F.col(order) / width))
+    totals = ranged.groupBy(*keys, part).agg(F.sum(value).alias(before))
+    totals = exclusive_sum(totals, keys, [part], before, out).select(*keys, part, F.col(out).alias(before))
+    inside = exclusive_sum(ranged, [*keys, part], [order], value, out).join(totals, [*keys, part])
+    return inside.withColumn(out, F.col(out) + F.col(before)).select(*df.columns, out)
+
+
 def expand_runs(df: DataFrame, count: str, ordinal: str = "i") -> DataFrame:
     """One row for each of ``count`` repetitions; a run of none gives no row."""
     return df.where(F.col(count) > 0).withColumn(ordinal, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))

@@ -40,7 +40,7 @@ def interleave_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decode_time_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decode times of each track: the sizes before, as deltas."""
-    return S.exclusive_sum(units(spark, sf_dir), ["event_type"], ["event_id"], "size", "decode_time").select("event_type", "event_id", "decode_time")
+    return S.exclusive_sum_by_range(units(spark, sf_dir), ["event_type"], "event_id", "size", "decode_time").select("event_type", "event_id", "decode_time")
 
 
 def rle_expand(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,11 +268,19 @@ class _Stateful(StatefulProcessor):
         self.state = handle.getValueState("machine", "pickled binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        machine = cloudpickle.loads(bytes(self.state.get()[0])) if self.state.exists() else Guarded(self.make, self.policy)
+        machine = cloudpickle.loads(bytes(self.state.get()[0])) if self.state.exists() else None
         out: Rows = []
         for row in pd.concat(list(rows)).sort_values(self.order).to_dict("records"):
-            out += machine.finish() if row.get("end") else machine.push(_plain(row, self.whole))
-        self.state.update((cloudpickle.dumps(machine),))
+            machine = machine or Guarded(self.make, self.policy)
+            if row.get("end"):
+                out += machine.finish()
+                machine = None  # nothing of the key is kept
+            else:
+                out += machine.push(_plain(row, self.whole))
+        if machine is not None:
+            self.state.update((cloudpickle.dumps(machine),))
+        elif self.state.exists():
+            self.state.clear()
         yield _frame(out, self.key, key[0], self.columns)
 
     def close(self) -> None:
@@ -280,7 +288,8 @@ class _Stateful(StatefulProcessor):
 
 
 def run_stream(rows: DataFrame, key: str, order: str, make: Callable, policy: str = "sticky") -> DataFrame:
-    """The same over a stream; a row whose column ``end`` is true ends its key. Needs the RocksDB state store."""
+    """The same over a stream; a row whose column ``end`` is true ends its key and clears its state, so that a later row of the
+    key begins anew. Needs the RocksDB state store."""
     schema = make().schema
     out = f"{key} {dict(rows.dtypes)[key]}, {schema}, failure string"
     return rows.groupBy(key).transformWithStateInPandas(_Stateful(key, order, make, policy, _columns(schema), _whole(rows)), out, "append", "none")
