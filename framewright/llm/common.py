@@ -9,17 +9,35 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch between the JVM and Python; very long texts make smaller batches.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: Tasks a core that write what is cut from its lineage.
-FILES_PER_CORE = 4
 #: Bits of an id filter at most; beyond some millions of ids it lets more rows through, and never fewer than it must.
 FILTER_BITS = 1 << 26
 
 
+#: Bytes from which on a worker's memory comes straight from the system, and unused bytes that it may keep otherwise.
+LARGE, UNUSED = 4 << 20, 8 << 20
+
+
+def _keep_little() -> None:
+    """Lets a Python worker give freed memory back at once: workers live on between tasks, next to an executor's heap."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, LARGE)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, UNUSED)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+if TaskContext.get() is not None:  # imported by a worker
+    _keep_little()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -54,13 +72,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns what was written.
-
-    Its partitions are written one after the other by FILES_PER_CORE tasks a core at most, so that the number of files follows
-    the cluster and not the number of shuffle partitions.
-    """
+    """Writes ``df`` to the shared folder and returns what was written."""
     shared_folder(df.sparkSession)
-    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).checkpoint()
+    return df.checkpoint()
 
 
 def fresh_columns(df: DataFrame, *names: str) -> None:
@@ -79,6 +93,16 @@ def release_memory() -> None:
         pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets executors collect their heap and give what they don't use back to their machines, where Python workers need it.
+
+    A heap that a stage has grown stays as it is otherwise. One short task a core; it changes no result.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    collected = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, cores, 1, cores).select(collected.alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
