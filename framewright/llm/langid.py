@@ -139,7 +139,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([None if c is None else np.minimum(c, 65535).astype(np.uint16).tobytes() for c in map(trigram_counts, texts.to_pylist())], pa.binary())
+        return pa.array([None if c is None else c.astype(np.uint32).tobytes() for c in map(trigram_counts, texts.to_pylist())], pa.binary())
 
     per_language = rows.groupBy("l").count().collect()  # as many rows as languages
     share = F.lit(0)
@@ -149,7 +149,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str =
     langs, centroids, limits = [], [], []
     for name in sorted({r["l"] for r in taken}):
         own = sorted((r["h"], r["v"]) for r in taken if r["l"] == name)
-        own = np.stack([np.frombuffer(v, np.uint16) for _, v in own])
+        own = np.stack([np.frombuffer(v, np.uint32) for _, v in own])
         c = spherical_kmeans(vectors(own, idf), CLUSTERS)
         langs += [name] * len(c)
         centroids += list(c)
