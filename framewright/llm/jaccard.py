@@ -12,8 +12,12 @@ order of all tokens (those that few sets have before frequent ones, counted over
 query needs such a token in common with the group, at positions and sizes that leave enough; (2) the counts of shingles by
 leading bits of the group's union, then of each member; (3) the query's overlap with the group's union of whole token
 sets. Inside an opened group the query is compared exactly with the members. Of two components that meet at a token, the
-one with fewer texts there asks and the other is asked, so a large family doesn't ask itself. No link between different
-texts is lost but between those that are connected anyway; results name no pairs, only a forest of them.
+one with far fewer texts there asks and the other is asked, so a large family doesn't ask itself; of two that are about as
+large, the one in an earlier group asks, so a text asks only later groups. No link between different texts is lost but
+between those that are connected anyway; results name no pairs, only a forest of them.
+
+Texts that are all close to one another, but not linked, still have to be told apart: each opens the groups of its family,
+so the rows (query, group) grow with the square of such a family's size, divided by the size of a group.
 
 Shingles are 64-bit hashes of ``words`` lower-cased words (A-Z only) between ASCII white space. A text with fewer words
 is one shingle; null, empty or blank texts have none and link with nothing. Long texts are read in pieces. Documents are
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.common import bounded_batches, cut, id_filter, release_memory, shuffle_partitions, table
@@ -267,11 +271,12 @@ def _matrix(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words
     return documents.mapInArrow(pack, "shard int, tokens int, sets int, packed binary").groupBy("shard").applyInArrow(meet, "token long, key long, n long, pos long")
 
 
-def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, tg, alike) of each set, and (tg, rep) of the centres that a group of similar sets is compared with.
+def _alike(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, k, m, tg, centres) of each set that is similar to another, and (tg, rep) of the centres that a group of
+    similar sets is compared with.
 
-    A set is similar to those it shares a min-hash with; the first such min-hash tells its bucket. Buckets, and all sets
-    that share none, are dealt into groups of about GROUP_TOKENS shingles, and of GROUP_SETS sets at most on average.
+    A set is similar to those it shares a min-hash with; the first such min-hash tells its bucket. Buckets are dealt into
+    groups of about GROUP_TOKENS shingles, and of GROUP_SETS sets at most on average. (k, m) is the largest bucket.
     """
     salt = F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS))
     member = sets.select("rep", "n", F.posexplode("mins").alias("k", "m")).withColumn("salt", salt)
@@ -279,15 +284,38 @@ def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = member.groupBy("k", "m").agg(F.count(F.lit(1)).alias("sets_"), F.sum("n").alias("tokens_"), F.array(*firsts).alias("centres")).where("sets_ > 1")
     buckets = cut(buckets)
     parts = F.greatest(F.ceil(F.col("sets_") / GROUP_SETS), F.ceil(F.col("tokens_") / GROUP_TOKENS))
-    in_parts = buckets.select("k", "m", parts.alias("parts"), "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    chosen = member.join(in_parts, ["k", "m", "salt"]).groupBy("rep").agg(F.min(F.struct("k", "m", "parts", "centres")).alias("b"))
+    in_parts = buckets.select("k", "m", "sets_", parts.alias("parts"), "centres", _salts())
+    chosen = member.join(in_parts, ["k", "m", "salt"]).groupBy("rep").agg(F.any_value("n").alias("n"), F.min(F.struct("k", "m", "parts", "centres")).alias("b"), F.max(F.struct("sets_", "k", "m")).alias("home"))
     tg = F.xxhash64("b.k", "b.m", F.pmod(F.xxhash64("rep"), "b.parts"))
-    alike = cut(chosen.select("rep", tg.alias("tg"), "b.centres"))
+    alike = cut(chosen.select("rep", "n", "home.k", "home.m", tg.alias("tg"), "b.centres"))
+    return alike, alike.select("tg", F.explode("centres").alias("rep")).distinct()
+
+
+def _groups(sets: DataFrame, alike: DataFrame, linked: DataFrame) -> DataFrame:
+    """(rep, tg, g): the group of the matrix and the component of each set; ``linked`` has (id, component) of some.
+
+    Similar sets are with those of their largest bucket, so a family fills few groups, and a query opens few. A bucket of more
+    than a group is dealt in order of size, texts with links apart from those without, so a group's bounds are close to its
+    members'. Sets that share no min-hash are dealt by hash. A group has about GROUP_TOKENS shingles or GROUP_SETS sets.
+    """
+    salt = F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALTS))
+    weight = F.greatest("n", F.lit(GROUP_TOKENS // GROUP_SETS))
+    homes = cut(alike.select("rep", "n", "k", "m").join(linked.withColumnRenamed("id", "rep"), "rep", "left").withColumn("linked", F.col("component").isNotNull()))
+    sizes = homes.groupBy("k", "m", "linked", "n").agg(F.count(F.lit(1)).alias("sets_"))
+    bucket = Window.partitionBy("k", "m")  # a row for each size, not for each set
+    before = F.sum(weight * F.col("sets_")).over(bucket.orderBy("linked", "n")) - weight * F.col("sets_")
+    large = sizes.withColumns({"before": before, "all_": F.sum(weight * F.col("sets_")).over(bucket)}).where(F.col("all_") > GROUP_TOKENS)
+    dealt = homes.withColumn("salt", salt).join(large.select("k", "m", "linked", "n", "sets_", "before", _salts()), ["k", "m", "linked", "n", "salt"], "left")
+    part = F.coalesce(F.floor((F.col("before") + F.pmod(F.xxhash64("rep"), "sets_") * weight) / GROUP_TOKENS), F.lit(0))
+    at_home = dealt.select("rep", F.xxhash64("k", "m", part).alias("tg"), F.coalesce("component", "rep").alias("g"))
     rest = cut(sets.select("rep", "n").join(alike.select("rep"), "rep", "left_anti"))
     n, tokens = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
-    lone = rest.select("rep", F.xxhash64(F.lit("lone"), F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-n // GROUP_SETS), -(-tokens // GROUP_TOKENS))))).alias("tg"))
-    centres = alike.select("tg", F.explode("centres").alias("rep")).distinct()
-    return cut(alike.select("rep", "tg", F.lit(True).alias("alike")).union(lone.withColumn("alike", F.lit(False)))), centres
+    lone = rest.select("rep", F.xxhash64(F.lit("lone"), F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-n // GROUP_SETS), -(-tokens // GROUP_TOKENS))))).alias("tg"), F.col("rep").alias("g"))
+    return cut(at_home.union(lone))
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
 
 
 def _open(matrix: DataFrame, percent: int, shards: int) -> DataFrame:
@@ -300,9 +328,13 @@ def _open(matrix: DataFrame, percent: int, shards: int) -> DataFrame:
         head = np.flatnonzero(np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (comp[order][1:] != comp[order][:-1])]))
         texts = np.empty(len(token), np.int64)  # of one component at one token
         texts[order] = np.repeat(np.diff(np.append(head, len(token))), np.diff(np.append(head, len(token))))
-        order = np.lexsort((comp, texts))
-        rank = np.empty(len(token), np.int64)  # a component with fewer texts has the lower one
-        rank[order] = np.cumsum(np.concatenate([[False], (texts[order][1:] != texts[order][:-1]) | (comp[order][1:] != comp[order][:-1])]))
+        many = (np.log2(texts) // 4).astype(np.int64)
+        home = np.empty(len(token), np.int64)  # the first group of a component at a token
+        home[order] = np.repeat(np.minimum.reduceat(tg[order], head), np.diff(np.append(head, len(token))))
+        order = np.lexsort((comp, home, many))
+        rank = np.empty(len(token), np.int64)  # a component with far fewer texts has the lower one, then one in an earlier group
+        new = (many[order][1:] != many[order][:-1]) | (home[order][1:] != home[order][:-1]) | (comp[order][1:] != comp[order][:-1])
+        rank[order] = np.cumsum(np.concatenate([[False], new]))
         order = np.lexsort((tg, token))
         token, rep, rank, tg, n, pos = (x[order] for x in (token, rep, rank, tg, n, pos))
         head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (tg[1:] != tg[:-1])]))
@@ -355,7 +387,7 @@ def _qualified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"tg": t.column("tg").filter(pa.array(hit)), "id": ids[hit], "asks": asks[hit]})
 
     with_sketch = _dealt(rows).join(sets.select(F.col("rep").alias("id"), "n", "sketch"), "id")
-    return with_sketch.groupBy("tg", "salt").applyInArrow(bound, "tg long, id long, asks boolean").distinct()
+    return cut(with_sketch.groupBy("tg", "salt").applyInArrow(bound, "tg long, id long, asks boolean").distinct())
 
 
 def _opened(rows: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
@@ -419,9 +451,8 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
     docs = docs.where("id is not null")
     sets = cut(each.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins"), F.any_value("sketch").alias("sketch")))
 
-    groups, centres = _groups(sets)
-    similar = groups.where("alike").select("tg", F.col("rep").alias("id"))
-    both = similar.select("tg", "id", F.explode(F.array(F.lit(True), F.lit(False))).alias("asks"))
+    alike, centres = _alike(sets)
+    both = alike.select("tg", F.col("rep").alias("id"), F.explode(F.array(F.lit(True), F.lit(False))).alias("asks"))
     links = _opened(both.union(centres.select("tg", "rep", F.lit(False))).distinct(), docs, words, percent)
     group = components(links)
 
@@ -430,8 +461,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", key: str = "doc
     names = sets.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("key"), "rep")
     columns = _matrix(docs, frequent, words, percent, max(8, shards // 2))
     columns = columns.join(names, "key").drop("key")
-    of = groups.select("rep", "tg").join(group.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tg", F.coalesce("component", "rep").alias("g"))
-    opened = cut(_open(columns.join(of, "rep"), percent, shards))
+    opened = cut(_open(columns.join(_groups(sets, alike, group), "rep"), percent, shards))
     links = links.union(_opened(_qualified(opened, sets, percent), docs, words, percent))
     group = components(links)
 

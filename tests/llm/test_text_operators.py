@@ -246,6 +246,30 @@ def test_jaccard_near_the_threshold(spark):
     assert [(rows[i]["n_shingles"], rows[i]["component_id"]) for i in range(len(texts))] == brute_components(texts)
 
 
+def test_jaccard_families_open_few_groups(spark, monkeypatch):
+    """Texts close to one another but mostly not linked: around one absent base, and with one passage at many sizes."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    passage = " ".join(f"p{rng.randrange(5000)}" for _ in range(40))
+    texts = []
+    for _ in range(700):
+        t = list(base)
+        for at in rng.sample(range(150), rng.randint(3, 5)):
+            t[at] = f"e{rng.randrange(1 << 30)}"
+        texts.append(" ".join(t))
+    texts += [" ".join([passage, *(f"e{rng.randrange(1 << 30)}" for _ in range(rng.randint(9, 60)))]) for _ in range(700)]
+    given, dealt = [], jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda rows: given.append(rows) or dealt(rows))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = by_id(jaccard.jaccard_components(docs))
+    assert [(rows[i]["n_shingles"], rows[i]["component_id"]) for i in range(len(texts))] == brute_components(texts)
+    first, opened, qualified = given
+    for df in (opened, qualified):  # both sides of a join read them
+        assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    queries = opened.where("asks").count()
+    assert queries < 4 * len(texts), queries  # 8510 while families were spread over small groups of many sizes
+
+
 def test_shingles_do_not_depend_on_pieces(monkeypatch):
     text = " ".join(f"word{i % 97}" for i in range(2000))
     whole = jaccard.shingles(text)
