@@ -7,7 +7,9 @@ that only one document has (found by a first pass over anchor hashes) are left o
 are cut by where in a window the anchor lies and dealt by the longer string that all windows of a cut share. The number of
 shards follows from the bytes that the first pass counts.
 
-A shard sorts the suffixes of its pieces by external induced sorting (see induced.py), which yields the common-prefix
+Equal windows have equal anchors in equal places, so a shard cuts each of its different pieces to the windows whose common
+string around the anchor, of 42 bytes or so, another piece with another smallest id has, too; other windows repeat only in
+whole copies of their piece. A shard sorts the suffixes of these cuttings by external induced sorting (see induced.py), which yields the common-prefix
 values along with the order; windows between which they reach LENGTH are equal, and those not from the smallest id of
 their run are removed. Texts, queues and all arrays over symbols of a shard lie in files of the task beyond a memory budget.
 A piece that several documents have is sorted once, under its smallest id; the other documents' copies go whole. No group
@@ -34,14 +36,20 @@ from framewright.llm.common import bounded_batches, cut, id_filter, release_memo
 from framewright.llm.induced import MEMORY, Column, Scratch, Sorter
 
 LENGTH, GRAM = 50, 16
-#: Windows handled in one step; pieces that a task remembers having sent; the filter of shared anchors has two to the
-#: power FILTER_LOG bits: with many more anchors than that it lets pieces through that nobody shares, and never too few.
-STEP, SENT, FILTER_LOG = 1 << 19, 1_000_000, 27
-#: Bytes of pieces that a shard should get, shards at most, and bytes of a piece on average. Beyond so many shards they grow.
-SHARD_BYTES, SHARDS, PIECE_BYTES = 4 << 20, 1 << 16, 66
+#: Windows handled in one step; pieces that a task remembers having sent; bytes of text whose pieces are dealt at once, as
+#: each batch makes a row for each shard.
+STEP, SENT, DEALT = 1 << 19, 1_000_000, 16 << 20
+#: Bytes of texts that are looked at together, unless one is longer by itself.
+TOGETHER = 1 << 17
+#: The filter of shared anchors has FILTER_BITS bits an anchor, two to the power of the first of FILTER_LOG in all at least
+#: and of the second at most: with more anchors than that it lets pieces through that nobody shares, and never too few.
+FILTER_BITS, FILTER_LOG = 16, (27, 29)
+#: Bytes of pieces that a shard should get, shards at most, and bytes of a piece on average. Beyond so many shards they
+#: grow, and lie in files, so that rows between tasks grow no faster than the input.
+SHARD_BYTES, SHARDS, PIECE_BYTES = 16 << 20, 1 << 10, 66
 #: Anchors whose pieces are dealt by longer strings, at most, and how many pieces one must have. One that isn't among
 #: so many has less than one HOT-th of all pieces.
-HOT, HOT_LEAST = 1 << 16, SHARD_BYTES // PIECE_BYTES // 4
+HOT, HOT_LEAST = 1 << 16, (4 << 20) // PIECE_BYTES // 4
 #: Where in a window the anchor lies, in so many ranges, for pieces that are cut.
 RANGES = 4
 
@@ -50,8 +58,9 @@ _LOW = np.uint64(0xFFFFFFFF)
 _MIXED = np.random.default_rng(50).integers(1, 1 << 63, (2, 256), np.uint64)
 
 
-def pieces(buffer: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window + 1, anchor's place and anchor hash of the pieces of a text."""
+def pieces(buffer: np.ndarray, length: int = LENGTH, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window + 1, anchor's place and anchor hash of the pieces of a text, or of several ones that begin
+    at ``starts``."""
     n = len(buffer) - length + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
@@ -69,23 +78,36 @@ def pieces(buffer: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
         width *= 2
     best = np.minimum(best[:n], best[over - width : over - width + n])
     anchor = (best & _LOW).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    return first, np.append(first[1:], n), anchor[first], gram[anchor[first]]
+    fresh = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    if starts is None:
+        first = np.flatnonzero(fresh)
+        return first, np.append(first[1:], n), anchor[first], gram[anchor[first]]
+    fresh[starts[starts < n]] = True
+    first = np.flatnonzero(fresh)
+    ends = np.append(starts[1:], len(buffer)) - length + 1  # no window goes on in the next text
+    last = np.minimum(np.append(first[1:], n), ends[np.searchsorted(starts, first, side="right") - 1])
+    inside = first < last
+    first = first[inside]
+    return first, last[inside], anchor[first], gram[anchor[first]]
+
+
+def _part_places(length: int) -> list[tuple[int, int]]:
+    """The anchor's place in a window, from .. to, for each part of a piece."""
+    over = length - GRAM + 1
+    return [(over * r // RANGES, over * (r + 1) // RANGES - 1) for r in range(RANGES)]
 
 
-def split_hot(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window + 1 and hash of the parts of some pieces, cut by the anchor's place in a window.
+def split_hot(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window + 1, anchor's place and hash of the parts of some pieces, cut by that place in a window.
 
     All windows of a part cover one longer string around the anchor; the hash is that string's.
     """
     out = []
-    over = length - GRAM + 1
-    for r in range(RANGES):
-        low, high = over * r // RANGES, over * (r + 1) // RANGES - 1  # the anchor's place in a window, from .. to
+    for low, high in _part_places(length):
         a, b = np.maximum(first, place - high), np.minimum(last, place - low + 1)
         some = a < b
         p = place[some]
-        out.append((a[some], b[some], _hashes(raw, p - low, p - high + length)[0]))
+        out.append((a[some], b[some], p, _hashes(raw, p - low, p - high + length)[0]))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -97,6 +119,25 @@ def _steps(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray
             yield i, raw[at : at + STEP + length - 1], at
 
 
+def _groups(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, bytes, where each one's bytes begin, and its offset) of some steps at a time."""
+    held, size = [], 0
+
+    def group() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, raw, at = zip(*held, strict=True)
+        n = np.array([len(r) for r in raw], np.int64)
+        return np.array(ids, np.int64), np.concatenate(raw), np.cumsum(n) - n, np.array(at, np.int64)
+
+    for i, raw, at in _steps(batch, length):
+        if held and size + len(raw) > TOGETHER:
+            yield group()
+            held, size = [], 0
+        held.append((i, raw, at))
+        size += len(raw)
+    if held:
+        yield group()
+
+
 def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, rows) for each shard that has any."""
     order = np.argsort(shard, kind="stable")
@@ -112,9 +153,10 @@ def _shared_anchors(documents: DataFrame, length: int, shards: int) -> DataFrame
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_hashes, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, raw, _ in _steps(batch, length):
-                all_hashes.append(pieces(raw, length)[3])
-                whose.append(np.full(len(all_hashes[-1]), i))
+            for ids, raw, starts, _ in _groups(batch, length):
+                first, _, _, anchor = pieces(raw, length, starts)
+                all_hashes.append(anchor)
+                whose.append(ids[np.searchsorted(starts, first, side="right") - 1])
             h, d = np.concatenate(all_hashes), np.concatenate(whose)
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
@@ -154,18 +196,23 @@ def _shared_anchors(documents: DataFrame, length: int, shards: int) -> DataFrame
     return documents.mapInArrow(send, "shard int, single int, packed binary, many binary").groupBy("shard").applyInArrow(meet, "anchor long, n long")
 
 
-def _spread(anchors: np.ndarray) -> np.ndarray:
-    """The bit of each anchor (without its lowest bytes)."""
+def _spread(anchors: np.ndarray, log: int) -> np.ndarray:
+    """The bit of each anchor (without its lowest bytes) among two to the power ``log``."""
     x = (anchors.view(np.uint64) & ~np.uint64(0xFFFF)) * _C
-    return ((x ^ (x >> np.uint64(32))) * _A >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(32))) * _A >> np.uint64(64 - log)).astype(np.int64)
+
 
+def _filter_log(anchors: int) -> int:
+    """How many bits the filter has, as a power of two."""
+    return min(max(FILTER_LOG[0], (anchors * FILTER_BITS - 1).bit_length()), FILTER_LOG[1])
 
-def _filter_bits(anchors: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that has the bit of every shared anchor."""
+
+def _filter_bits(anchors: DataFrame, log: int) -> np.ndarray:
+    """A bit array of a bounded size that has the bit of every shared anchor."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(_spread(batch.column(0).to_numpy()))
+            bit = np.unique(_spread(batch.column(0).to_numpy(), log))
             part = bit >> 16
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(bit) else np.zeros(0, np.int64)
             low = (bit & 0xFFFF).astype(np.uint16)
@@ -178,7 +225,7 @@ def _filter_bits(anchors: DataFrame) -> np.ndarray:
         return pa.table({"part": t.column("part")[:1], "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
     found = anchors.mapInArrow(deal, "part long, bits binary").groupBy("part").applyInArrow(pack, "part long, bits binary").toArrow()  # as large as the filter at most
-    out = np.zeros((1 << (FILTER_LOG - 16), 1 << 13), np.uint8)
+    out = np.zeros((1 << (log - 16), 1 << 13), np.uint8)
     for part, raw in zip(found.column("part").to_pylist(), found.column("bits"), strict=True):
         out[part] = np.frombuffer(raw.as_py(), np.uint8)
     return out.ravel()
@@ -305,12 +352,13 @@ class Shard:
 
     def __init__(self, length: int, memory: int = MEMORY):
         self.length, self.memory = length, memory
-        self.bytes, self.n, self.ids, self.at, self.hashes = (Column(t, memory // 8) for t in (np.uint8, np.int64, np.int64, np.int64, np.uint64))
+        self.bytes, self.n, self.ids, self.at, self.hashes, self.anchors = (Column(t, memory // 8) for t in (np.uint8, np.int64, np.int64, np.int64, np.uint64, np.int16))
+        self.sorted = 0  # bytes of them
 
-    def add(self, n: np.ndarray, ids: np.ndarray, at: np.ndarray, raw: bytes) -> None:
-        """Pieces of n bytes of documents, with their places there."""
+    def add(self, n: np.ndarray, ids: np.ndarray, at: np.ndarray, anchor: np.ndarray, raw: bytes) -> None:
+        """Pieces of n bytes of documents, with their places there and their anchors' places in them."""
         raw, ends = np.frombuffer(raw, np.uint8), np.cumsum(n)
-        for x, column in zip((raw, n, ids, at), (self.bytes, self.n, self.ids, self.at), strict=True):
+        for x, column in zip((raw, n, ids, at, anchor), (self.bytes, self.n, self.ids, self.at, self.anchors), strict=True):
             column.append(x)
         a = 0
         while a < len(n):  # some pieces at a time, as many as one step may hold
@@ -319,6 +367,34 @@ class Shard:
             self.hashes.append(_hashes(raw[base : int(ends[b - 1])], ends[a:b] - n[a:b] - base, ends[a:b] - base)[0])
             a = b
 
+    def _meeting(self, raw: np.ndarray, begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First window and last window + 1 of different pieces that may be windows of one with another smallest id; none
+        where they are equal. Equal hashes of different strings only make it more."""
+        first, last = np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), np.int64)
+        cuts = [[] for _ in range(RANGES)]
+        some = max(1, STEP // (2 * self.length))
+        for a in range(0, len(n), some):
+            m, g = n[a : a + some], anchor[a : a + some].astype(np.int64)
+            start = np.cumsum(m) - m
+            part = raw[_ranges_of(begin[a : a + some], m)]
+            for (low, high), found in zip(_part_places(self.length), cuts, strict=True):
+                x, y = np.maximum(g - high, 0), np.minimum(g - low + 1, m - self.length + 1)
+                i = np.flatnonzero(x < y)
+                found.append((i + a, x[i], y[i], _hashes(part, (start + g)[i] - low, (start + g)[i] - high + self.length)[0]))
+        for found in cuts:
+            i, x, y, h = map(np.concatenate, zip(*found, strict=True))
+            found.clear()
+            if not len(i):
+                continue
+            order = np.argsort(h)
+            h, d = h[order], least[i[order]]
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            several = np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head)
+            live = order[np.repeat(several, np.diff(np.append(head, len(h))))]
+            i, x, y = i[live], x[live], y[live]
+            first[i], last[i] = np.minimum(first[i], x), np.maximum(last[i], y)
+        return np.minimum(first, last), last
+
     def ranges(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """id, first and end of what goes, in parts."""
         raw, n, ids, at, h = (c.array() for c in (self.bytes, self.n, self.ids, self.at, self.hashes))
@@ -348,25 +424,32 @@ class Shard:
         number[:] = number[of]
         least = np.full(len(own), np.iinfo(np.int64).max)
         np.minimum.at(least, number, ids)
+        low, high = self._meeting(raw, begin[own], n[own], self.anchors.array()[own], least)
+        meeting = low < high
+        slot = np.where(meeting, np.cumsum(meeting) - 1, -1)  # the place among the sorted ones
+        own, low, high, self.anchors = own[meeting], low[meeting], high[meeting], None
+        size = high - low + self.length - 1
+        self.sorted = int(size.sum())
         symbols = Column(np.uint8, self.memory // 4)
         for a in range(0, len(own), STEP // 64):
-            mine = own[a : a + STEP // 64]
-            m = n[mine]
+            mine, m = begin[own[a : a + STEP // 64]] + low[a : a + STEP // 64], size[a : a + STEP // 64]
             part = np.zeros(int(m.sum()) + len(mine), np.uint8)  # no UTF-8 text has the byte 255, so plus 1 fits
-            part[_ranges_of(np.cumsum(m + 1) - m - 1, m)] = raw[_ranges_of(begin[mine], m)] + np.uint8(1)
+            part[_ranges_of(np.cumsum(m + 1) - m - 1, m)] = raw[_ranges_of(mine, m)] + np.uint8(1)
             symbols.append(part)
         symbols.append(np.zeros(self.length + 16, np.uint8))
-        start = np.concatenate([[0], np.cumsum(n[own] + 1)])
+        start = np.concatenate([[0], np.cumsum(size + 1)])
         del raw
         self.bytes = None
-        piece, first, end = removed_windows(symbols.array(), start, least, self.length, self.memory)
+        piece, first, end = removed_windows(symbols.array(), start, least[meeting], self.length, self.memory)
+        first, end = first + low[piece], end + low[piece]
         for a in range(0, len(n), STEP):
             i, text, place = ids[a : a + STEP], number[a : a + STEP], at[a : a + STEP]
             whole = i > least[text]
             yield i[whole], place[whole], (place + n[a : a + STEP])[whole]
-            low = np.searchsorted(piece, text[~whole])  # runs are in order of pieces
-            many = np.searchsorted(piece, text[~whole], side="right") - low
-            run = _ranges_of(low, many)
+            mine = slot[text[~whole]]
+            begun = np.searchsorted(piece, mine)  # runs are in order of pieces
+            many = np.searchsorted(piece, mine, side="right") - begun
+            run = _ranges_of(begun, many)
             doc, place = np.repeat(i[~whole], many), np.repeat(place[~whole], many)
             yield doc, place + first[run], place + end[run] + self.length - 1
 
@@ -376,20 +459,40 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = documents.sparkSession
     buckets = max(8, shuffle_partitions(spark))
     anchors = cut(_shared_anchors(documents, length, buckets))
-    pieces_there = anchors.agg(F.sum("n")).head()[0] or 0
+    several, pieces_there = anchors.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    log = _filter_log(several)
     shards = min(SHARDS, max(8, -(-pieces_there * PIECE_BYTES // SHARD_BYTES)))
     hot = anchors.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "anchor").limit(HOT).toArrow()  # HOT rows at most
     hot = np.sort(hot.column("anchor").to_numpy().view(np.uint64))
-    wanted = spark.sparkContext.broadcast((_filter_bits(anchors.select("anchor")), hot))  # of fixed size
+    wanted = spark.sparkContext.broadcast((_filter_bits(anchors.select("anchor"), log), hot))  # of bounded size
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, turn = _Sent(), 0
         bits, frequent = wanted.value
+
+        def deal(found: list[tuple], buffers: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal turn
+            start, end, place, anchor, doc, shift, h, second = (np.concatenate(x) for x in zip(*found, strict=True))
+            buffer = np.concatenate(buffers)
+            own = doc == sent.owner(h, second, doc)
+            rows = []
+            # another document with a smaller id has the whole piece
+            done = _join(doc[~own], (start + shift)[~own], (end + shift)[~own])
+            if len(done[0]):
+                turn += 1
+                rows.append({"shard": turn % shards, "packed": _zip(*done), "texts": None})
+            mine = np.flatnonzero(own)
+            for s, at in _by_shard(((anchor[mine] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64), shards):
+                at = mine[at]
+                n = end[at] - start[at]
+                rows.append({"shard": s, "packed": _zip(n, doc[at], (start + shift)[at], (place - start)[at]), "texts": zstandard.compress(buffer[_ranges_of(start[at], n)].tobytes())})
+            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("packed", pa.binary()), ("texts", pa.binary())]))
+
+        found, buffers, base = [], [], 0
         for batch in batches:
-            found, buffers, base = [], [np.zeros(0, np.uint8)], 0
-            for i, raw, offset in _steps(batch, length):
-                first, last, place, anchor = pieces(raw, length)
-                bit = _spread(anchor)
+            for ids, raw, starts, offsets in _groups(batch, length):
+                first, last, place, anchor = pieces(raw, length, starts)
+                bit = _spread(anchor, log)
                 use = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 if not len(use):
                     continue
@@ -399,28 +502,17 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                     hit = frequent[np.minimum(np.searchsorted(frequent, bare), len(frequent) - 1)] == bare
                     if hit.any():
                         parts = split_hot(raw, first[hit], last[hit], place[hit], length)
-                        first, last, anchor = (np.concatenate([x[~hit], y]) for x, y in zip((first, last, anchor), parts, strict=True))
+                        first, last, place, anchor = (np.concatenate([x[~hit], y]) for x, y in zip((first, last, place, anchor), parts, strict=True))
                 a, b = first, last + length - 1
-                found.append((a + base, b + base, anchor, np.full(len(a), i), np.full(len(a), offset - base), *_hashes(raw, a, b, 2)))
+                of = np.searchsorted(starts, a, side="right") - 1
+                found.append((a + base, b + base, place + base, anchor, ids[of], (offsets - starts)[of] - base, *_hashes(raw, a, b, 2)))
                 buffers.append(raw)
                 base += len(raw)
-            if not found:
-                continue
-            start, end, anchor, doc, shift, h, second = (np.concatenate(x) for x in zip(*found, strict=True))
-            buffer = np.concatenate(buffers)
-            own = doc == sent.owner(h, second, doc)
-            rows = []
-            # another document with a smaller id has the whole piece
-            done = _join(doc[~own], (start + shift)[~own], (end + shift)[~own])
-            if len(done[0]):
-                turn += 1
-                rows.append({"shard": turn % shards, "packed": _zip(*done), "texts": None})
-            mine = np.flatnonzero(own)
-            for s, at in _by_shard(((anchor[mine] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64), shards):
-                at = mine[at]
-                n = end[at] - start[at]
-                rows.append({"shard": s, "packed": _zip(n, doc[at], (start + shift)[at]), "texts": zstandard.compress(buffer[_ranges_of(start[at], n)].tobytes())})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("packed", pa.binary()), ("texts", pa.binary())]))
+                if base >= DEALT:
+                    yield deal(found, buffers)
+                    found, buffers, base = [], [], 0
+        if found:
+            yield deal(found, buffers)
         release_memory()
 
     def rows_of(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -434,11 +526,10 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             done = [(np.zeros(0, np.int64),) * 3]
             for numbers, texts in zip(batch.column("packed"), batch.column("texts"), strict=True):
-                n, i, at = _unzip(numbers.as_py(), 3)
                 if texts.is_valid:
-                    shard.add(n, i, at, zstandard.decompress(texts.as_py()))
+                    shard.add(*_unzip(numbers.as_py(), 4), zstandard.decompress(texts.as_py()))
                 else:
-                    done.append((n, i, at))  # id, first, end
+                    done.append(_unzip(numbers.as_py(), 3))  # id, first, end
             yield from rows_of([tuple(map(np.concatenate, zip(*done, strict=True)))])
         yield from rows_of(shard.ranges())
         release_memory()

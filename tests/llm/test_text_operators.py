@@ -400,6 +400,38 @@ def test_frequent_anchors_are_cut(spark, monkeypatch):
     assert {i: tuple(r)[1:] for i, r in rows.items()} == {i: e[:4] for i, e in enumerate(brute_suffix(texts))}
 
 
+def test_shard_sorts_only_windows_that_may_meet():
+    """Pieces around one anchor without a common window, and whole copies, aren't sorted; rows between tasks are few."""
+    import numpy as np
+
+    rng = random.Random(12)
+    some = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    anchor, whole = b"0123456789abcdef", lambda a, b: a + anchor + b
+    first = whole(some(34), some(34))
+
+    def ranges(*texts):
+        shard = suffix.Shard(50)
+        ids = np.array([i for i, _ in texts])
+        shard.add(np.array([len(t) for _, t in texts]), ids, np.zeros(len(texts), np.int64), np.full(len(texts), 34), b"".join(t for _, t in texts))
+        return [r for part in shard.ranges() for r in zip(*(x.tolist() for x in part), strict=True)], shard.sorted
+
+    copies = [(1, first), (4, first), (2, whole(some(34), some(34)))]
+    assert ranges(*copies) == ([(4, 0, 84)], 0)
+    found, size = ranges(*copies, (3, first[:64] + some(20)))
+    assert sorted(found) == [(3, 0, 64), (4, 0, 84)] and 0 < size < 2 * 84
+    assert suffix._filter_log(43_000_000) > 27 >= suffix._filter_log(4_000_000)
+
+
+def test_pieces_of_texts_together():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 100, int(n)).astype(np.uint8) for n in (50, 70, 3000, 51, 400)]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    expected = [[x + o if k < 3 else x for k, x in enumerate(r)] for o, t in zip(starts.tolist(), texts, strict=True) for r in zip(*(c.tolist() for c in suffix.pieces(t)), strict=True)]
+    assert [list(r) for r in zip(*(c.tolist() for c in suffix.pieces(np.concatenate(texts), 50, starts)), strict=True)] == expected
+
+
 MEMORY_TEST = """
 import resource, sys
 import numpy as np
