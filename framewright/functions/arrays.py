@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from framewright.functions.integer import shr
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def clamp_samples(samples: Column) -> Column:
     """Samples within -1 and 1; a null result marks one that isn't finite."""
     bad = F.exists(samples, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
@@ -26,8 +32,7 @@ def energy(samples: Column) -> Column:
 
 def normalise(samples: Column) -> Column:
     """Unit length; silence stays silence."""
-    n = F.sqrt(energy(samples))
-    return F.when(n == 0, samples).otherwise(F.transform(samples, lambda x: x / n))
+    return let(F.sqrt(energy(samples)), lambda n: F.when(n == 0, samples).otherwise(F.transform(samples, lambda x: x / n)))
 
 
 def mid_side(mid: Column, side: Column) -> tuple[Column, Column]:
@@ -93,13 +98,17 @@ def _at(block: Column, n: int) -> list[Column]:
 
 
 def _step(block: Column, size: int, lines, kernel) -> Column:
-    """A one-dimensional kernel over lines of a block, kept as an array so that expressions stay small."""
-    v = _at(block, size)
-    out: list[Column] = list(v)
-    for line in lines:
-        for place, value in zip(line, kernel([v[i] for i in line]), strict=True):
-            out[place] = value
-    return F.transform(F.array(F.array(*out)), lambda x: x)[0]
+    """A one-dimensional kernel over lines of a block, which is computed once, however often the kernel names a value of it."""
+
+    def once(b: Column) -> Column:
+        v = _at(b, size)
+        out: list[Column] = list(v)
+        for line in lines:
+            for place, value in zip(line, kernel([v[i] for i in line]), strict=True):
+                out[place] = value
+        return F.array(*out)
+
+    return let(block, once)
 
 
 _ROWS4 = [[4 * r + c for c in range(4)] for r in range(4)]
@@ -154,7 +163,7 @@ def hadamard(vector: Column, stride: int, count: int) -> Column:
     half = 1
     while half < count:
         step, norm = half * stride, 1 / math.sqrt(2)
-        out = (lambda v, step: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i % (2 * step)) < step, F.get(v, i) + F.get(v, i + step)).otherwise(F.get(v, i - step) - F.get(v, i)) * norm))(out, step)
+        out = let(out, lambda v: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i % (2 * step)) < step, F.get(v, i) + F.get(v, i + step)).otherwise(F.get(v, i - step) - F.get(v, i)) * norm))
         half *= 2
     return out
 
@@ -165,13 +174,18 @@ def add_residual(prediction: Column, residual: Column, depth: int) -> Column:
 
 def convolve(samples: Column, taps: list[int], bits: int = 7) -> Column:
     """Fixed-point FIR over a row with its ends repeated; the filter is centred left of its middle."""
-    n, before = F.size(samples), (len(taps) - 1) // 2
-    at = lambda i: F.get(samples, F.least(F.greatest(i, F.lit(0)), n - 1).cast("int"))
+    before = (len(taps) - 1) // 2
+
+    def row(samples: Column) -> Column:
+        n = F.size(samples)
+        at = lambda i: F.get(samples, F.least(F.greatest(i, F.lit(0)), n - 1).cast("int"))
+
+        def one(i: Column) -> Column:
+            total = F.lit(1 << (bits - 1)).cast("long")
+            for k, t in enumerate(taps):
+                total = total + at(i + (k - before)) * t
+            return F.least(F.greatest(shr(total, bits), F.lit(0)), F.lit(255))
 
-    def one(i: Column) -> Column:
-        total = F.lit(1 << (bits - 1)).cast("long")
-        for k, t in enumerate(taps):
-            total = total + at(i + (k - before)) * t
-        return F.least(F.greatest(shr(total, bits), F.lit(0)), F.lit(255))
+        return F.transform(F.sequence(F.lit(0), n - 1), one)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), one)
+    return let(samples, row)

@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framewright.functions.arrays import _COLUMNS4, _ROWS4, _step, energy, unzigzag
+from framewright.functions.arrays import _COLUMNS4, _ROWS4, _step, energy, let, unzigzag
 from framewright.functions.integer import shr
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _shift(value: Column, left: Column) -> Column:
     """``value`` shifted left, or with a negative amount right, where the half is added first."""
     up = F.call_function("shiftleft", value, F.greatest(left, F.lit(0)).cast("int"))

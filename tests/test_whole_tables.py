@@ -71,3 +71,14 @@ def test_zigzag_of_all_blocks(spark):
     order = (0, 1, 5, 6, 2, 4, 7, 12, 3, 8, 11, 13, 9, 10, 14, 15)
     expected = [(i, k, ",".join(str(math.floor(v[16 * k + o] * 100)) for o in order)) for i, v in rows_of("embeddings", "vec_id", "embedding") for k in range(len(v) // 16)]
     assert sorted(run(spark, "zigzag_blocks", "vec_id", "block", "b")) == sorted(expected)
+
+
+def test_kernels_compute_their_input_once(spark):
+    """An expression that names its input many times computes it as often."""
+    from pyspark.sql import functions as F
+
+    from framewright.functions import arrays as A
+
+    b = F.col("block_")
+    for c in (A.inverse_dct4(b), A.inverse_residual4(b), A.inverse_walsh4(b), A.hadamard(b, 4, 4), A.convolve(b, [1, 2, 1]), A.normalise(b)):
+        assert str(c).count("block_") <= 3
