@@ -130,10 +130,15 @@ def vp8_quantizers(base: Column, deltas: list[Column], dc: Column, ac: Column) -
     return [at(dc, deltas[0]), at(ac, zero), at(dc, deltas[1]) * 2, F.greatest(div(at(ac, deltas[2]) * 155, 100), F.lit(8)), F.least(at(dc, deltas[3]), F.lit(132)), at(ac, deltas[4])]
 
 
+def byte_total(data: Column) -> Column:
+    """Sum of bytes. ``data`` is binary."""
+    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + F.conv(x, 16, 10).cast("long"))
+
+
 def byte_sum(data: Column) -> Column:
     """Sum of bytes modulo two to the power 32. ``data`` is binary."""
-    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + F.conv(x, 16, 10).cast("long")) % (1 << 32)
+    return byte_total(data) % (1 << 32)
 
 
 def checksum32(data: Column) -> Column:

@@ -82,3 +82,29 @@ def test_kernels_compute_their_input_once(spark):
     b = F.col("block_")
     for c in (A.inverse_dct4(b), A.inverse_residual4(b), A.inverse_walsh4(b), A.hadamard(b, 4, 4), A.convolve(b, [1, 2, 1]), A.normalise(b)):
         assert str(c).count("block_") <= 3
+
+
+def write_tables(folder, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, sql in tables.items():
+        con.execute(f"copy ({sql}) to '{folder}/{name}.parquet' (format parquet)")
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    return con
+
+
+def same_as_sql(spark, con, folder, name):
+    df = registry.all_queries()[name](spark, str(folder))
+    theirs = con.execute(f"select {', '.join(df.columns)} from ({registry.all_sql()[name]})").fetchall()
+    return Counter(tuple(r) for r in df.collect()) == Counter(theirs)
+
+
+def test_byte_sums_of_odd_documents(spark, tmp_path):
+    """Empty and null texts, ids that are null or repeated, and more bytes than 32 bits can add up."""
+    con = write_tables(tmp_path, documents="""
+        select * from (values (1::bigint, 'abc'), (2, ''), (3, null), (4, 'é'), (4, 'xy'), (null, 'lost'), (5, ''), (5, 'z'))
+        t(doc_id, text) union all select 9, repeat('~', 1000) from range(200)""")
+    assert same_as_sql(spark, con, tmp_path, "byte_sums")
+    assert max(s or 0 for _, s in run(spark, "byte_sums", "doc_id", "signed")) < 2**32
+    assert {r["doc_id"]: r["signed"] for r in registry.all_queries()["byte_sums"](spark, str(tmp_path)).collect()}[9] > 2**32
