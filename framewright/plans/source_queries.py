@@ -115,7 +115,7 @@ def _stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = presentation_order(presentation_order(e, ["user_id", "pid"], "event_id", "event_id", "i"), ["user_id"], "event_id", "event_id", "at")
     text = F.hex(F.encode(F.col("event_id").cast("string"), "utf-8"))
     size = F.when(F.col("event_type") == "error", 60000).otherwise(8 + F.length(text) / 2)
-    unit = F.concat(F.lit("000001E0"), _be(size, 2), F.lit("808005"), _stamp(F.col("event_id") * 3003), text)
+    unit = F.concat(F.lit("000001E0"), _be(size, 2), F.lit("808005"), _stamp(F.pmod(F.col("event_id") * 3003, F.lit(1 << 33))), text)
     word = shl(F.lit(0x47).cast("long"), 24) + shl(F.lit(0x4000) + F.col("pid"), 8) + 0x10 + F.col("i") % 16
     packet = F.concat(_be(word), F.rpad(unit, 368, "5A"))
     head = _section_packet(0, 0, 1, bytes.fromhex("0001E100")) + _section_packet(256, 2, 1, bytes.fromhex("E101F0001BE101F0000FE102F00006E103F000"))
@@ -123,6 +123,15 @@ def _stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("file_id"), F.unhex(F.concat(F.lit(head), F.array_join(F.transform("ps", lambda x: x["p"]), ""))).alias("content"))
 
 
+def _stream_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When packets of each file are shown, as an index beside it says: one for every quarter of the turn of a time stamp."""
+    from framewright.operators.sequence import presentation_order
+
+    e = presentation_order(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", "event_id", "at")
+    e = e.withColumn("ticks", F.col("event_id") * 3003).groupBy("user_id", F.floor(F.col("ticks") / (1 << 31)).alias("quarter"))
+    return e.agg(F.min("at").alias("at"), F.min("ticks").alias("ticks")).select(F.col("user_id").cast("string").alias("file_id"), (F.col("at") + 1).alias("n"), "ticks")  # behind two packets of tables
+
+
 def transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of each file, from its tables."""
     out = mpegts.elementary_streams(mpegts.decode(mpegts.packets(_stream_files(spark, sf_dir))))
@@ -130,9 +139,10 @@ def transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pes_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of each stream put together again; those that end short are errors."""
+    """Units of each stream put together again; those that end short are errors. Time stamps have 33 bits, an index beside
+    the files makes them whole."""
     rows = mpegts.decode(mpegts.packets(_stream_files(spark, sf_dir)))
-    out = mpegts.elementary_packets(rows, mpegts.elementary_streams(rows))
+    out = mpegts.elementary_packets(rows, mpegts.elementary_streams(rows), _stream_clock(spark, sf_dir))
     return out.select(F.col("file_id").cast("long").alias("user_id"), "pid", "codec", "unit", "pts", "discontinuity", F.decode("data", "utf-8").alias("data"), F.col("error").isNotNull().alias("broken"))
 
 

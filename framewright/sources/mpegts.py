@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from framewright.functions.integer import be_uint, shr
-from framewright.operators.sequence import assemble, islands
+from framewright.operators.sequence import as_of_run, assemble, islands
 from framewright.sources import containers
 from framewright.sources.bits import Incomplete, Invalid
 from framewright.sources.readers import parse
 
-SIZE, NULL = 188, 0x1FFF
+SIZE, NULL, STAMP_BITS = 188, 0x1FFF, 33
 #: Packets of a batch.
 ROWS = 1 << 14
 # Stream types that are read.
@@ -167,12 +167,23 @@ def elementary_streams(rows: DataFrame) -> DataFrame:
     return _of_sections(tables(maps), 2).select("file_id", "pid", codec.alias("codec")).where("codec is not null")
 
 
-def elementary_packets(rows: DataFrame, streams: DataFrame) -> DataFrame:
+def whole_times(units: DataFrame, clock: DataFrame, *times: str) -> DataFrame:
+    """``units`` (file_id, n, ...) with times of 33 bits made whole: those nearest to the last row of ``clock`` (file_id,
+    n, ticks) at or before them, which tells about when packet n is shown. Without such a row times stay as they are."""
+    turn, ticks = 1 << STAMP_BITS, F.col("__framewright_ticks")
+    known = clock.select(F.col("file_id").cast("string").alias("file_id"), F.col("n").cast("long").alias("n"), F.col("ticks").cast("long").alias("__framewright_ticks"))
+    near = lambda t: ticks - turn // 2 + F.pmod(t - ticks + turn // 2, F.lit(turn))
+    found = as_of_run(units, known, ["file_id"], "n", "n", ["__framewright_ticks"])
+    return found.withColumns({t: F.when(ticks.isNull(), F.col(t)).otherwise(near(F.col(t))) for t in times}).select(*units.columns)
+
+
+def elementary_packets(rows: DataFrame, streams: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     """file_id, pid, codec, unit, pts, dts, discontinuity, data, error. A unit begins at a packet that says so; one that
-    loses a packet or ends short has an error and no data, and the next one is marked."""
+    loses a packet or ends short has an error and no data, and the next one is marked. Times have 33 bits, as in the
+    file, or are whole by ``clock``, see whole_times."""
     rows = checked(rows).join(streams, ["file_id", "pid"])
     rows = islands(rows, ["file_id", "pid"], ["n"], F.col("starts"), "unit").where("unit > 0")
-    flags = rows.groupBy("file_id", "pid", "codec", "unit").agg(F.max(F.col("lost") & ~F.col("starts")).alias("broken"), F.max(F.col("lost") & F.col("starts")).alias("gap"))
+    flags = rows.groupBy("file_id", "pid", "codec", "unit").agg(F.max(F.col("lost") & ~F.col("starts")).alias("broken"), F.max(F.col("lost") & F.col("starts")).alias("gap"), F.min("n").alias("n"))
     w = W.partitionBy("file_id", "pid").orderBy("unit")
     flags = flags.withColumn("discontinuity", F.col("gap") | F.coalesce(F.lag("broken").over(w), F.lit(False)))
     whole = assemble(rows, ["file_id", "pid", "unit"], "n", "payload").join(flags, ["file_id", "pid", "unit"])
@@ -193,4 +204,5 @@ def elementary_packets(rows: DataFrame, streams: DataFrame) -> DataFrame:
                 out.append({"error": f"{type(e).__name__}: {e}"})
         return pa.array(out, pa.struct([("pts", pa.int64()), ("dts", pa.int64()), ("data", pa.binary()), ("error", pa.string())]))
 
-    return whole.withColumn("h", header("data", "broken")).select("file_id", "pid", "codec", "unit", *(F.col(f"h.{c}").alias(c) for c in ("pts", "dts")), "discontinuity", F.col("h.data").alias("data"), F.col("h.error").alias("error"))
+    units = whole.withColumn("h", header("data", "broken")).select("file_id", "pid", "codec", "unit", *(F.col(f"h.{c}").alias(c) for c in ("pts", "dts")), "discontinuity", F.col("h.data").alias("data"), F.col("h.error").alias("error"), "n")
+    return (whole_times(units, clock, "pts", "dts") if clock is not None else units).drop("n")

@@ -108,3 +108,16 @@ def test_byte_sums_of_odd_documents(spark, tmp_path):
     assert same_as_sql(spark, con, tmp_path, "byte_sums")
     assert max(s or 0 for _, s in run(spark, "byte_sums", "doc_id", "signed")) < 2**32
     assert {r["doc_id"]: r["signed"] for r in registry.all_queries()["byte_sums"](spark, str(tmp_path)).collect()}[9] > 2**32
+
+
+EVENTS = """
+    select (case when i < 40 then i * 997 else 2860000 + 3000000 * (i % 7) + i end)::bigint as event_id, (i % 3)::bigint as user_id,
+    case i % 5 when 0 then 'error' when 1 then 'click' else 'view' end as event_type from range(100) t(i)
+    union all select 20000000, 7, 'view'"""
+
+
+def test_units_whose_times_pass_33_bits(spark, tmp_path):
+    con = write_tables(tmp_path, events=EVENTS)
+    assert con.execute("select max(event_id) * 3003 from events").fetchone()[0] > 6 << 33
+    assert same_as_sql(spark, con, tmp_path, "pes_units")
+    assert same_as_sql(spark, con, tmp_path, "transport_streams")
