@@ -112,7 +112,7 @@ def _stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.operators.sequence import presentation_order
 
     e = table(spark, sf_dir, "events").withColumn("pid", F.when(F.col("event_type") == "view", 257).otherwise(258))
-    e = presentation_order(presentation_order(e, ["user_id", "pid"], "event_id", "event_id", "i"), ["user_id"], "event_id", "event_id", "at")
+    e = presentation_order(presentation_order(e, ["user_id"], "event_id", "event_id", "at"), ["user_id", "pid"], "event_id", "event_id", "i")
     text = F.hex(F.encode(F.col("event_id").cast("string"), "utf-8"))
     size = F.when(F.col("event_type") == "error", 60000).otherwise(8 + F.length(text) / 2)
     unit = F.concat(F.lit("000001E0"), _be(size, 2), F.lit("808005"), _stamp(F.pmod(F.col("event_id") * 3003, F.lit(1 << 33))), text)

@@ -44,14 +44,15 @@ def packets(files: DataFrame) -> DataFrame:
 
 def decode(rows: DataFrame) -> DataFrame:
     """file_id, n, pid, starts, error, counter, control, discontinuity, payload, packet, valid; null packets are dropped."""
-    p = F.col("packet")
-    byte = lambda i: be_uint(p, i, 1)
+    p, head = F.col("packet"), F.col("__framewright_head")
+    rows = rows.select("file_id", "n", "packet", be_uint(p, 0, 6).alias("__framewright_head"))  # one number of all that is read
+    byte = lambda i: shr(head, 8 * (5 - i)).bitwiseAND(F.lit(255))
     bit = lambda x, k: shr(x, k).bitwiseAND(F.lit(1)) == 1
     control = shr(byte(3), 4).bitwiseAND(F.lit(3))
     extra = F.when(control >= 2, byte(4) + 1).otherwise(0)
     fits = F.when(control == 2, extra == 184).when(control == 3, extra <= 183).otherwise(control == 1)
     rows = rows.select(
-        "file_id", "n", be_uint(p, 1, 2).bitwiseAND(F.lit(0x1FFF)).cast("int").alias("pid"), bit(byte(1), 6).alias("starts"), bit(byte(1), 7).alias("error"), byte(3).bitwiseAND(F.lit(15)).cast("int").alias("counter"), control.cast("int").alias("control"),
+        "file_id", "n", shr(head, 24).bitwiseAND(F.lit(0x1FFF)).cast("int").alias("pid"), bit(byte(1), 6).alias("starts"), bit(byte(1), 7).alias("error"), byte(3).bitwiseAND(F.lit(15)).cast("int").alias("counter"), control.cast("int").alias("control"),
         F.when(extra > 1, bit(byte(5), 7)).otherwise(False).alias("discontinuity"), F.when(control.bitwiseAND(F.lit(1)) == 1, F.substring(p, (extra + 5).cast("int"), F.lit(SIZE))).alias("payload"), "packet",
         ((byte(0) == 0x47) & (shr(byte(3), 6) == 0) & fits).alias("valid"),
     )
@@ -60,7 +61,8 @@ def decode(rows: DataFrame) -> DataFrame:
 
 def _comparable(c: Column) -> Column:
     """A packet without its clock bytes, where repetitions may differ."""
-    clock = (be_uint(c, 3, 1).bitwiseAND(F.lit(0x20)) != 0) & (be_uint(c, 4, 1) >= 7) & (be_uint(c, 5, 1).bitwiseAND(F.lit(0x10)) != 0)
+    head = be_uint(c, 3, 3)
+    clock = (head.bitwiseAND(F.lit(0x200010)) == 0x200010) & (shr(head, 8).bitwiseAND(F.lit(255)) >= 7)
     return F.when(clock, F.concat(F.substring(c, 1, 6), F.substring(c, 13, SIZE))).otherwise(c)
 
 
@@ -88,34 +90,38 @@ def checked(rows: DataFrame) -> DataFrame:
 def sections(rows: DataFrame) -> DataFrame:
     """file_id, pid, first_n, section: table sections put together across packets by the pointer at their start."""
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("n")
-        out: list[tuple] = []
-        held, begun = None, 0
-        for n, starts, lost, payload in zip(*(t.column(c).to_pylist() for c in ("n", "starts", "lost", "payload")), strict=True):
-            if lost:
-                held = None
-            if starts:
-                pointer, payload = payload[0], payload[1:]
-                if held is not None:
-                    held += payload[:pointer]
-                    out.append((begun, held))
-                held, begun, payload = b"", n, payload[pointer:]
-            if held is None:
-                continue
-            held += payload
-            while len(held) >= 3 and held[0] != 0xFF:
-                size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
-                if len(held) < size:
-                    break
-                out.append((begun, held[:size]))
-                held = held[size:]
-            if held[:1] == b"\xff":
-                held = None
-        whole = [(n, s) for n, s in out if len(s) >= 3 and len(s) == 3 + (int.from_bytes(s[1:3], "big") & 0xFFF)]
-        return pa.table({"file_id": pa.array([t.column("file_id")[0].as_py()] * len(whole), pa.string()), "pid": pa.array([t.column("pid")[0].as_py()] * len(whole), pa.int32()), "first_n": pa.array([n for n, _ in whole], pa.int64()), "section": pa.array([s for _, s in whole], pa.binary())})
-
-    return checked(rows).select(F.col("file_id").cast("string").alias("file_id"), "pid", "n", "starts", "lost", "payload").groupBy("file_id", "pid").applyInArrow(run, "file_id string, pid int, first_n long, section binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, begun = None, None, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for file, pid, n, starts, lost, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, pid) != of:
+                    of, held = (file, pid), None
+                if lost:
+                    held = None
+                if starts:
+                    pointer, payload = payload[0], payload[1:]
+                    if held is not None:
+                        out.append((*of, begun, held + payload[:pointer]))
+                    held, begun, payload = b"", n, payload[pointer:]
+                if held is None:
+                    continue
+                held += payload
+                while len(held) >= 3 and held[0] != 0xFF:
+                    size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+                    if len(held) < size:
+                        break
+                    out.append((*of, begun, held[:size]))
+                    held = held[size:]
+                if held[:1] == b"\xff":
+                    held = None
+            whole = [r for r in out if len(r[3]) >= 3 and len(r[3]) == 3 + (int.from_bytes(r[3][1:3], "big") & 0xFFF)]
+            columns = list(zip(*whole, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["file_id", "pid", "first_n", "section"])
+
+    rows = checked(rows).select(F.col("file_id").cast("string").alias("file_id"), "pid", "n", "starts", "lost", "payload")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't made less where packets are small
+    return rows.repartition(parts, "file_id", "pid").sortWithinPartitions("file_id", "pid", "n").mapInArrow(run, "file_id string, pid int, first_n long, section binary")
 
 
 def _streams(rows: DataFrame, table: int) -> DataFrame:
@@ -160,7 +166,9 @@ def programs(rows: DataFrame) -> DataFrame:
 
 def elementary_streams(rows: DataFrame) -> DataFrame:
     """file_id, pid, codec: from the association table to the only program's map; unknown types are left out."""
-    maps = rows.join(programs(rows).where("error is null").select("file_id", "pid"), ["file_id", "pid"], "left_semi")
+    found = programs(rows).where("error is null").select("file_id", "pid")
+    # other packets than of PIDs that are some file's map stay where they are; there are 8,192 PIDs at most
+    maps = rows.join(F.broadcast(found.select("pid").distinct()), "pid", "left_semi").join(found, ["file_id", "pid"], "left_semi")
     codec = F.lit(None).cast("string")
     for number, name in CODECS.items():
         codec = F.when(F.col("number") == number, name).otherwise(codec)

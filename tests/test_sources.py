@@ -442,3 +442,12 @@ def test_woff2_trailer():
     for bad in (file((49, 3), body=b"abcd"), file((48, 5), (56, 3), b"abcde\0!\0xyz"), file((48, 5), (60, 1), b"abcde" + bytes(8)), file((48, 9), body=b"abcd"), file((48, 0), body=b"abcd"), file((48, 4), body=b"abcdXYZ!")):
         with pytest.raises(bits.Invalid):
             fonts.woff2_trailer(bad)
+
+
+def test_sections_of_many_files_spread_over_tasks(spark):
+    """Sections of small files are put together in as many tasks as there are shuffle partitions, not in one."""
+    data = transport()
+    rows = mpegts.decode(mpegts.packets(spark.createDataFrame([(f"f{i}", data) for i in range(64)], "file_id string, content binary")))
+    assert mpegts.sections(rows.where("pid = 0")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = mpegts.elementary_streams(mpegts.decode(mpegts.packets(files(spark, data)))).count()
+    assert mpegts.elementary_streams(rows).count() == 64 * one > 0
